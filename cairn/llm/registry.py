@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import quality, simhash
+from cairn.llm import mixing, pieces, quality, secrets, simhash
 from cairn.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return quality.apply_policy(quality.apply_policy(rows, "v1"), "v2")
@@ -23,10 +35,23 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = [op2_secret_scan, op4_simhash_near_dedup, op5_sentencepiece, op7_mixing, op10_quality_rules, quality_ablations, pipeline]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_simhash_near_dedup, op10_quality_rules, quality_ablations]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.OP10_SQL, "quality_ablations": quality.ABLATION_SQL}
+    return {
+        "op2_secret_scan": secrets.OP2_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op10_quality_rules": quality.OP10_SQL,
+        "quality_ablations": quality.ABLATION_SQL,
+    }

@@ -1,0 +1,184 @@
+"""Secret scans with a combined deterministic automaton.
+
+All rules are compiled once into the arrays of one minimal automaton (`automaton.combined`), which
+every task gets (some tens of kB, fixed by the rules). A scan is one pass over the bytes of the text,
+whatever the number of rules; only where it reports a match end does the exact reversed automaton of that
+rule find the starts. No shuffle.
+
+A finding is a leftmost-longest match of a rule that starts the text or follows a byte that isn't one of
+`automaton.TOKEN_SET`; findings of one rule don't overlap. A word edge at a rule's end is judged on ASCII.
+
+Defined results:
+* null and empty texts have no findings; texts are scanned whole, however long;
+* repeated rows are scanned each; a null doc_id is carried as null; an empty table has no findings;
+* extra columns are ignored by `findings` and kept by `redact`, which replaces each secret by
+  [REDACTED:rule], sets n_chars (if there is such a column) and leaves other rows as they are;
+* where findings of several rules overlap, `redact` replaces their union, named by the leftmost one
+  (at a tie the longer, then the first rule).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairn.llm import automaton
+from cairn.llm.common import Columns, ready, slices
+
+RULES: list[tuple[str, str]] = [
+    ("aws_access_key", r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
+    ("private_key", r"-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----"),
+    ("github_token", r"gh[opsru]_[0-9A-Za-z]{36,}\b"),
+    ("github_fine_grained", r"github_pat_[0-9A-Za-z_]{40,}\b"),
+    ("gitlab_token", r"glpat-[0-9A-Za-z_]{20,}"),
+    ("slack_token", r"xox[abeoprs]-[0-9A-Za-z][0-9A-Za-z-]{9,}"),
+    ("google_api_key", r"AIza[0-9A-Za-z_-]{35}"),
+    ("stripe_key", r"[prs]k_(?:live|test)_[0-9A-Za-z]{16,}\b"),
+    ("openai_key", r"sk-[0-9A-Za-z_-]{32,}"),
+    ("sendgrid_key", r"SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}"),
+    ("npm_token", r"npm_[0-9A-Za-z]{36}\b"),
+    ("jwt", r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    ("url_password", r"[a-z]{2,10}://[0-9A-Za-z._-]{1,40}:[0-9A-Za-z_.~+-]{3,60}@"),
+    ("assigned_secret", r"""(?i)(?:password|passwd|pwd|secret|token|auth|api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret)["']?[ \t]{0,4}[:=][ \t]{0,4}["']?[0-9a-z+/=_.~-]{12,}"""),
+]
+
+
+@cache
+def compiled() -> automaton.Dfa:
+    return automaton.combined([p for _, p in RULES])
+
+
+@cache
+def reversed_rule(i: int) -> tuple[automaton.Dfa, bool]:
+    return automaton.backwards(RULES[i][1]), automaton.parsed(RULES[i][1])[2]
+
+
+def _edge(text: bytes, i: int) -> bool:
+    left = i > 0 and text[i - 1] in automaton.WORD_BYTES
+    right = i < len(text) and text[i] in automaton.WORD_BYTES
+    return left != right
+
+
+def spans(text: bytes, ends: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(rule, start, end) of the findings in one text, from the ends that the scan reported."""
+    out = []
+    for i in range(len(RULES)):
+        own = ends[(bits >> i) & 1 == 1]
+        if not len(own):
+            continue
+        dfa, after = reversed_rule(i)
+        found = []
+        for e in own.tolist():
+            if after and not _edge(text, e):
+                continue
+            found += [(s, -e) for s in automaton.match_starts(dfa, text, e) if not s or text[s - 1] not in automaton.TOKEN_BYTES]
+        free = 0
+        for s, e in sorted(found):
+            if s >= free:
+                out.append((i, s, -e))
+                free = -e
+    return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
+
+
+def scan_texts(col: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    """(row, text, findings) for the texts of a column that have any."""
+    buf = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    if not len(buf):
+        return
+    offsets = np.frombuffer(col.buffers()[1], dtype=np.int32 if pa.types.is_string(col.type) else np.int64)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    base, last = int(offsets[0]), int(offsets[-1])
+    if last == base:
+        return
+    buf, offsets = buf[base:last], offsets - base
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    starts, stops = offsets[full], offsets[full + 1]
+    ends, bits = automaton.scan(compiled(), buf, starts, stops)
+    if not len(ends):
+        return
+    owner = np.searchsorted(starts, ends - 1, side="right") - 1
+    for k in np.unique(owner):
+        own = owner == k
+        text = buf[starts[k] : stops[k]].tobytes()
+        found = spans(text, ends[own] - starts[k], bits[own])
+        if found:
+            yield int(full[k]), text, found
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "rule", "ordinal", "start", "end", "secret"]
+    for batch in batches:
+        for part in slices(batch, 1):
+            rows: list[tuple] = []
+            ids = part.column(0)
+            for row, text, found in scan_texts(part.column(1)):
+                count: dict[int, int] = {}
+                for i, s, e in found:
+                    count[i] = count.get(i, 0) + 1
+                    before = len(text[:s].decode())
+                    secret = text[s:e].decode()
+                    rows.append((ids[row].as_py(), RULES[i][0], count[i], before, before + len(secret), secret))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rule, ordinal, start, end, secret): start and end count characters from 0."""
+    ready(docs.sparkSession)
+    c = Columns(docs)
+    narrow = c.df.select(c[id_col].cast("bigint").alias("id"), c[text_col].cast("string").alias("text")).where("text is not null")
+    out = narrow.mapInArrow(_find, "id bigint, rule string, ordinal bigint, start bigint, end bigint, secret string")
+    return out.withColumnRenamed("id", id_col)
+
+
+def redacted(text: bytes, found: list[tuple[int, int, int]]) -> bytes:
+    out, free = [], 0
+    for i, s, e in found:
+        if s >= free:
+            out += [text[free:s], b"[REDACTED:", RULES[i][0].encode(), b"]"]
+        free = max(free, e)
+    return b"".join([*out, text[free:]])
+
+
+def _redact(at: int, count_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                new = {row: redacted(text, found).decode() for row, text, found in scan_texts(part.column(at))}
+                if new:
+                    cols = part.columns
+                    texts = cols[at].to_pylist()
+                    counts = cols[count_at].to_pylist() if count_at >= 0 else []
+                    for row, text in new.items():
+                        texts[row] = text
+                        if counts:
+                            counts[row] = len(text)
+                    cols[at] = pa.array(texts, type=cols[at].type)
+                    if counts:
+                        cols[count_at] = pa.array(counts, type=cols[count_at].type)
+                    part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
+                yield part
+
+    return run
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with each secret replaced by its rule's name."""
+    ready(docs.sparkSession)
+    c = Columns(docs)
+    count_at = c.names.index("n_chars") if c.has("n_chars") and dict(docs.dtypes)["n_chars"] in ("bigint", "int") else -1
+    return c.restore(c.df.mapInArrow(_redact(c.names.index(text_col), count_at), c.df.schema))
+
+
+_SUM = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)::BIGINT"
+OP2_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, '{name}' AS rule, i AS ordinal, {_SUM('x[1:i]')} + {_SUM('f[1:i]')} - length(m[i]) AS start,
+  {_SUM('x[1:i]')} + {_SUM('f[1:i]')} AS "end", m[i] AS secret
+FROM (SELECT doc_id, x, f, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, p) AS x, regexp_extract_all(text, p) AS f, regexp_extract_all(text, p, 1) AS m
+  FROM (SELECT doc_id, text, $p${'(?i)' * p.startswith('(?i)')}(?:^|[^{automaton.TOKEN_SET}])({p.removeprefix('(?i)')})$p$ AS p FROM documents WHERE text IS NOT NULL)))"""
+    for name, p in RULES
+)
