@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixing, pieces, quality, secrets, simhash
+from cairn.llm import mixing, pieces, quality, secret_scan, simhash
 from cairn.llm.common import table
 
 
@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the name of their rule."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
