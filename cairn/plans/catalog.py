@@ -1,15 +1,761 @@
-"""The registered queries of the engine."""
+"""The registered queries of the engine and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.functions import rules
+from cairn.functions.text import STOP_WORDS, fold, search_terms, task_terms, token_estimate
+from cairn.operators import changes, edges, extract, generations, ledger, packing, reads, recursion, search, traverse
+from cairn.plans.oracles import route_sql, surface_levels, surface_sql
+from cairn.session import read
+from cairn.sources.projection import PRELUDE, Graph
 
-def queries():
-    return {}
+PART, ORDER, PROJECT, USED_PROJECT = 30_000_001, 40_000_001, 1003, 1015
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations_both(spark, sf_dir)
+
+
+# Edge queries
+
+_ENDS = "JOIN entities s ON s.id = r.source_id JOIN entities t ON t.id = r.target_id"
+
+
+def _relations_sql(where: str, limit: int = 50) -> str:
+    return f"""{PRELUDE} SELECT r.id AS relation_id, r.source_id, s.qualified_name AS source_name, r.target_id, t.qualified_name AS target_name, r.domain, r.kind, r.dispatch_kind, b.file_id, b.start_line, b.start_column
+FROM relations r {_ENDS} JOIN best b ON b.relation_id = r.id WHERE {where} AND r.domain IN ('code', 'framework', 'database')
+ORDER BY r.domain, r.kind, s.qualified_name, t.qualified_name, b.start_line, r.id LIMIT {limit + 1}"""
+
+
+def _relations(spark, sf_dir, **given):
+    g = Graph(spark, sf_dir)
+    return edges.relations_of(g.entities, g.relations, g.evidence, **given)
+
+
+@query(_relations_sql(f"r.source_id = {PART}"))
+def relations_outgoing(spark, sf_dir):
+    return _relations(spark, sf_dir, entity_id=PART, direction="outgoing")
+
+
+@query(_relations_sql(f"r.target_id = {PART}"))
+def relations_incoming(spark, sf_dir):
+    return _relations(spark, sf_dir, entity_id=PART, direction="incoming")
+
+
+@query(_relations_sql(f"(r.source_id = {PART} OR r.target_id = {PART})", 200))
+def relations_both(spark, sf_dir):
+    return _relations(spark, sf_dir, entity_id=PART, limit=200)
+
+
+@query(_relations_sql(f"r.target_id = {PART} AND r.kind IN ('calls')"))
+def relations_kind_filter(spark, sf_dir):
+    return _relations(spark, sf_dir, entity_id=PART, direction="incoming", kinds=[" calls ", "", "calls"])
+
+
+def _usages_sql(kinds: str = "") -> str:
+    return f"""{PRELUDE} SELECT r.id AS relation_id, r.source_id, s.qualified_name AS source_name, r.kind, r.dispatch_kind, f.relative_path, f.is_generated, e.start_line, e.start_column, e.end_column
+FROM relations r {_ENDS} JOIN ev e ON e.relation_id = r.id JOIN files f ON f.id = e.file_id WHERE r.target_id = {PART} AND r.domain = 'code' AND r.kind <> 'contains' {kinds}
+ORDER BY f.is_generated, r.kind, s.qualified_name, f.relative_path, e.start_line, e.start_column LIMIT 101"""
+
+
+@query(_usages_sql())
+def code_usages(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return edges.code_usages(g.entities, g.relations, g.evidence, g.files, PART, limit=100)
+
+
+@query(_usages_sql("AND r.kind IN ('reads', 'uses_type')"))
+def usages_kind_filter(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return edges.code_usages(g.entities, g.relations, g.evidence, g.files, PART, ["reads", "uses_type"], 100)
+
+
+@query(f"{PRELUDE} SELECT relation_id, file_id, start_line, start_column, end_column FROM best")
+def representative_evidence(spark, sf_dir):
+    return edges.best_evidence(Graph(spark, sf_dir).evidence)
+
+
+# Reads
+
+
+@query(f"{PRELUDE} SELECT 'entities' AS name, count(*) AS n FROM entities UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'evidence', count(*) FROM ev")
+def graph_counts(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return reads.graph_counts(entities=g.entities, files=g.files, relations=g.relations, evidence=g.evidence)
+
+
+@query(f"{PRELUDE} SELECT kind, count(*) AS n FROM entities GROUP BY kind")
+def kind_counts(spark, sf_dir):
+    return reads.kind_counts(Graph(spark, sf_dir).entities)
+
+
+_REFERENCES = "SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS source_id, CAST(1000 + s_nationkey AS BIGINT) AS target_id FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE o_orderkey % 50 = 0 AND c_nationkey <> s_nationkey"
+
+
+def _references(spark, sf_dir) -> DataFrame:
+    return Graph(spark, sf_dir)._sql(_REFERENCES)
+
+
+@query(f"""{PRELUDE}, refs AS ({_REFERENCES}) SELECT p.id, p.name, coalesce(f.n, 0) AS n_files, coalesce(f.g, 0)::BIGINT AS n_generated, coalesce(d.n, 0) AS n_dependencies FROM entities p
+LEFT JOIN (SELECT project_id, count(*) AS n, sum(is_generated::BIGINT) AS g FROM files GROUP BY project_id) f ON f.project_id = p.id LEFT JOIN (SELECT source_id, count(*) AS n FROM refs GROUP BY source_id) d ON d.source_id = p.id WHERE p.kind = 'project'""")
+def project_summary(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return reads.project_summary(g.entities, g.files, _references(spark, sf_dir))
+
+
+@query(f"{PRELUDE} SELECT e.*, (SELECT count(*) FROM relations WHERE target_id = {PART}) AS in_degree, (SELECT count(*) FROM relations WHERE source_id = {PART}) AS out_degree FROM entities e WHERE e.id = {PART}")
+def entity_detail(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return reads.entity_detail(g.entities, g.relations, PART)
+
+
+@query(f"{PRELUDE} SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT target_id AS id, 1 AS i, 0 AS o FROM relations UNION ALL SELECT source_id, 0, 1 FROM relations) GROUP BY id")
+def degrees(spark, sf_dir):
+    return reads.degrees(Graph(spark, sf_dir).relations)
+
+
+_LOCATIONS = "SELECT CAST(30000000 + l_partkey AS BIGINT) AS entity_id, CAST(10000000 + o_custkey AS BIGINT) AS file_id, CASE WHEN l_linenumber = 1 THEN 'definition' ELSE 'mention' END AS location_kind, CAST(l_linenumber AS INT) AS start_line, CAST(1 + l_suppkey % 80 AS INT) AS start_column, CAST(1 + l_suppkey % 80 + l_quantity AS INT) AS end_column FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+
+
+def _locations(spark, sf_dir) -> DataFrame:
+    return generations.upsert_locations(Graph(spark, sf_dir)._sql(_LOCATIONS))
+
+
+_LOC_SQL = f"SELECT entity_id, file_id, location_kind, start_line, start_column, max(end_column) AS end_column FROM ({_LOCATIONS}) GROUP BY entity_id, file_id, location_kind, start_line, start_column"
+
+
+@query(f"SELECT * FROM ({_LOC_SQL}) WHERE entity_id = {PART}")
+def entity_locations(spark, sf_dir):
+    return _locations(spark, sf_dir).where(F.col("entity_id") == PART)
+
+
+@query(_LOC_SQL)
+def location_upsert(spark, sf_dir):
+    return _locations(spark, sf_dir)
+
+
+_RUNS = "SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS status, CASE CAST(user_id AS INT) % 3 WHEN 0 THEN 'workspace.orientation' WHEN 1 THEN 'csharp.declarations' ELSE 'csharp.relations' END AS capability FROM events"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(_RUNS)
+
+
+@query(f"SELECT coalesce(arg_max(status, run_id), 'missing') AS status, count(*) AS n_runs FROM ({_RUNS}) WHERE capability = 'csharp.relations'")
+def index_state(spark, sf_dir):
+    return reads.index_state(_runs(spark, sf_dir), "csharp.relations")
+
+
+_RULES = "SELECT CAST(1000 + c_nationkey AS BIGINT) AS project_id, c_name AS path, CAST(c_custkey % 7 AS INT) AS line, CASE c_mktsegment WHEN 'BUILDING' THEN 100 WHEN 'MACHINERY' THEN 200 ELSE 50 END + 10 * CAST(c_custkey % 3 AS INT) AS precedence FROM customer"
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY precedence DESC, path, line) AS place FROM ({_RULES}) WHERE (SELECT arg_max(status, run_id) FROM ({_RUNS}) WHERE capability = 'workspace.orientation') = 'succeeded'")
+def orientation_rules(spark, sf_dir):
+    return reads.orientation_gate(_runs(spark, sf_dir), reads.ordered_rules(Graph(spark, sf_dir)._sql(_RULES)))
+
+
+@query(f"""{PRELUDE}, cur AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM files WHERE id % 13 <> 0)
+SELECT * FROM (SELECT 'missing_files' AS reason, count(*) AS n FROM files WHERE id NOT IN (SELECT id FROM cur) UNION ALL SELECT 'changed_files', count(*) FROM files f JOIN cur c USING (id) WHERE f.content_hash <> c.content_hash
+UNION ALL SELECT 'failed_runs', count(*) FROM ({_RUNS}) WHERE status = 'failed' UNION ALL SELECT 'newer_schema', 1) WHERE n > 0""")
+def health_reasons(spark, sf_dir):
+    f = Graph(spark, sf_dir).files
+    now = f.where("id % 13 <> 0").withColumn("content_hash", F.when(F.col("id") % 11 == 0, "x").otherwise(F.col("content_hash")))
+    return reads.health_reasons(f, now, _runs(spark, sf_dir), 5, 4)
+
+
+# Search
+
+_LOW = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HAS = lambda c, t: f"coalesce(instr({_LOW(c)}, '{fold(t)}') > 0, false)"
+_KINDS = "'class', 'method'"
+
+
+@query(f"""{PRELUDE} SELECT id, kind, name, qualified_name, CASE WHEN {_LOW('name')} = 'widget' OR {_LOW('qualified_name')} = 'widget' THEN 0 WHEN starts_with({_LOW('name')}, 'widget') OR starts_with({_LOW('qualified_name')}, 'widget') THEN 1 ELSE 2 END AS rank
+FROM entities WHERE kind IN ({_KINDS}) AND ({_HAS('name', 'widget')} OR {_HAS('qualified_name', 'widget')}) ORDER BY rank, length(qualified_name), qualified_name, kind, id LIMIT 51""")
+def symbol_search(spark, sf_dir):
+    return search.search_symbols(Graph(spark, sf_dir).entities, " WIDGET ", 50)
+
+
+@query(f"""{PRELUDE} SELECT id, kind, name, qualified_name, CASE WHEN starts_with(qualified_name, 'customer_1') THEN 1 ELSE 2 END AS rank
+FROM entities WHERE kind IN ({_KINDS}) AND {_HAS('qualified_name', 'customer_1')} ORDER BY rank, length(qualified_name), qualified_name, kind, id LIMIT 101""")
+def symbol_search_prefix(spark, sf_dir):
+    return search.search_symbols(Graph(spark, sf_dir).entities, "Customer_1", 100)
+
+
+def _score_sql(t: str) -> str:
+    t = fold(t)
+    kind = f"concat(replace({_LOW('kind')}, '_', ' '), 's')"
+    return f"""(CASE WHEN {_LOW('name')} = '{t}' THEN 120 WHEN {_LOW('qualified_name')} = '{t}' THEN 110 WHEN starts_with({_LOW('name')}, '{t}') THEN 80 WHEN {_HAS('name', t)} THEN 65 WHEN {_HAS('qualified_name', t)} THEN 55 WHEN {_HAS('signature', t)} THEN 45 WHEN instr({kind}, '{t}') > 0 THEN 35 WHEN coalesce({_LOW('language')} = '{t}', false) THEN 20 ELSE 0 END
++ CASE WHEN coalesce({_LOW('project_name')} = '{t}', false) THEN 70 WHEN {_HAS('project_name', t)} THEN 45 ELSE 0 END + CASE WHEN coalesce(ends_with({_LOW('relative_path')}, '{t}'), false) THEN 50 WHEN {_HAS('relative_path', t)} THEN 30 ELSE 0 END)"""
+
+
+_OWNERS = """owned AS (SELECT id, CASE WHEN kind = 'project' THEN id WHEN kind IN ('class', 'file') THEN containing_id WHEN kind IN ('method', 'http_endpoint', 'test_case') THEN (SELECT f.containing_id FROM entities f WHERE f.id = e.containing_id) END AS project_id FROM entities e),
+owners AS (SELECT o.id, o.project_id, p.name AS project_name FROM owned o JOIN entities p ON p.id = o.project_id)"""
+_ROWS = f"{PRELUDE}, {_OWNERS}, rows AS (SELECT e.*, o.project_name, f.relative_path, coalesce(f.is_generated, false) AS is_generated FROM entities e LEFT JOIN owners o ON o.id = e.id LEFT JOIN files f ON f.id = e.id)"
+
+
+def _search_sql(query_: str, kinds: str = "", limit: int = 50) -> str:
+    terms = search_terms(query_)
+    score = " + ".join(f"{2 if i == 0 and len(terms) > 1 else 1} * {_score_sql(t)}" for i, t in enumerate(terms))
+    kind = "replace(kind, '_', ' ')"
+    match = " OR ".join(" OR ".join([*(_HAS(c, t) for c in ("name", "qualified_name", "signature", "language", "project_name", "relative_path")), _HAS(f"concat({kind}, 's')", t)]) for t in terms)
+    return f"{_ROWS} SELECT id, kind, name, qualified_name, is_generated, ({score})::BIGINT AS score FROM rows WHERE ({match}) {kinds} ORDER BY score DESC, is_generated, length(qualified_name), qualified_name, kind, id LIMIT {limit + 1}"
+
+
+def _searchable(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return search.searchable(g.entities, recursion.ownership(g.entities), g.files)
+
+
+@query(_search_sql("NATION_1"))
+def entity_search(spark, sf_dir):
+    return search.search_entities(_searchable(spark, sf_dir), "NATION_1", limit=50)
+
+
+@query(_search_sql("red classes in NATION_1", limit=100))
+def entity_search_multiterm(spark, sf_dir):
+    return search.search_entities(_searchable(spark, sf_dir), "red classes in NATION_1", limit=100)
+
+
+@query(_search_sql("nation_7", "AND kind IN ('file', 'project')"))
+def entity_search_kinds(spark, sf_dir):
+    return search.search_entities(_searchable(spark, sf_dir), "nation_7", [" file", "project", "file"], 50)
+
+
+@query(f"""WITH l AS ({_LOC_SQL}), d AS (SELECT * FROM l WHERE location_kind = 'definition') SELECT entity_id, definition_count, file_id, start_line FROM (SELECT entity_id, file_id, start_line, count(*) OVER (PARTITION BY entity_id) AS definition_count, row_number() OVER (PARTITION BY entity_id ORDER BY file_id, start_line, start_column) AS k FROM d) WHERE k = 1""")
+def definition_count(spark, sf_dir):
+    return search.definitions(_locations(spark, sf_dir))
+
+
+# Recursion
+
+
+@query(f"{PRELUDE}, {_OWNERS} SELECT * FROM owners")
+def ownership(spark, sf_dir):
+    return recursion.ownership(Graph(spark, sf_dir).entities)
+
+
+@query(f"""{PRELUDE.replace('WITH entities', 'WITH RECURSIVE entities', 1)}, down AS (SELECT id, 1 AS depth FROM entities WHERE containing_id = {PROJECT} UNION ALL SELECT e.id, d.depth + 1 FROM down d JOIN entities e ON e.containing_id = d.id WHERE d.depth < 3) SELECT * FROM down""")
+def containment_descendants(spark, sf_dir):
+    return recursion.containment(Graph(spark, sf_dir).entities, PROJECT, 3)
+
+
+@query(f"WITH RECURSIVE refs AS ({_REFERENCES}), up AS (SELECT CAST({USED_PROJECT} AS BIGINT) AS id UNION SELECT r.source_id FROM refs r JOIN up ON up.id = r.target_id) SELECT id FROM up")
+def invalidation_closure(spark, sf_dir):
+    return recursion.reverse_closure(spark.createDataFrame([(USED_PROJECT,)], "id bigint"), _references(spark, sf_dir))
+
+
+# Traversals
+
+
+def _steps(spark, route: traverse.Route) -> DataFrame:
+    return spark.createDataFrame([(i, *s.values()) for i, s in enumerate(route.steps, 1)], "step bigint, relation_id bigint, source_id bigint, target_id bigint, domain string, kind string")
+
+
+@query(route_sql(ORDER, PROJECT, 6, 20_000))
+def route_shortest(spark, sf_dir):
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, ORDER, PROJECT, max_depth=6, max_visited=20_000))
+
+
+@query(route_sql(PROJECT, ORDER, 4, 5000))
+def route_not_found(spark, sf_dir):
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, PROJECT, ORDER, max_depth=4))
+
+
+@query(route_sql(1, ORDER, 4, 20_000, ["contains"]))
+def route_containment(spark, sf_dir):
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, 1, ORDER, kinds=["contains"], max_depth=4, max_visited=20_000))
+
+
+@query()
+def route_waypoint(spark, sf_dir):
+    r = Graph(spark, sf_dir).relations
+    via = r.where((F.col("source_id") == ORDER) & (F.col("domain") == "code")).agg(F.max("target_id")).first()[0]
+    return _steps(spark, traverse.trace_route(r, ORDER, PROJECT, [via], max_depth=8, max_visited=20_000))
+
+
+def _surface(spark, sf_dir, **given):
+    r = Graph(spark, sf_dir).relations
+    return traverse.surface_frame(r, traverse.change_surface(r, **given))
+
+
+@query(surface_sql(PART, 3, 200, ["code", "framework", "database"]))
+def change_surface(spark, sf_dir):
+    return _surface(spark, sf_dir, seed=PART)
+
+
+@query(surface_sql(ORDER, 2, 1000, ["code"]))
+def change_surface_code(spark, sf_dir):
+    return _surface(spark, sf_dir, seed=ORDER, domains=["code"], max_depth=2, max_entities=1000)
+
+
+_CLASSIFIED = f"""{surface_levels(PART, 2, 500, ["code"])}, {_OWNERS}, x AS (SELECT i.*, e.qualified_name, e.kind AS entity_kind, o.project_id, o.project_name, coalesce((o.project_id - 1000) % 5 = 0, false) AS in_test FROM items i JOIN entities e ON e.id = i.entity_id LEFT JOIN owners o ON o.id = i.entity_id),
+cl AS (SELECT entity_id, qualified_name, entity_kind, depth, place, direction, relation_id, kind, project_id, project_name, depth = 1 AS direct, depth > 1 AND NOT in_test AS transitive, entity_kind = 'test_case' OR (entity_kind = 'method' AND in_test AND direction = 'dependent') AS related_test FROM x)"""
+
+
+def _classified(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    items = _surface(spark, sf_dir, seed=PART, domains=["code"], max_depth=2, max_entities=500)
+    tests = g.entities.where("kind = 'project' AND (id - 1000) % 5 = 0").select(F.col("id").alias("project_id"))
+    return traverse.classified(items, g.entities, recursion.ownership(g.entities), tests)
+
+
+@query(f"{_CLASSIFIED} SELECT * FROM cl")
+def surface_classified(spark, sf_dir):
+    return _classified(spark, sf_dir)
+
+
+@query(f"{_CLASSIFIED} SELECT entity_id, qualified_name FROM cl WHERE related_test")
+def surface_tests(spark, sf_dir):
+    return _classified(spark, sf_dir).where("related_test").select("entity_id", "qualified_name")
+
+
+@query(f"{_CLASSIFIED} SELECT project_id, project_name, bool_or(related_test) AS has_tests, count(*) AS n FROM cl WHERE project_id IS NOT NULL GROUP BY project_id, project_name")
+def affected_projects(spark, sf_dir):
+    return traverse.affected_projects(_classified(spark, sf_dir))
+
+
+_COMMANDS = "SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, 'build_command' AS kind, concat('build ', n_name) AS command FROM nation UNION ALL SELECT CAST(1000 + n_nationkey AS BIGINT), 'test_command', concat('test ', n_name) FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT CAST(1000 + n_nationkey AS BIGINT), 'run_command', n_name FROM nation"
+
+
+@query(f"{_CLASSIFIED} SELECT project_id, kind, command, CASE WHEN kind = 'test_command' THEN 0 ELSE 1 END AS rank FROM ({_COMMANDS}) WHERE kind <> 'run_command' AND project_id IN (SELECT project_id FROM cl)")
+def verification_commands(spark, sf_dir):
+    return traverse.verification_commands(traverse.affected_projects(_classified(spark, sf_dir)), Graph(spark, sf_dir)._sql(_COMMANDS))
+
+
+# Extraction rules
+
+
+@query(f"SELECT id AS file_id, concat(n_name, '/', 'deep/', name) AS path, project_id FROM (SELECT CAST(c_custkey AS BIGINT) AS id, n_name, c_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(1000 + n_nationkey AS BIGINT) END AS project_id FROM customer JOIN nation ON n_nationkey = c_nationkey)")
+def file_ownership(spark, sf_dir):
+    f = Graph(spark, sf_dir)._sql("SELECT CAST(c_custkey AS BIGINT) AS file_id, concat(n_name, '/', 'deep/', c_name) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey")
+    p = spark.sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, n_name AS folder FROM nation WHERE n_nationkey % 2 = 0")
+    return extract.own_files(f, p).select("file_id", "path", "project_id")
+
+
+@query(f"{_ROWS}, f AS (SELECT relative_path AS path FROM files) SELECT path, CASE WHEN path LIKE '%.cs' THEN 'csharp' WHEN path LIKE '%.sql' THEN 'sql' ELSE 'text' END AS language, regexp_matches(path, '(?i)\\.(g|generated|designer)\\.cs$') AS is_generated FROM f")
+def file_classification(spark, sf_dir):
+    f = Graph(spark, sf_dir).files.where(rules.admitted(F.col("relative_path")))
+    path = F.col("relative_path")
+    return f.select(path.alias("path"), rules.language(path).alias("language"), rules.is_generated(path).alias("is_generated"))
+
+
+@query(f"{PRELUDE} SELECT project_id, sha256(concat('1', chr(10), string_agg(concat(relative_path, ':', content_hash), chr(10) ORDER BY concat(relative_path, ':', content_hash)))) AS fingerprint FROM files GROUP BY project_id")
+def project_fingerprints(spark, sf_dir):
+    return generations.input_fingerprints(Graph(spark, sf_dir).files)
+
+
+@query(f"{PRELUDE} SELECT sha256(concat('1', chr(10), string_agg(concat(relative_path, ':', content_hash), chr(10) ORDER BY concat(relative_path, ':', content_hash)))) AS fingerprint FROM files")
+def content_fingerprint(spark, sf_dir):
+    return generations.workspace_fingerprint(Graph(spark, sf_dir).files)
+
+
+@query("""WITH l AS (SELECT source AS project_id, doc_id AS file_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE doc_id % 10 <> 0)
+SELECT project_id, file_id, line::INT AS line FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY file_id, line) AS k FROM l WHERE instr(l, 'icense') > 0) WHERE k = 1""")
+def source_marker(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("file_id"), "text", (F.col("doc_id") % 10 == 0).alias("is_generated"))
+    return extract.source_marker(d, "icense")
+
+
+_OBJECT = r"""(?i)\b(?:from|join|update|into|delete\s+from|truncate\s+table)\s+([A-Za-z_\[\]"`.][A-Za-z0-9_\[\]"`.]*)"""
+
+
+@query(f"""SELECT doc_id AS id, unnest(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, $p${_OBJECT}$p$, 1), lambda x: lower(regexp_replace(x, '[\\[\\]"`]', '', 'g'))), lambda x: x <> '')))) AS object,
+CASE WHEN w IN ('SELECT', 'WITH') THEN 'reads' WHEN w = 'INSERT' THEN 'inserts' WHEN w IN ('UPDATE', 'MERGE') THEN 'writes' WHEN w IN ('DELETE', 'TRUNCATE') THEN 'deletes' ELSE 'executes' END AS effect FROM (SELECT *, upper(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) AS w FROM documents)""")
+def sql_objects(spark, sf_dir):
+    return extract.sql_facts(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+_PATH = lambda u: f"concat('/', regexp_replace(regexp_replace(regexp_replace(regexp_replace({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '^/|/$', '', 'g'))"
+
+
+@query(f"SELECT page_id AS id, {_PATH('url')} AS path FROM pages")
+def request_paths(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), rules.route_path(F.col("url")).alias("path"))
+
+
+_ENDPOINTS = "SELECT * FROM (VALUES (1, 'GET', '/en/{id}'), (2, 'GET', '/{lang}/{id}'), (3, 'get', '/FR/{id}'), (4, 'POST', '/en/{id}'), (5, 'GET', '/en/{id}/more'), (6, 'GET', '/de/1')) AS t(id, verb, path)"
+
+
+@query(f"""WITH r AS (SELECT page_id, string_split(substr({_PATH('url')}, 2), '/') AS s FROM pages), e AS (SELECT id, string_split(substr(path, 2), '/') AS s FROM ({_ENDPOINTS}) WHERE upper(verb) = 'GET')
+SELECT page_id AS source_id, id AS target_id FROM r JOIN e ON len(r.s) = len(e.s) AND len(list_filter(range(1, len(r.s) + 1), lambda i: NOT (starts_with(e.s[i], '{{') OR lower(e.s[i]) = lower(r.s[i])))) = 0""")
+def route_match(spark, sf_dir):
+    r = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("GET").alias("verb"), rules.route_path(F.col("url")).alias("path"))
+    return extract.route_edges(r, spark.sql(_ENDPOINTS))
+
+
+_USES = "SELECT CAST(l_orderkey % 100 AS BIGINT) AS source_id, CAST(l_suppkey AS BIGINT) AS file_id, CAST(l_linenumber AS INT) AS line, CAST(l_quantity AS INT) AS col, l_partkey AS middleware_id FROM lineitem"
+
+
+@query(f"SELECT *, row_number() OVER w AS place, lag(middleware_id) OVER w AS before_id FROM (SELECT DISTINCT * FROM ({_USES})) WINDOW w AS (PARTITION BY source_id, file_id ORDER BY line, col, middleware_id)")
+def middleware_chain(spark, sf_dir):
+    return extract.middleware_chain(Graph(spark, sf_dir)._sql(_USES).distinct())
+
+
+@query("""WITH m AS (SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_name END AS table_name FROM part), k AS (SELECT lower(p_type) AS l, min(concat('known:', lower(p_type))) AS known_key FROM part WHERE p_size < 10 GROUP BY 1)
+SELECT entity_id, table_name, coalesce(known_key, concat('database_object:', sha256(lower(table_name)))) AS table_key, known_key IS NOT NULL AS existing FROM m LEFT JOIN k ON k.l = lower(table_name)""")
+def table_unification(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    m = p.select(F.col("p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.col("p_name")).alias("table_name"))
+    k = p.where("p_size < 10").select(F.col("p_type").alias("qualified_name"), F.concat(F.lit("known:"), F.lower("p_type")).alias("stable_key"))
+    return extract.unify_tables(m, k)
+
+
+@query(f"""{PRELUDE}, old AS (SELECT source_id, target_id, domain, CASE WHEN kind = 'resolves_to' THEN 'matches_endpoint' ELSE kind END AS kind FROM relations WHERE source_id % 2 = 0), m AS (SELECT DISTINCT source_id, target_id FROM relations WHERE kind = 'calls' AND source_id % 3 = 0)
+SELECT source_id, target_id, domain, kind FROM old WHERE kind <> 'matches_endpoint' AND source_id IN (SELECT id FROM entities WHERE id % 4 = 0) UNION SELECT source_id, target_id, 'framework', 'matches_endpoint' FROM m""")
+def global_rebuild(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    r = g.relations
+    old = r.where("source_id % 2 = 0").withColumn("kind", F.when(F.col("kind") == "resolves_to", "matches_endpoint").otherwise(F.col("kind")))
+    return extract.rebuild_global(old, g.entities.where("id % 4 = 0"), r.where("kind = 'calls' AND source_id % 3 = 0"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS i FROM lineitem), m AS (SELECT DISTINCT l_partkey AS s, l_orderkey AS m FROM lineitem WHERE l_linenumber = 1), x AS (SELECT DISTINCT l_orderkey AS m, l_suppkey AS i, l_orderkey * 10 + l_linenumber AS t FROM lineitem WHERE l_linenumber < 3)
+SELECT s AS source_id, i AS target_id, 'resolves_to' AS kind FROM r UNION SELECT m.m, x.t, 'dispatches_to' FROM r JOIN m ON m.s = r.s JOIN x ON x.m = m.m AND x.i = r.i""")
+def registration_fanout(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    r = li.select(F.col("l_partkey").alias("service_id"), F.col("l_suppkey").alias("implementation_id"))
+    m = li.where("l_linenumber = 1").select(F.col("l_partkey").alias("service_id"), F.col("l_orderkey").alias("member_id")).distinct()
+    i = li.where("l_linenumber < 3").select(F.col("l_orderkey").alias("member_id"), F.col("l_suppkey").alias("implementation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("method_id")).distinct()
+    return extract.registration_edges(r, m, i)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN list_contains(list_filter(regexp_split_to_array(concat(p_brand, ' | ', p_type), '\\s*\\|\\s*'), lambda x: x <> ''), d) THEN concat(p_brand, ' | ', p_type) ELSE concat(p_brand, ' | ', p_type, ' | ', d) END AS signature FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'auth' END AS d FROM part)")
+def signature_append(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), rules.append_detail(F.concat("p_brand", F.lit(" | "), "p_type"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("auth")).alias("signature"))
+
+
+@query("SELECT CAST(1000 + c_nationkey AS BIGINT) AS project_id, d.dimension, d.value FROM (SELECT DISTINCT c_nationkey FROM customer) CROSS JOIN (VALUES ('configuration', 'Debug'), ('configuration', 'Release'), ('platform', 'AnyCPU')) AS d(dimension, value) WHERE d.dimension = 'platform' OR c_nationkey % 3 <> 0 UNION ALL SELECT CAST(1000 + n_nationkey AS BIGINT), 'configuration', unnest(['A', 'B']) FROM nation WHERE n_nationkey % 3 = 0")
+def build_dimensions(spark, sf_dir):
+    own = Graph(spark, sf_dir)._sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, 'configuration' AS dimension, ' A ;;B' AS value FROM nation WHERE n_nationkey % 3 = 0")
+    p = spark.sql("SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS project_id FROM customer")
+    return extract.with_defaults(extract.split_values(own, "value"), p, {"configuration": ["Debug", "Release"], "platform": ["AnyCPU"]})
+
+
+# Generations
+
+
+@query(f"{PRELUDE} SELECT source_id, target_id, domain, kind, dispatch_kind FROM relations")
+def relation_upsert_lww(spark, sf_dir):
+    return generations.upsert_relations(Graph(spark, sf_dir).edges)
+
+
+@query(f"{PRELUDE} SELECT id, source_id, target_id, domain, kind FROM relations")
+def relation_ids(spark, sf_dir):
+    return Graph(spark, sf_dir).relations.select("id", "source_id", "target_id", "domain", "kind")
+
+
+@query(f"{PRELUDE} SELECT source_id, target_id, domain, kind, file_id, start_line, start_column, min(end_column) AS end_column FROM edges GROUP BY source_id, target_id, domain, kind, file_id, start_line, start_column")
+def evidence_upsert(spark, sf_dir):
+    return generations.upsert_evidence(Graph(spark, sf_dir).edges)
+
+
+@query(f"{PRELUDE} SELECT count(*) AS n FROM edges WHERE source_id % 3 = 0 AND target_id % 2 = 0 AND file_id % 7 <> 0 AND file_id >= 10000000")
+def relation_admission(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    e = g.edges.where("source_id % 3 = 0")
+    return generations.admit_relations(e, g.entities.where("id % 3 = 0 OR id % 2 = 0").where("id % 2 = 0 OR id % 3 = 0"), g.files.where("id % 7 <> 0")).where("target_id % 2 = 0").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{PRELUDE} SELECT e.id, CASE WHEN c.id IS NOT NULL THEN e.containing_id END AS containing_id FROM entities e LEFT JOIN (SELECT id FROM entities WHERE id % 5 <> 0) c ON c.id = e.containing_id WHERE e.id % 5 <> 0")
+def container_repair(spark, sf_dir):
+    return generations.resolve_containers(Graph(spark, sf_dir).entities.where("id % 5 <> 0")).select("id", "containing_id")
+
+
+@query(f"{PRELUDE} SELECT containing_id AS source_id, id AS target_id, 'code' AS domain, 'contains' AS kind FROM entities WHERE containing_id IS NOT NULL")
+def implicit_contains(spark, sf_dir):
+    return generations.contains_edges(Graph(spark, sf_dir).entities)
+
+
+def _two(spark, sf_dir):
+    f = Graph(spark, sf_dir).files
+    after = f.where("id % 13 <> 0").withColumn("content_hash", F.when(F.col("project_id") % 7 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    return f.where("id % 17 <> 0"), after
+
+
+_TWO = "b AS (SELECT * FROM files WHERE id % 17 <> 0), a AS (SELECT * REPLACE (CASE WHEN project_id % 7 = 0 THEN concat(content_hash, 'x') ELSE content_hash END AS content_hash) FROM files WHERE id % 13 <> 0)"
+
+
+@query(f"{PRELUDE}, {_TWO} SELECT id, change FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.content_hash <> b.content_hash THEN 'changed' END AS change FROM b FULL JOIN a ON a.id = b.id) WHERE change IS NOT NULL")
+def changed_files(spark, sf_dir):
+    return generations.changed_files(*_two(spark, sf_dir))
+
+
+_FP = lambda t: f"(SELECT project_id, string_agg(concat(relative_path, ':', content_hash), chr(10) ORDER BY relative_path) AS fp FROM {t} GROUP BY project_id)"
+
+
+@query(f"""{PRELUDE.replace('WITH entities', 'WITH RECURSIVE entities', 1)}, {_TWO.replace('id % 17 <> 0', 'id % 13 <> 0')}, refs AS ({_REFERENCES}), up AS (SELECT x.project_id AS id FROM {_FP('a')} x LEFT JOIN {_FP('b')} y USING (project_id) WHERE y.fp IS NULL OR y.fp <> x.fp UNION SELECT r.source_id FROM refs r JOIN up ON up.id = r.target_id) SELECT id FROM up""")
+def invalidated_projects(spark, sf_dir):
+    _, after = _two(spark, sf_dir)
+    before = Graph(spark, sf_dir).files.where("id % 13 <> 0")
+    return generations.invalidated(generations.input_fingerprints(before), generations.input_fingerprints(after), _references(spark, sf_dir))
+
+
+@query(f"{PRELUDE} SELECT id, project_id, content_hash FROM files WHERE project_id % 2 = 0 UNION ALL SELECT id, project_id, concat(content_hash, 'n') FROM files WHERE project_id % 2 = 1")
+def generation_promote(spark, sf_dir):
+    f = Graph(spark, sf_dir).files.select("id", "project_id", "content_hash")
+    fresh = f.where("project_id % 2 = 1").withColumn("content_hash", F.concat("content_hash", F.lit("n")))
+    return generations.promote(f, fresh, f.where("project_id % 2 = 0").select("project_id").distinct())
+
+
+@query("""WITH p AS (SELECT c_name AS stable_key, c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_name AS stable_key, c_nationkey AS v FROM customer WHERE c_custkey % 5 <> 0)
+SELECT f.stable_key, f.v, coalesce(p.id, (SELECT max(id) FROM p) + n.k) AS id FROM f LEFT JOIN p USING (stable_key) LEFT JOIN (SELECT stable_key, row_number() OVER (ORDER BY stable_key) AS k FROM f WHERE stable_key NOT IN (SELECT stable_key FROM p)) n USING (stable_key)""")
+def entity_upsert(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    p = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("stable_key"), F.col("c_custkey").alias("id"))
+    f = c.where("c_custkey % 5 <> 0").select(F.col("c_name").alias("stable_key"), F.col("c_nationkey").alias("v"), F.lit(None).cast("bigint").alias("id"))
+    return generations.upsert_entities(p, f)
+
+
+# Changes
+
+_CODES = "CASE event_type WHEN 'signup' THEN 'A ' WHEN 'view' THEN ' M' WHEN 'error' THEN 'UU' WHEN 'click' THEN 'R ' ELSE '??' END"
+_DELTAS = f"SELECT event_id AS ord, {_CODES} AS code, CASE WHEN event_type = 'click' THEN concat('new/', c_name) WHEN event_id % 9 = 0 THEN concat(n_name, '/fresh.cs') ELSE concat(n_name, '/', c_name, '.cs') END AS path, CASE WHEN event_type = 'click' THEN concat(n_name, '/', c_name, '.cs') END AS old_path FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey"
+
+
+def _deltas(spark, sf_dir):
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return changes.normalised(Graph(spark, sf_dir)._sql(_DELTAS))
+
+
+_STATUS = "CASE code WHEN '??' THEN 'untracked' WHEN 'UU' THEN 'conflicted' WHEN 'R ' THEN 'renamed' WHEN 'A ' THEN 'added' ELSE 'modified' END"
+
+
+@query(f"SELECT {_STATUS} AS status, count(*) AS n FROM ({_DELTAS}) GROUP BY 1")
+def git_status_normalize(spark, sf_dir):
+    return _deltas(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MAPPED = f"""d AS (SELECT ord, {_STATUS} AS status, path, old_path FROM ({_DELTAS})), mapped AS (SELECT d.ord, d.status, d.path, d.old_path, coalesce(f.id, o.id) AS file_id, coalesce(f.project_id, o.project_id, p.project_id) AS project_id FROM d LEFT JOIN files f ON f.relative_path = d.path LEFT JOIN files o ON o.relative_path = d.old_path
+LEFT JOIN (SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, n_name FROM nation) p ON p.n_name = string_split(d.path, '/')[1])"""
+
+
+def _mapped(spark, sf_dir):
+    p = read(spark, sf_dir, "nation").select((F.lit(1000) + F.col("n_nationkey")).cast("bigint").alias("project_id"), F.col("n_name").alias("folder"))
+    return changes.map_deltas(_deltas(spark, sf_dir), Graph(spark, sf_dir).files, p)
+
+
+@query(f"{PRELUDE}, {_MAPPED} SELECT * FROM mapped")
+def change_map(spark, sf_dir):
+    return _mapped(spark, sf_dir)
+
+
+_RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {r}" for k, r in changes.KIND_RANK.items()) + " ELSE 10 END"
+_TOP = f"""located AS (SELECT containing_id AS file_id, id AS entity_id, kind, name FROM entities WHERE containing_id >= 10000000 UNION ALL SELECT id, id, kind, name FROM entities WHERE kind = 'file'),
+top AS (SELECT * FROM (SELECT file_id, entity_id, kind, name, {_RANK} AS rank, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, name, entity_id) AS place FROM located) WHERE place <= 25)"""
+
+
+def _located(spark, sf_dir):
+    e = Graph(spark, sf_dir).entities
+    own = e.where("containing_id >= 10000000").select(F.col("containing_id").alias("file_id"), F.col("id").alias("entity_id"), "kind", "name")
+    return own.unionByName(e.where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("id").alias("entity_id"), "kind", "name"))
+
+
+@query(f"{PRELUDE}, {_TOP} SELECT * FROM top")
+def file_entities_top25(spark, sf_dir):
+    return changes.file_entities(_located(spark, sf_dir))
+
+
+@query(f"{PRELUDE}, {_TOP} SELECT file_id, count(DISTINCT entity_id) AS n_entities FROM located GROUP BY file_id")
+def file_entity_counts(spark, sf_dir):
+    return changes.entity_counts(_located(spark, sf_dir))
+
+
+@query(f"""{PRELUDE}, {_MAPPED}, {_TOP}, few AS (SELECT * FROM mapped WHERE ord < 40 AND file_id IS NOT NULL), n AS (SELECT f.ord, f.file_id, c.n, coalesce(sum(c.n) OVER (ORDER BY f.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM few f JOIN (SELECT file_id, count(*) AS n FROM top GROUP BY file_id) c USING (file_id))
+SELECT n.ord, t.file_id, t.entity_id, t.kind, t.name, t.place FROM n JOIN top t USING (file_id) WHERE n.ahead < 100 AND t.place <= 100 - n.ahead""")
+def changed_entities(spark, sf_dir):
+    return changes.within_budget(_mapped(spark, sf_dir).where("ord < 40"), changes.file_entities(_located(spark, sf_dir)))
+
+
+_CLAIMS = "SELECT doc_id AS claim_id, CAST(30000000 + doc_id % 200 AS BIGINT) AS entity_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN quality = 1 THEN 'proposed' ELSE 'rejected' END AS status, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, doc_id % 97 AS updated FROM labels"
+_DEPS = "SELECT doc_id AS claim_id, 'file' AS kind, CAST(10000000 + doc_id % 150 AS BIGINT) AS ref_id FROM labels UNION ALL SELECT doc_id, 'entity', CAST(40000000 + doc_id % 1500 AS BIGINT) FROM labels UNION ALL SELECT doc_id, 'relation', CAST(1 + doc_id * 7 AS BIGINT) FROM labels"
+
+
+def _labels(spark, sf_dir, text):
+    read(spark, sf_dir, "labels").createOrReplaceTempView("labels")
+    return spark.sql(text)
+
+
+@query(f"""{PRELUDE}, ch AS (SELECT id AS file_id FROM files WHERE id % 9 = 0), touched AS (SELECT 'file' AS kind, file_id AS ref_id FROM ch UNION SELECT 'entity', id FROM entities WHERE containing_id IN (SELECT file_id FROM ch) UNION SELECT 'relation', relation_id FROM ev WHERE file_id IN (SELECT file_id FROM ch))
+SELECT claim_id, count(*) AS n_touched FROM (SELECT DISTINCT d.* FROM ({_DEPS}) d JOIN touched USING (kind, ref_id)) WHERE claim_id IN (SELECT claim_id FROM ({_CLAIMS}) WHERE status IN ('accepted', 'proposed')) GROUP BY claim_id""")
+def assessment_risk(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    where = g.entities.where("containing_id >= 10000000").select(F.col("containing_id").alias("file_id"), F.col("id").alias("entity_id"))
+    return changes.endangered_claims(g.files.where("id % 9 = 0").select(F.col("id").alias("file_id")), where, g.evidence, _labels(spark, sf_dir, _DEPS), _labels(spark, sf_dir, _CLAIMS))
+
+
+@query()
+def change_impacts(spark, sf_dir):
+    return changes.change_impacts(Graph(spark, sf_dir).relations.where("domain = 'code'"), [PART, PART + 1, ORDER])
+
+
+# Ledger
+
+
+@query("SELECT doc_id AS claim_id, CASE WHEN quality = 1 AND (toxic = 1 OR doc_id % 10 < 8) THEN 'proposed' WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM labels")
+def claim_status(spark, sf_dir):
+    x = read(spark, sf_dir, "labels")
+    kinds = F.when(F.col("toxic") == 1, F.array(F.lit("manual"))).otherwise(F.array(F.lit("manual"), F.lit("entity")))
+    asked = F.when(F.col("quality") == 1, "accepted").otherwise("rejected")
+    return x.select(F.col("doc_id").alias("claim_id"), ledger.granted_status(asked, kinds, (F.col("doc_id") % 10) / 10).alias("status"))
+
+
+_UPDATES = """SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'set_risk' WHEN 1 THEN 'set_risk' WHEN 2 THEN 'add_tag' WHEN 3 THEN 'set_purpose' ELSE 'unheard_of' END AS update_kind, CASE doc_id % 5 WHEN 0 THEN '{"kind":"set_risk","level":"high"}' WHEN 1 THEN '{"kind":"set_risk","level":"huge"}' WHEN 2 THEN '{"kind":"add_tag"}' WHEN 3 THEN '{"kind":"set_purpose","summary":"x","more":1}' ELSE '{}' END AS update FROM labels"""
+
+
+@query("SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'risk' WHEN 1 THEN 'risk' WHEN 2 THEN 'tag' WHEN 3 THEN 'purpose' END AS dimension, CASE doc_id % 5 WHEN 1 THEN 'level isn''t one of its values: huge' WHEN 2 THEN 'missing tag' WHEN 3 THEN 'unexpected more' WHEN 4 THEN 'unknown update kind' END AS error FROM labels")
+def claim_validation(spark, sf_dir):
+    return ledger.validated(_labels(spark, sf_dir, _UPDATES)).select("claim_id", "dimension", "error")
+
+
+@query(f"{PRELUDE} SELECT id AS relation_id, sha256(concat(source_id, '|', target_id, '|', domain, '|', kind, '|', coalesce(dispatch_kind, ''), '|')) AS fingerprint FROM relations")
+def relation_fingerprint(spark, sf_dir):
+    return ledger.relation_fingerprints(Graph(spark, sf_dir).relations.withColumn("logical_scope", F.lit(None).cast("string")))
+
+
+_ENTITY_FP = f"""h AS (SELECT l.entity_id, string_agg(DISTINCT f.content_hash, ',' ORDER BY f.content_hash) AS hashes FROM ({_LOC_SQL}) l JOIN files f ON f.id = l.file_id GROUP BY l.entity_id),
+fp AS (SELECT e.id AS entity_id, sha256(concat(kind, '|', qualified_name, '|', coalesce(signature, ''), '|', coalesce(hashes, ''))) AS fingerprint FROM entities e LEFT JOIN h ON h.entity_id = e.id)"""
+
+
+def _entity_fp(spark, sf_dir, files=None):
+    g = Graph(spark, sf_dir)
+    f = (g.files if files is None else files).select(F.col("id").alias("file_id"), "content_hash")
+    return ledger.entity_fingerprints(g.entities, _locations(spark, sf_dir).join(f, "file_id").select("entity_id", "content_hash"))
+
+
+@query(f"{PRELUDE}, {_ENTITY_FP} SELECT * FROM fp")
+def entity_fingerprint(spark, sf_dir):
+    return _entity_fp(spark, sf_dir)
+
+
+_FRESH = """dep AS (SELECT doc_id AS claim_id, 'file' AS kind, CAST(10000000 + doc_id % 200 AS VARCHAR) AS key FROM labels UNION ALL SELECT doc_id, 'entity', CAST(30000000 + doc_id % 300 AS VARCHAR) FROM labels),
+old AS (SELECT 'file' AS kind, CAST(id AS VARCHAR) AS key, content_hash AS value FROM files UNION ALL SELECT 'entity', CAST(id AS VARCHAR), qualified_name FROM entities WHERE kind = 'class'),
+cur AS (SELECT 'file' AS kind, CAST(id AS VARCHAR) AS key, CASE WHEN id % 11 = 0 THEN 'x' ELSE content_hash END AS value FROM files WHERE id % 13 <> 0 UNION ALL SELECT 'entity', CAST(id AS VARCHAR), qualified_name FROM entities WHERE kind = 'class' AND id % 7 <> 0)"""
+
+
+@query(f"""{PRELUDE}, {_FRESH}, x AS (SELECT d.claim_id, d.kind, d.key, o.value AS expected, c.value FROM dep d LEFT JOIN old o USING (kind, key) LEFT JOIN cur c USING (kind, key))
+SELECT claim_id, sum((expected IS DISTINCT FROM value)::BIGINT)::BIGINT AS n_stale, min(CASE WHEN expected IS DISTINCT FROM value THEN concat(kind, ' ', key, CASE WHEN value IS NULL THEN ' no longer exists' ELSE ' changed' END) END) AS reason FROM x GROUP BY claim_id""")
+def claim_freshness(spark, sf_dir):
+    deps, now = _fresh_inputs(spark, sf_dir)
+    return ledger.freshness(deps, now)
+
+
+def _fresh_inputs(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("claim_id"))
+    f = g.files.select(F.lit("file").alias("kind"), F.col("id").cast("string").alias("key"), F.col("content_hash").alias("value"), "id")
+    e = g.entities.where("kind = 'class'").select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("key"), F.col("qualified_name").alias("value"), "id")
+    old = f.unionByName(e).select("kind", "key", F.col("value").alias("expected"))
+    key = lambda base, n: (F.lit(base) + F.col("claim_id") % n).cast("string").alias("key")
+    deps = lab.select("claim_id", F.lit("file").alias("kind"), key(10_000_000, 200)).unionByName(lab.select("claim_id", F.lit("entity").alias("kind"), key(30_000_000, 300))).join(old, ["kind", "key"], "left")
+    now = f.where("id % 13 <> 0").withColumn("value", F.when(F.col("id") % 11 == 0, "x").otherwise(F.col("value"))).unionByName(e.where("id % 7 <> 0")).drop("id")
+    return deps, now
+
+
+_REVIEWS = "SELECT event_id AS seq, CAST(user_id AS BIGINT) AS claim_id, CASE event_type WHEN 'view' THEN 'revalidate' WHEN 'click' THEN 'dispute' WHEN 'error' THEN 'reject' ELSE 'supersede' END AS action FROM events"
+
+
+@query(f"SELECT c.claim_id, coalesce(CASE r.action WHEN 'revalidate' THEN 'accepted' WHEN 'dispute' THEN 'disputed' WHEN 'reject' THEN 'rejected' WHEN 'supersede' THEN 'superseded' END, c.status) AS status FROM ({_CLAIMS}) c LEFT JOIN (SELECT claim_id, arg_max(action, seq) AS action FROM ({_REVIEWS}) GROUP BY claim_id) r USING (claim_id)")
+def review_transitions(spark, sf_dir):
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return ledger.reviewed(_labels(spark, sf_dir, _CLAIMS), spark.sql(_REVIEWS)).select("claim_id", "status")
+
+
+@query(f"""{PRELUDE}, {_FRESH}, x AS (SELECT d.claim_id, bool_or(o.value IS DISTINCT FROM c.value) AS is_stale FROM dep d LEFT JOIN old o USING (kind, key) LEFT JOIN cur c USING (kind, key) GROUP BY d.claim_id)
+SELECT c.*, x.is_stale FROM ({_CLAIMS}) c JOIN x USING (claim_id) WHERE c.entity_id = {PART} AND c.status IN ('accepted', 'proposed', 'disputed', 'rejected', 'superseded') ORDER BY CASE WHEN status = 'accepted' THEN 0 ELSE 1 END, confidence DESC, updated DESC, claim_id LIMIT 51""")
+def entity_assessments(spark, sf_dir):
+    deps, now = _fresh_inputs(spark, sf_dir)
+    return ledger.assessments(_labels(spark, sf_dir, _CLAIMS), ledger.freshness(deps, now), PART, stale=True, history=True)
+
+
+# Packing
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE greatest(1, (length(text) + 3) // 4) END AS tokens FROM conversations")
+def token_estimates(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", token_estimate(F.col("text")).alias("tokens"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS m FROM conversations WHERE role = 'user')),
+l AS (SELECT *, {_LOW('w')} AS l FROM w), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, l ORDER BY i) AS k FROM l WHERE l NOT IN ({_STOPS})) WHERE k = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(w) DESC, i) AS place FROM f)
+SELECT c.conv_id, c.turn, coalesce(string_agg(r.w, ',' ORDER BY r.place) FILTER (WHERE r.place <= 8), '') AS terms FROM conversations c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
+def task_term_extraction(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", F.concat_ws(",", task_terms("text")).alias("terms"))
+
+
+def _focus_sql(terms: list[str]) -> str:
+    parts = []
+    for t in terms:
+        parts.append("CASE " + " ".join(f"WHEN {_HAS(c, t)} THEN {p}" for c, p in (("name", 40), ("qualified_name", 28), ("signature", 22), ("relative_path", 20), ("project_name", 18))) + " ELSE 0 END")
+    return f"least({' + '.join(parts)}, 120)"
+
+
+@query(f"{_ROWS} SELECT id, {_focus_sql(['widget', 'order', 'nation_1'])} AS score FROM rows")
+def focus_score(spark, sf_dir):
+    return _searchable(spark, sf_dir).select("id", packing.focus_score(["Widgets", "orders", "NATION_1"]).alias("score"))
+
+
+@query(f"""{_CLASSIFIED}, c AS (SELECT entity_id, depth, qualified_name, CASE WHEN related_test THEN 95 WHEN direct THEN 90 ELSE greatest(40, 75 - 5 * depth) END AS score FROM cl) SELECT entity_id, score, row_number() OVER (ORDER BY score DESC, depth, qualified_name, entity_id) AS place FROM c""")
+def candidate_rank(spark, sf_dir):
+    x = _classified(spark, sf_dir)
+    role = F.when(F.col("related_test"), "related_test").when(F.col("direct"), "direct").otherwise("transitive")
+    c = x.select("entity_id", F.col("place").alias("arrival"), "depth", "qualified_name", packing.base_score(role, F.col("depth")).alias("score"))
+    return packing.ranked_candidates(c).select("entity_id", "score", "place")
+
+
+_HITS = " UNION ALL ".join(f"SELECT '{t}' AS term, id AS entity_id, kind, CASE WHEN {_LOW('name')} = '{t}' THEN 0 WHEN starts_with({_LOW('name')}, '{t}') THEN 1 WHEN {_HAS('name', t)} THEN 2 ELSE 3 END AS match FROM entities WHERE {_HAS('name', t)} OR {_HAS('qualified_name', t)}" for t in ("widget", "nation_1", "order_12"))
+_BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in packing.KIND_BONUS.items()) + " ELSE 0 END"
+
+
+@query(f"""{PRELUDE}, hits AS ({_HITS}), s AS (SELECT entity_id, sum(CASE match WHEN 0 THEN 120 WHEN 1 THEN 70 WHEN 2 THEN 50 ELSE 30 END + {_BONUS})::BIGINT AS score, min(match) AS best, count(DISTINCT term) AS terms FROM hits GROUP BY entity_id) SELECT *, row_number() OVER (ORDER BY score DESC, best, entity_id) AS place FROM s""")
+def seed_candidates(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    hits = g._sql(_HITS.replace("starts_with", "startswith"), entities=g.entities)
+    return packing.seed_candidates(hits)
+
+
+@query()
+def context_pack(spark, sf_dir):
+    rows = candidate_rank(spark, sf_dir).orderBy("place").limit(1000).collect()
+    items = [{"role": "seed" if i == 0 else "item", "kind": "method", "id": r.entity_id, "score": r.score} for i, r in enumerate(rows)]
+    out = packing.context_pack(items, [], ["test"], ["p"], 2000)
+    return spark.createDataFrame([(i, x["id"], x["tokens"]) for i, x in enumerate(out["items"])], "place int, entity_id bigint, tokens int")
+
+
+@query("""WITH s AS (SELECT doc_id AS file_id, 1 + doc_id % 5 AS start_line, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 <> 0), x AS (SELECT file_id, greatest(1, start_line - 3)::INT AS first_line, least(len(l), start_line + 3, greatest(1, start_line - 3) + 39)::INT AS last_line, l FROM s)
+SELECT file_id, first_line, last_line, array_to_string(l[first_line:last_line], chr(10)) AS slice FROM x WHERE first_line <= last_line""")
+def source_slices(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text", (F.col("doc_id") % 10 == 0).alias("is_generated"))
+    return packing.source_slices(d, d.select("file_id", (1 + F.col("file_id") % 5).cast("int").alias("start_line")))
