@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_duplicates(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the name of their rule."""
     return secret_scan.redact(docs)
 
@@ -43,7 +43,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("simhash near-dedup", near_dedup),
-    ("secret scan", secret_scan),
+    ("secret scan", redaction),
     ("mixing to weights", mixing_to_weights),
     ("sentencepiece encoding", encoding),
 ]
