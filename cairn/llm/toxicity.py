@@ -2,8 +2,8 @@
 
 Voters (lexicons and patterns) each vote toxic, clean or abstain on every document. A generative label
 model estimates their accuracies and correlations without any label: a latent class with class-conditional
-vote tables, fitted by expectation maximisation; voters whose votes still correlate within the classes are
-joined into cliques with a joint table, and the fit is repeated. A linear classifier is then trained on the
+vote tables, fitted by expectation maximisation; voters that agree beyond what the class explains are joined into
+cliques with a joint table, so that they don't count as independent. A linear classifier is then trained on the
 posterior labels and scores every document.
 
 Lexicons of public insults can't know every language. Where a table of labels is given, three more lexicons are
@@ -100,7 +100,6 @@ class LabelModel:
             self.accuracies = np.full(len(VOTERS), np.nan)
             return
         self.posterior = self.start()
-        self.fit()
         self.cliques = self.linked()
         self.fit()
         self.accuracies = self.measured()
@@ -134,7 +133,11 @@ class LabelModel:
             self.posterior = 1 - self.posterior
 
     def linked(self, least: float = 0.3, most: int = 3) -> list[list[int]]:
-        """Voters joined where their votes correlate beyond what the class explains, strongest first."""
+        """Voters joined where their votes agree beyond what the class explains, strongest first.
+
+        Judged within the classes that the vote shares give: a fit that took the voters for independent
+        would have taken the strongest correlation for the class itself.
+        """
         m = len(VOTERS)
         signal = (self.votes == TOXIC).astype(float) - (self.votes == CLEAN)
         for i in range(m):
@@ -145,7 +148,7 @@ class LabelModel:
                     w = w / max(w.sum(), 1e-9)
                     a, b = signal[:, i] - w @ signal[:, i], signal[:, j] - w @ signal[:, j]
                     scale = np.sqrt((w @ (a * a)) * (w @ (b * b)))
-                    total = max(total, abs(w @ (a * b)) / scale if scale > 1e-9 else 0.0)
+                    total = max(total, (w @ (a * b)) / scale if scale > 1e-9 else 0.0)
                 self.correlations[j, i] = float(total)
         clique = {i: [i] for i in range(m)}
         for (j, i), r in sorted(self.correlations.items(), key=lambda x: (-x[1], x[0])):
