@@ -1,0 +1,387 @@
+"""The operators against brute force, SQL or exact round trips."""
+
+import random
+import re
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cairn.llm import ann, automaton, brown, mixing, pieces, quality, registry, secret_scan, sharding, simhash, toxicity, warc
+from cairn.llm.common import table
+
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("name", registry.oracle_sql())
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    cols = [d[0] for d in want.description]
+    got = registry.queries()[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(cols)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+# SimHash
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 7), st.data())
+def test_masks_cover_every_pair_within_the_radius(radius, data):
+    flips = data.draw(st.sets(st.integers(0, 63), max_size=radius))
+    diff = np.uint64(sum(1 << i for i in flips))
+    masks = simhash.masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1 and ((masks & diff) == 0).any()
+
+
+def components(pairs, ids):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {(i, find(i)) for i in ids if find(i) != i}
+
+
+def near_pairs(rows):
+    valid, prints = simhash.fingerprints([t for _, t in rows])
+    for k in range(simhash.PRINTS):
+        d = simhash.popcount(prints[:, k][:, None] ^ prints[:, k][None, :])
+        for a, b in zip(*np.nonzero((d <= simhash.RADIUS) & valid[:, None] & valid[None, :])):
+            yield rows[a][0], rows[b][0]
+
+
+def test_duplicates_equal_all_pairs(spark):
+    docs = table(spark, MEDIUM, "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = components(near_pairs(rows), [i for i, _ in rows])
+    assert {tuple(r) for r in simhash.duplicates(docs).collect()} == want and len(want) > 50
+
+
+def test_thousands_of_copies(spark):
+    rng = random.Random(4)
+    words = [f"word{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(1500):
+        w = list(words)
+        for _ in range(i % 4):
+            w[rng.randrange(300)] = f"other{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, " ".join(f"free{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    out = {tuple(r) for r in simhash.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {(i, 0) for i in range(1, 1500)}
+
+
+def test_links_keep_connectivity():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 5).astype(np.uint64)
+    v = np.array([b ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for b in base for i, j in rng.integers(0, 60, (40, 2))], dtype=np.uint64)
+    d = simhash.popcount(v[:, None] ^ v[None, :])
+    every = components([(int(v[a]), int(v[b])) for a, b in zip(*np.nonzero(d <= 3))], {int(x) for x in v})
+    assert components(simhash.links_in_run(v, 3), {int(x) for x in v}) == every
+
+
+# Secrets
+
+
+def test_scan_equals_regular_expressions():
+    rng = random.Random(3)
+    parts = ["AKIA", "A1B2C3D4E5F6G7H8", "ghp_", "a" * 36, "Z9" * 20, " ", "\n", "é", "password", "=", ": ", '"', "eyJabcdefgh", ".", "-", "sk-", "xoxb-", "12345", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "u:", "pw1!", "@", "https://bob:secret12@x", "TOKEN = ", "9" * 12, "npm_", "AIza"]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        got = {}
+        for _, t, found in secret_scan.scan_texts(pa.array([None, text])):
+            for i, s, e in found:
+                got.setdefault(i, []).append((s, e))
+        want = {}
+        for i, (_, p) in enumerate(secret_scan.RULES):
+            flag, p = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
+            spans = [m.span() for m in re.finditer(f"{flag}(?<![{automaton.TOKEN_SET}]){p}".encode(), text.encode())]
+            if spans:
+                want[i] = spans
+                seen += len(spans)
+        assert got == want, text
+    assert seen > 300
+
+
+def test_automaton_is_minimal_and_resets():
+    dfa = secret_scan.compiled()
+    _, part = np.unique(dfa.accepts, return_inverse=True)
+    for _ in range(len(dfa.accepts)):
+        _, now = np.unique(np.concatenate([part[:, None], part[dfa.table]], axis=1), axis=0, return_inverse=True)
+        if now.max() == part.max():
+            break
+        part = now
+    assert now.max() + 1 == len(dfa.accepts)
+    assert 10 in dfa.resets
+
+
+# Pieces
+
+
+@pytest.fixture(scope="module")
+def library():
+    return pytest.importorskip("sentencepiece")
+
+
+def samples():
+    rng = random.Random(2)
+    alpha = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "é", "日本", "🎉", "x", "1", "2024", ".", "...", "   ", "▁", "\r", "// ", "==", "AAAA", "aaaa", "http", "Ünï", "́"]
+    return ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n", " a ", "\x00", "a" * 500]
+
+
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode_texts(texts, {})
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_bpe_ids_equal_the_library(spark, library):
+    lib = library.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = samples() + [r.text for r in table(spark, SMALL, "documents").collect()]
+    got = encoded(pieces.encoder(pieces.MODEL), texts)
+    assert got == lib.encode(texts)
+    decoder = pieces.decoder(pieces.MODEL)
+    assert [decoder.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
+
+
+def test_unigram_is_the_best_score():
+    model = pieces.Model(["<unk>", "a", "b", "ab", "▁", "▁a", "abb", "ba", "▁ab"], [0, -1.0, -1.5, -1.7, -2.0, -2.2, -3.1, -2.0, -4.0], [2, 1, 1, 1, 1, 1, 1, 1, 1])
+    enc = pieces.Encoder(model)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 9)))
+        whole = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-1e9] * len(whole)
+        for j in range(1, len(whole) + 1):
+            best[j] = max(best[i] + model.scores[enc.ids[whole[i:j]]] for i in range(j) if whole[i:j] in enc.ids)
+        (got,) = encoded(enc, [text])
+        assert sum(model.scores[i] for i in got) == pytest.approx(best[-1])
+
+
+def test_decode(spark):
+    docs = table(spark, SMALL, "documents")
+    back = pieces.decode(pieces.encode(docs)).withColumnRenamed("text", "back")
+    assert back.join(docs, "doc_id").where("back <> text").count() == 0
+
+
+# Mixing
+
+
+def test_budgets_are_exact(spark):
+    docs = table(spark, MEDIUM, "documents")
+    out = mixing.mixture(docs, {"src0": 3.0, "src1": 0.0}, 900_000)
+    share = {r.source: r.n for r in out.groupBy("source").agg(F.sum("take_tokens").alias("n")).collect()}
+    n = docs.select("source").distinct().count()
+    assert "src1" not in share and len(share) == n - 1
+    for s, tokens in share.items():
+        assert tokens == int(900_000 * (3.0 if s == "src0" else 1.0) / (3.0 + n - 2))
+    drawn = sorted((r.doc_id) for r in out.collect())
+    assert drawn == sorted(r.doc_id for r in mixing.mix_documents(docs, {"src0": 3.0, "src1": 0.0}, 900_000).select("doc_id").collect())
+    assert max(map(drawn.count, set(drawn))) > 1
+
+
+# Sharding
+
+
+def test_shards(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    target = 1 << 19
+    out = sharding.shard(docs, target).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    rows = out.select("shard_id", "source", "doc_id", F.octet_length("text").alias("n"), "p", "m").toPandas()
+    assert len(rows) == docs.count()
+    by = rows.sort_values(["source", "doc_id"])
+    assert by.shard_id.is_monotonic_increasing
+    assert rows.groupby("shard_id").p.nunique().max() == 1
+    sizes = rows.groupby("shard_id").n.sum()
+    assert sizes.max() <= sharding.SLACK * target + rows.n.max() and sizes.median() > target / 2
+    assert rows.sort_values("m").groupby("p").shard_id.apply(lambda s: s.is_monotonic_increasing).all()
+
+
+def test_equal_keys_stay_together(spark):
+    docs = spark.createDataFrame([(1, "x" * 1000, "en", "a", 1000)] * 50 + [(i, "y" * 1000, "en", "a", 1000) for i in range(2, 40)], DOCS)
+    out = sharding.shard(docs, 4000).select("doc_id", "shard_id").distinct().collect()
+    assert len(out) == 39 and len({r.shard_id for r in out}) >= 8
+
+
+# Neighbours
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall(spark, sf):
+    v = table(spark, f"/root/testdata/sf{sf}", "embeddings")
+    rows = v.toPandas()
+    x, ids = np.array(rows.embedding.tolist(), dtype=np.float64), rows.vec_id.to_numpy()
+    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = ids[np.argsort(d, axis=1)[:, : ann.K]]
+    out = ann.neighbours(v).toPandas()
+    got = out.groupby("vec_id").neighbour_id.apply(set)
+    assert len(got) == len(ids) and (out.groupby("vec_id").size() == ann.K).all()
+    assert np.mean([len(set(w) & got[i]) / ann.K for w, i in zip(want, ids)]) >= 0.9
+    at = {i: k for k, i in enumerate(ids)}
+    for r in out.head(200).itertuples():
+        assert r.distance == pytest.approx(np.linalg.norm(x[at[r.vec_id]] - x[at[r.neighbour_id]]), abs=1e-12)
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(12_000)] + [(20_000, [9.0, 9.0, 9.0])]
+    out = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=2)
+    assert out.where("vec_id < 12000").agg(F.max("distance")).first()[0] == 0.0 and out.count() >= 24_000
+
+
+# Class-based language model
+
+
+def test_moves_equal_recounting():
+    rng = np.random.default_rng(5)
+    words, k, free = 14, 5, 4
+    n = rng.integers(0, 4, (words, words)).astype(float)
+    classes = rng.integers(0, free, words)
+    classes[0] = 4
+
+    def counts(c):
+        m = np.zeros((k, k))
+        np.add.at(m, (c[:, None], c[None, :]), n)
+        return m
+
+    m = counts(classes)
+    own = np.diag(n).copy()
+    right, left = np.zeros((words, k)), np.zeros((words, k))
+    for w in range(words):
+        for o in range(words):
+            if o != w:
+                right[w, classes[o]] += n[w, o]
+                left[w, classes[o]] += n[o, w]
+    ids = np.arange(1, words)
+    best, gain = brown.best_moves(classes, m, ids, own[1:], right[1:], left[1:], free)
+    for w, b, g in zip(ids, best, gain):
+        values = []
+        for c in range(free):
+            moved = classes.copy()
+            moved[w] = c
+            values.append(brown.likelihood(counts(moved)))
+        assert values[b] == pytest.approx(max(values)) and g == pytest.approx(values[b] - brown.likelihood(m), abs=1e-6)
+
+
+def test_model_counts_and_scores(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "the dog sat", "a cat ran fast", "the dog ran", ""] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = brown.train(docs, rounds=4)
+    c, n = model.classes, np.zeros((model.k, model.k))
+    for _, t in rows:
+        seq = [0, *(model.ids[w] for w in t.split()), 0]
+        for a, b in zip(seq, seq[1:]):
+            n[c[a], c[b]] += 1
+    assert (n == model.bigrams).all() and max(model.history) >= model.history[0]
+    share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * model.k)
+    for r in brown.score(docs, model).collect():
+        seq = [0, *(model.ids[w] for w in dict(rows)[r.doc_id].split()), 0]
+        log = 0.0
+        for a, b in zip(seq, seq[1:]):
+            log += np.log((n[c[a], c[b]] + brown.PRIOR * share[c[b]]) / (n[c[a]].sum() + brown.PRIOR))
+            if b:
+                own = [w for w in range(brown.FIRST, len(c)) if c[w] == c[b]]
+                log += np.log((model.counts[b] + 0.5) / sum(model.counts[w] + 0.5 for w in own))
+        assert r.log_prob == pytest.approx(log, abs=1e-5)
+    p = np.exp(model.transition).sum(axis=1)
+    assert p == pytest.approx(np.ones(model.k))
+
+
+def test_clustering_raises_likelihood(spark):
+    model = brown.train(table(spark, SMALL, "documents"), rounds=5)
+    assert max(model.history) > model.history[0] + 1000
+
+
+# Toxicity
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    out = toxicity.classify(docs, labels.where("doc_id % 2 = 0")).withColumnRenamed("toxic", "said")
+    rows = out.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("said", "toxic").count().collect()
+    n = {(r.said, r.toxic): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.85
+    assert n.get((1, 0), 0) / (n.get((1, 0), 0) + n[0, 0]) < 0.02
+
+
+def test_label_model_finds_accuracies_and_links():
+    rng = np.random.default_rng(1)
+    truth = rng.random(60_000) < 0.2
+    n = len(toxicity.VOTERS)
+    votes = np.zeros((len(truth), n), dtype=np.int64)
+    for i, acc in enumerate([0.9, 0.85, 0.8, 0.75, 0.7]):
+        right = rng.random(len(truth)) < acc
+        votes[:, i] = np.where(right == truth, toxicity.TOXIC, toxicity.CLEAN)
+    votes[:, 5] = np.where(rng.random(len(truth)) < 0.95, votes[:, 4], 3 - votes[:, 4])
+    patterns, counts = np.unique((votes << (2 * np.arange(n))).sum(axis=1), return_counts=True)
+    model = toxicity.LabelModel(patterns, counts)
+    assert [4, 5] in model.cliques
+    # Voters of known accuracy: right on toxic and clean alike.
+    assert model.accuracies[:4] == pytest.approx([0.9, 0.85, 0.8, 0.75], abs=0.05)
+
+
+# WARC
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 50))
+def test_chunking_round_trip(body, size):
+    framed = warc.chunked(body, size)
+    assert warc.dechunked(framed) == body
+    assert warc.dechunked(framed[:-3]) is None
+
+
+def test_reassembly_statuses(spark):
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    block = head + b"5;x=1\r\nhello\r\n6\r\n world\r\n0\r\nTrailer: 1\r\n\r\n"
+    a, b, c = block[:20], block[20:50], block[50:]
+    rows = [
+        ("ok", None, 1, None, "u", a), ("ok2", "ok", 3, len(block), None, c), ("ok1", "ok", 2, None, None, b), ("ok1", "ok", 2, None, None, b),
+        ("gap", None, 1, None, "u", a), ("g3", "gap", 3, len(block), None, c),
+        ("long", None, 1, None, "u", block), ("l2", "long", 2, 7, None, b""),
+        ("open", None, 1, None, "u", a), ("o2", "open", 2, None, None, b + c),
+        ("two", None, 1, None, "u", a), ("t2", "two", 2, 9, None, b), ("t3", "two", 2, 9, None, c),
+        ("cut", None, None, None, "u", block[:-9]), ("plain", None, None, None, "u", b"no head"), ("zero", None, 0, None, "u", a),
+        (None, None, 1, None, "u", block), ("bare", None, None, None, "u", b"HTTP/1.0 404 Not Found\r\n\r\nbody"), ("null", None, None, None, "u", None),
+    ]
+    out = {r.record_id: r for r in warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
+    assert {k: r.status for k, r in out.items()} == {"ok": "ok", "gap": "missing_segment", "long": "length_mismatch", "open": "missing_total", "two": "conflict", "cut": "bad_chunk", "plain": "no_http", "zero": "bad_number", None: "no_id", "bare": "ok", "null": "no_http"}
+    assert bytes(out["ok"].body) == b"hello world" and out["ok"].n_segments == 3
+    assert bytes(out["bare"].body) == b"body" and out["bare"].http_status == 404
+
+
+def test_read_warc_files(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n<html>"
+    record = lambda extra, data: b"WARC/1.0\r\n" + extra + b"Content-Length: %d\r\n\r\n" % len(data) + data + b"\r\n\r\n"
+    first = record(b"WARC-Record-ID: <a>\r\nWARC-Segment-Number: 1\r\nWARC-Target-URI: http://x\r\n", block[:10])
+    second = record(b"WARC-Record-ID: <b>\r\nWARC-Segment-Origin-ID: <a>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: %d\r\n" % len(block), block[10:])
+    (tmp_path / "one.warc").write_bytes(first)
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(second))
+    (r,) = warc.reassemble(warc.read_warc(spark, str(tmp_path))).collect()
+    assert (r.record_id, r.target_uri, r.status, bytes(r.body)) == ("<a>", "http://x", "ok", b"<html>")
+
+
+# Quality
+
+
+def test_quality_separates_labels(spark):
+    docs, labels = (table(spark, MEDIUM, t) for t in ("documents", "labels"))
+    rows = quality.apply_policy(quality.ledger(docs)).join(labels, "doc_id").groupBy("quality", "keep_v2").count().collect()
+    n = {(r.quality, r.keep_v2): r["count"] for r in rows}
+    assert n.get((1, 0), 0) == 0 and n.get((0, 1), 0) <= 0.05 * n[0, 0]
