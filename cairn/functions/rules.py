@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LANGUAGES = {"cs": "csharp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "json": "json", "csproj": "msbuild", "props": "msbuild", "targets": "msbuild", "sln": "solution", "slnx": "solution", "md": "markdown", "sql": "sql", "razor": "razor", "cshtml": "razor", "yml": "yaml", "yaml": "yaml", "xml": "xml"}
-NAMED_FILES = [".editorconfig", "dockerfile", "global.json", "agents.md", "claude.md"]
+LANGUAGES = {ext: lang for lang, exts in {"csharp": "cs", "razor": "cshtml razor", "typescript": "ts", "typescriptreact": "tsx", "javascript": "js", "javascriptreact": "jsx", "sql": "sql", "markdown": "md", "xml": "csproj props slnx targets", "yaml": "yaml yml", "json": "json"}.items() for ext in exts.split()}
+ADMITTED = sorted(set(LANGUAGES) - {"json"} | {"sln", "editorconfig"})
+NAMED_FILES = "^(global\\.json|package(-lock)?\\.json|pnpm-lock\\.yaml|yarn\\.lock|tsconfig.*\\.json)$"
 EXCLUDED_DIRS = "(?i)(^|/)(\\.git|\\.vs|\\.idea|node_modules|bin|obj|dist|out|bin_[^/]*|obj_[^/]*)/"
 
 
@@ -27,7 +28,7 @@ def language(path: Column) -> Column:
 
 def admitted(path: Column) -> Column:
     """Known extensions and named files outside of excluded folders."""
-    return (extension(path).isin(*LANGUAGES) | F.lower(file_name(path)).isin(*NAMED_FILES)) & ~path.rlike(EXCLUDED_DIRS)
+    return (extension(path).isin(*ADMITTED) | F.lower(file_name(path)).rlike(NAMED_FILES)) & ~path.rlike(EXCLUDED_DIRS)
 
 
 def is_generated(path: Column) -> Column:
@@ -52,7 +53,7 @@ def git_status(code: Column) -> Column:
 def route_path(template: Column) -> Column:
     """A request template as a path: no scheme and host, no leading {base}, no query, no outer slashes, no doubles."""
     t = F.regexp_replace(template, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    t = F.regexp_replace(t, "^\\{[^}/]*\\}(?=/|$)", "")
+    t = F.regexp_replace(t, "^\\{[^}]*\\}(?=/)", "")
     t = F.regexp_replace(t, "[?#].*$", "")
     return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(t, "/+", "/"), "^/|/$", ""))
 
@@ -68,31 +69,37 @@ def route_matches(request: Column, endpoint: Column) -> Column:
 
 
 def combined_route(prefix: Column, action: Column, controller: Column, method: Column) -> Column:
-    """An action's route: absolute ones override the prefix; [controller] and [action] are filled in."""
+    """An action's route: one that starts with a slash overrides the prefix; [controller] and [action] are filled in."""
     action, prefix = F.coalesce(action, F.lit("")), F.coalesce(prefix, F.lit(""))
-    absolute = action.startswith("/") | action.startswith("~/")
-    raw = F.when(absolute, F.regexp_replace(action, "^~", "")).otherwise(F.concat_ws("/", F.when(prefix != "", prefix), F.when(action != "", action)))
+    raw = F.when(action.startswith("/"), action).otherwise(F.concat_ws("/", F.when(F.trim(prefix) != "", prefix), F.when(F.trim(action) != "", action)))
     name = F.regexp_replace(controller, "Controller$", "")
     quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     filled = F.regexp_replace(F.regexp_replace(raw, F.lit("(?i)\\[controller\\]"), quoted(name)), F.lit("(?i)\\[action\\]"), quoted(method))
-    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(filled, "/+", "/"), "^/|/$", ""))
+    return F.concat(F.lit("/"), F.regexp_replace(F.trim(filled), "^/+|/+$", ""))
 
 
-SQL_OBJECT = '(?i)\\b(?:from|join|update|into|delete\\s+from|truncate\\s+table)\\s+([A-Za-z_\\[\\]"`.][A-Za-z0-9_\\[\\]"`.]*)'
+_NAME = '"?[A-Za-z_][A-Za-z0-9_]*"?'
+SQL_OBJECT = f"(?i)\\b(?:truncate\\s+table|delete\\s+from|into|update|join|from)\\s+({_NAME}(?:\\.{_NAME})?)"
 
 
 def sql_objects(sql: Column) -> Column:
     """Names after FROM, JOIN, UPDATE, INTO, DELETE FROM, TRUNCATE TABLE: unquoted, lower case, distinct, sorted."""
-    names = F.transform(F.regexp_extract_all(sql, F.lit(SQL_OBJECT), F.lit(1)), lambda x: F.lower(F.regexp_replace(x, '[\\[\\]"`]', "")))
+    names = F.transform(F.regexp_extract_all(sql, F.lit(SQL_OBJECT), F.lit(1)), lambda x: F.lower(F.replace(x, F.lit('"'), F.lit(""))))
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: x != "")))
 
 
 def sql_effect(sql: Column) -> Column:
-    word = F.upper(F.regexp_extract(sql, "^\\s*([A-Za-z]+)", 1))
-    return F.when(word.isin("SELECT", "WITH"), "reads").when(word == "INSERT", "inserts").when(word.isin("UPDATE", "MERGE"), "writes").when(word.isin("DELETE", "TRUNCATE"), "deletes").otherwise("executes")
+    """By the word that the text begins with."""
+    text = F.upper(F.ltrim(sql))
+    begins = lambda *words: text.rlike("^(" + "|".join(words) + ")")
+    return F.when(begins("SELECT", "WITH"), "reads").when(begins("INSERT"), "inserts").when(begins("UPDATE"), "writes").when(begins("DELETE"), "deletes").otherwise("executes")
 
 
-EF_EFFECTS = {"reads": "ToListAsync FirstOrDefaultAsync SingleAsync AnyAsync CountAsync Find FindAsync Where ToList First Single".split(), "inserts": "Add AddAsync AddRange AddRangeAsync".split(), "writes": "Update UpdateRange ExecuteUpdateAsync SaveChanges SaveChangesAsync".split(), "deletes": "Remove RemoveRange ExecuteDeleteAsync".split()}
+def _both(names: str) -> list[str]:
+    return [n + end for n in names.split() for end in ("", "Async")]
+
+
+EF_EFFECTS = {"reads": _both("Any Count Find First FirstOrDefault LongCount Single SingleOrDefault ToArray ToList"), "inserts": _both("Add AddRange"), "writes": [*_both("ExecuteUpdate"), "Update", "UpdateRange"], "deletes": [*_both("ExecuteDelete"), "Remove", "RemoveRange"]}
 
 
 def ef_effect(method: Column) -> Column:
@@ -130,11 +137,12 @@ def project_kind(sdk: Column, output: Column, is_test: Column) -> Column:
     return F.when(is_test, "test").when(sdk.contains("Sdk.Web"), "web").when(sdk.contains("Sdk.Worker"), "worker").when(F.lower(output).isin("exe", "winexe"), "application").otherwise("library")
 
 
-SCRIPT_KINDS = [("test", "test_command"), ("migrat", "migration_command"), ("lint", "format_command"), ("format", "format_command"), ("generate", "generation_command"), ("build", "build_command"), ("start", "run_command"), ("dev", "run_command"), ("pack", "package_command")]
+#: In order: what a script's name contains, and its kind.
+SCRIPT_KINDS = [("build", "build"), ("test", "test"), ("format|lint", "format"), ("generate|codegen", "generate"), ("package|^pack$", "package"), ("migrate", "migrate")]
 
 
 def script_kind(name: Column) -> Column:
-    return reduce(lambda out, kv: F.when(F.lower(name).contains(kv[0]), kv[1]).otherwise(out), reversed(SCRIPT_KINDS), F.lit(None).cast("string"))
+    return reduce(lambda out, kv: F.when(F.lower(name).rlike(kv[0]), kv[1]).otherwise(out), reversed(SCRIPT_KINDS), F.lit("run"))
 
 
 def rule_precedence(base: Column, folder: Column) -> Column:

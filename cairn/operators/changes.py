@@ -10,7 +10,7 @@ from cairn.functions.rules import git_status
 from cairn.operators.common import nearest_folder
 from cairn.operators.traverse import change_surface, surface_frame
 
-KIND_RANK = {"http_endpoint": 0, "minimal_api_handler": 1, "http_request": 2, "database_operation": 3, "test_case": 4, "class": 5, "interface": 5, "method": 6, "file": 20}
+KIND_RANK = {"file": 20, **{k: i for i, k in enumerate("http_endpoint class interface record method test_case".split())}}
 PER_FILE = 25
 
 
@@ -33,7 +33,7 @@ def map_deltas(deltas: DataFrame, files: DataFrame, projects: DataFrame) -> Data
 
 
 def file_entities(located: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """The first entities of each file: by the rank of their kind, then by name. located: (file_id, entity_id, kind, name)."""
+    """The first entities of each file: by the rank of their kind, then by name. located: (file_id, entity_id, kind, name); name is the qualified one."""
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_RANK.items() for x in kv]), F.col("kind")), F.lit(10))
     x = located.select("file_id", "entity_id", "kind", "name", rank.alias("rank")).distinct()
     place = F.row_number().over(W.partitionBy("file_id").orderBy("rank", "name", "entity_id"))
@@ -63,11 +63,11 @@ def endangered_claims(changed: DataFrame, locations: DataFrame, evidence: DataFr
     return x.groupBy("claim_id").agg(F.countDistinct("kind", "ref_id").alias("n_touched"))
 
 
-def change_impacts(relations: DataFrame, seeds: list[int], max_depth: int = 2, max_entities: int = 100, most_seeds: int = 8) -> DataFrame:
+def change_impacts(relations: DataFrame, seeds: list[int], max_depth: int = 2, max_entities: int = 100, most_seeds: int = 8, entities: DataFrame | None = None) -> DataFrame:
     """(entity_id, depth, seeds): the surfaces of up to eight changed entities, each entity at its least depth."""
     out = None
     for s in seeds[:most_seeds]:
-        one = surface_frame(relations, change_surface(relations, s, max_depth=max_depth, max_entities=max_entities)).select("entity_id", "depth", F.lit(s).alias("seed"))
+        one = surface_frame(relations, change_surface(relations, s, max_depth=max_depth, max_entities=max_entities, entities=entities)).select("entity_id", "depth", F.lit(s).alias("seed"))
         out = one if out is None else out.union(one)
     x = out.where(~F.col("entity_id").isin(seeds))
     return x.groupBy("entity_id").agg(F.min("depth").alias("depth"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("seed").cast("string")))).alias("seeds"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.identity import digest
 from cairn.operators.edges import bounded
-from cairn.schema import UPDATE_SHAPES, VOCABULARIES
+from cairn.schema import GROUP_KINDS, UPDATE_SHAPES, VOCABULARIES
 
 OPERATION_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,127}")
 
@@ -54,9 +54,12 @@ def validated(updates: DataFrame) -> DataFrame:
     missing, extra = F.array_except("required", "v_keys"), F.array_except("v_keys", "allowed")
     error = F.when(F.col("dimension").isNull(), F.lit("unknown update kind")).when(F.col("v_keys").isNull(), F.lit("not an object"))
     error = error.when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(missing), ","))).when(F.size(extra) > 0, F.concat(F.lit("unexpected "), F.array_join(F.array_sort(extra), ",")))
-    for prop, values in VOCABULARIES.items():
+    for name, values in VOCABULARIES.items():
+        kind, prop = name.split(".")
         given = F.get_json_object("update", f"$.{prop}")
-        error = error.when(given.isNotNull() & ~given.isin(values) & F.array_contains("allowed", prop), F.concat(F.lit(f"{prop} isn't one of its values: "), given))
+        error = error.when((F.col("update_kind") == kind) & given.isNotNull() & ~given.isin(values), F.concat(F.lit(f"{prop} isn't one of its values: "), given))
+    group = F.get_json_object("update", "$.group.kind")
+    error = error.when(group.isNotNull() & ~group.isin(GROUP_KINDS), F.concat(F.lit("group isn't of one of its kinds: "), group))
     return x.withColumn("error", error).drop("v_keys", "required", "allowed")
 
 

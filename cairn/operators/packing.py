@@ -14,7 +14,7 @@ from cairn.functions.text import ascii_lower, fold
 from cairn.operators.edges import bounded
 
 CAPS = {"http_endpoint": 6, "class": 6, "constructor": 4}
-KIND_BONUS = {"http_endpoint": 20, "class": 15, "interface": 15, "method": 10, "file": -10}
+KIND_BONUS = {"service_registration": 12, "interface": 15, "class": 15, "database_object": 18, "database_operation": 18, "method": 20, "http_endpoint": 25}
 
 
 def base_score(item: Column, depth: Column) -> Column:
@@ -22,13 +22,26 @@ def base_score(item: Column, depth: Column) -> Column:
     return F.when(item == "seed", 100).when(item == "related_test", 95).when(item == "direct", 90).otherwise(F.greatest(F.lit(40), 75 - 5 * depth))
 
 
-def focus_score(terms: list[str], most: int = 120) -> Column:
-    """Per term the best of name, qualified name, signature, path and project (40/28/22/20/18)."""
+def focus_terms(terms: list[str], seed_project: str | None = None) -> list[str]:
+    """Trimmed, of three characters or more, distinct in any case, not the seed's project, twelve at most."""
+    out: dict[str, str] = {}
+    for t in (t.strip() for t in terms):
+        if len(t) >= 3 and fold(t) != fold(seed_project or ""):
+            out.setdefault(fold(t), t)
+    return list(out.values())[:12]
+
+
+def focus_score(terms: list[str], seed_project: str | None = None, most: int = 120) -> Column:
+    """Per term the best of: the name 40, in the name 28, in a kind 22, in the qualified name 20, in signature or path 18.
+
+    Columns: name, kind, via_kind, qualified_name, signature, evidence_path.
+    """
     parts = []
-    for t in map(fold, terms):
-        t = t[:-1] if len(t) > 4 and t.endswith("s") else t
+    for raw in map(fold, focus_terms(terms, seed_project)):
+        t = raw[:-1] if len(raw) > 4 and raw.endswith("s") else raw
         has = lambda c: F.coalesce(F.instr(ascii_lower(c), t) > 0, F.lit(False))  # noqa: E731, B023
-        parts.append(F.when(has("name"), 40).when(has("qualified_name"), 28).when(has("signature"), 22).when(has("relative_path"), 20).when(has("project_name"), 18).otherwise(0))
+        words = lambda c: has(F.replace(F.col(c), F.lit("_"), F.lit(" ")))  # noqa: E731, B023
+        parts.append(F.when(ascii_lower("name").isin(raw, t), 40).when(has("name"), 28).when(words("kind") | words("via_kind"), 22).when(has("qualified_name"), 20).when(has("signature") | has("evidence_path"), 18).otherwise(0))
     return F.least(reduce(add, parts, F.lit(0)), F.lit(most))
 
 
@@ -79,24 +92,34 @@ def context_pack(items: list[dict], claims: list[dict], commands: list[str], pro
     return out
 
 
-def seed_candidates(hits: DataFrame, project_terms: DataFrame | None = None) -> DataFrame:
-    """(entity_id, score, best, terms) over the terms' search hits. hits: (term, entity_id, kind, match 0 exact to 3 other)."""
+def seed_candidates(hits: DataFrame, terms: list[str]) -> DataFrame:
+    """(entity_id, score, exact, terms, place) over the terms' search hits.
+
+    hits: (term, entity_id, kind, qualified_name, project_name, match), match 0 exact, 1 prefix, 2 in the name, 3 other.
+    A term that is the project's name adds 90 and counts as matched.
+    """
     points = F.when(F.col("match") == 0, 120).when(F.col("match") == 1, 70).when(F.col("match") == 2, 50).otherwise(30)
-    bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BONUS.items() for x in kv]), F.col("kind")), F.lit(0))
-    x = hits.groupBy("entity_id").agg(F.sum(points + bonus).alias("score"), F.min("match").alias("best"), F.countDistinct("term").alias("terms"))
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "best", "entity_id")))
+    bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BONUS.items() for x in kv]), F.col("kind")), F.lit(5))
+    x = hits.groupBy("entity_id", "qualified_name", "project_name").agg(F.sum(points + bonus).alias("score"), (F.min("match") == 0).alias("exact"), F.collect_set(ascii_lower("term")).alias("t"))
+    own = F.filter(F.array(*[F.lit(fold(t)) for t in terms]), lambda t: t == ascii_lower("project_name"))
+    x = x.withColumns({"score": F.col("score") + 90 * F.size(F.coalesce(own, F.array().cast("array<string>"))), "t": F.array_sort(F.array_union("t", F.coalesce(own, F.array().cast("array<string>"))))})
+    place = F.row_number().over(W.orderBy(F.desc("score"), F.desc("exact"), "qualified_name", "entity_id"))
+    return x.select("entity_id", "project_name", "score", "exact", F.array_join("t", ",").alias("terms"), place.alias("place"))
 
 
 def seed_decision(top: list[dict]) -> str:
-    """exact, auto, needs_seed or no_match, of the candidates in order (score, best)."""
+    """auto, needs_seed or no_match, of the candidates in order (score, exact, project_name, terms)."""
     if not top:
         return "no_match"
-    lead = top[0]["score"] - top[1]["score"] if len(top) > 1 else None
-    if lead is None:
-        return "auto"
-    if top[0]["best"] == 0 and lead >= 30 or top[0]["score"] >= 100 and lead >= 70:
+    if len(top) == 1:
         return "auto"
-    return "needs_seed"
+    a, b = top[0], top[1]
+    lead = a["score"] - b["score"]
+    project = fold(a.get("project_name") or "")
+    shared = bool(project) and project == fold(b.get("project_name") or "") and project in map(fold, a.get("terms", []))
+    clear = a["exact"] and lead >= 30 or a["score"] >= 100 and lead >= 70
+    tie = shared and (a["exact"] and a["score"] >= 200 or a["score"] >= 250 and lead >= 30)
+    return "auto" if clear or tie else "needs_seed"
 
 
 def source_slices(files: DataFrame, spans: DataFrame, around: int = 3, most_lines: int = 40) -> DataFrame:

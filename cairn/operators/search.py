@@ -45,24 +45,24 @@ def _score(term: str) -> Column:
         .when(has(full), 55)
         .when(has(ascii_lower("signature")), 45)
         .when(has(kind), 35)
-        .when(F.coalesce(ascii_lower("language") == t, F.lit(False)), 20)
+        .when(has(ascii_lower("language")), 20)
         .otherwise(0)
     )
-    project = F.when(F.coalesce(ascii_lower("project_name") == t, F.lit(False)), 70).when(contains("project_name", term), 45).otherwise(0)
-    file = F.when(F.coalesce(ascii_lower("relative_path").endswith(t), F.lit(False)), 50).when(contains("relative_path", term), 30).otherwise(0)
+    project = F.when(F.coalesce(ascii_lower("project_name") == t, F.lit(False)), 70).when(contains("project_path", term), 45).otherwise(0)
+    file = F.when(F.coalesce(ascii_lower("relative_path") == t, F.lit(False)), 50).when(contains("relative_path", term), 30).otherwise(0)
     return text + project + file
 
 
 def _matches(term: str) -> Column:
     kind = F.replace(F.col("kind"), F.lit("_"), F.lit(" "))
-    surfaces = [contains(c, term) for c in ("name", "qualified_name", "signature", "language", "project_name", "relative_path")]
+    surfaces = [contains(c, term) for c in ("name", "qualified_name", "signature", "language", "project_name", "project_path", "relative_path")]
     return reduce(or_, [*surfaces, contains(kind, term), contains(F.concat(kind, F.lit("s")), term)])
 
 
 def search_entities(rows: DataFrame, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
     """Entities of any kind by additive score over their text surfaces.
 
-    rows: entities with project_name, relative_path and is_generated. The whole query counts twice if it has
+    rows: entities with project_name, project_path, relative_path and is_generated. The whole query counts twice if it has
     several terms. One pass over the rows; only the best limit + 1 travel.
     """
     bounded(limit, 1, 100, "limit")
@@ -77,9 +77,11 @@ def search_entities(rows: DataFrame, query: str, kinds: list[str] | None = None,
     return x.orderBy(F.desc("score"), "is_generated", F.length("qualified_name"), "qualified_name", "kind", "id").limit(limit + 1)
 
 
-def searchable(entities: DataFrame, owners: DataFrame, files: DataFrame) -> DataFrame:
-    """Entities with the surfaces that a search looks at."""
-    own = owners.select("id", "project_name")
+def searchable(entities: DataFrame, owners: DataFrame, files: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Entities with the surfaces that a search looks at. projects: (project_id, project_path)."""
+    own = owners.select("id", "project_id", "project_name")
+    own = own.withColumn("project_path", F.lit(None).cast("string")) if projects is None else own.join(projects, "project_id", "left")
+    own = own.drop("project_id")
     path = files.select("id", "relative_path", "is_generated")
     x = entities.join(own, "id", "left").join(path.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").drop("p_id")
     return x.withColumn("is_generated", F.coalesce("is_generated", F.lit(False)))

@@ -211,26 +211,27 @@ def symbol_search_prefix(spark, sf_dir):
 def _score_sql(t: str) -> str:
     t = fold(t)
     kind = f"concat(replace({_LOW('kind')}, '_', ' '), 's')"
-    return f"""(CASE WHEN {_LOW('name')} = '{t}' THEN 120 WHEN {_LOW('qualified_name')} = '{t}' THEN 110 WHEN starts_with({_LOW('name')}, '{t}') THEN 80 WHEN {_HAS('name', t)} THEN 65 WHEN {_HAS('qualified_name', t)} THEN 55 WHEN {_HAS('signature', t)} THEN 45 WHEN instr({kind}, '{t}') > 0 THEN 35 WHEN coalesce({_LOW('language')} = '{t}', false) THEN 20 ELSE 0 END
-+ CASE WHEN coalesce({_LOW('project_name')} = '{t}', false) THEN 70 WHEN {_HAS('project_name', t)} THEN 45 ELSE 0 END + CASE WHEN coalesce(ends_with({_LOW('relative_path')}, '{t}'), false) THEN 50 WHEN {_HAS('relative_path', t)} THEN 30 ELSE 0 END)"""
+    return f"""(CASE WHEN {_LOW('name')} = '{t}' THEN 120 WHEN {_LOW('qualified_name')} = '{t}' THEN 110 WHEN starts_with({_LOW('name')}, '{t}') THEN 80 WHEN {_HAS('name', t)} THEN 65 WHEN {_HAS('qualified_name', t)} THEN 55 WHEN {_HAS('signature', t)} THEN 45 WHEN instr({kind}, '{t}') > 0 THEN 35 WHEN {_HAS('language', t)} THEN 20 ELSE 0 END
++ CASE WHEN coalesce({_LOW('project_name')} = '{t}', false) THEN 70 WHEN {_HAS('project_path', t)} THEN 45 ELSE 0 END + CASE WHEN coalesce({_LOW('relative_path')} = '{t}', false) THEN 50 WHEN {_HAS('relative_path', t)} THEN 30 ELSE 0 END)"""
 
 
 _OWNERS = """owned AS (SELECT id, CASE WHEN kind = 'project' THEN id WHEN kind IN ('class', 'file') THEN containing_id WHEN kind IN ('method', 'http_endpoint', 'test_case') THEN (SELECT f.containing_id FROM entities f WHERE f.id = e.containing_id) END AS project_id FROM entities e),
 owners AS (SELECT o.id, o.project_id, p.name AS project_name FROM owned o JOIN entities p ON p.id = o.project_id)"""
-_ROWS = f"{PRELUDE}, {_OWNERS}, rows AS (SELECT e.*, o.project_name, f.relative_path, coalesce(f.is_generated, false) AS is_generated FROM entities e LEFT JOIN owners o ON o.id = e.id LEFT JOIN files f ON f.id = e.id)"
+_ROWS = f"{PRELUDE}, {_OWNERS}, rows AS (SELECT e.*, o.project_name, CASE WHEN o.project_name IS NOT NULL THEN concat(o.project_name, '/', o.project_name, '.csproj') END AS project_path, f.relative_path, coalesce(f.is_generated, false) AS is_generated FROM entities e LEFT JOIN owners o ON o.id = e.id LEFT JOIN files f ON f.id = e.id)"
 
 
 def _search_sql(query_: str, kinds: str = "", limit: int = 50) -> str:
     terms = search_terms(query_)
     score = " + ".join(f"{2 if i == 0 and len(terms) > 1 else 1} * {_score_sql(t)}" for i, t in enumerate(terms))
     kind = "replace(kind, '_', ' ')"
-    match = " OR ".join(" OR ".join([*(_HAS(c, t) for c in ("name", "qualified_name", "signature", "language", "project_name", "relative_path")), _HAS(f"concat({kind}, 's')", t)]) for t in terms)
+    match = " OR ".join(" OR ".join([*(_HAS(c, t) for c in ("name", "qualified_name", "signature", "language", "project_name", "project_path", "relative_path")), _HAS(f"concat({kind}, 's')", t)]) for t in terms)
     return f"{_ROWS} SELECT id, kind, name, qualified_name, is_generated, ({score})::BIGINT AS score FROM rows WHERE ({match}) {kinds} ORDER BY score DESC, is_generated, length(qualified_name), qualified_name, kind, id LIMIT {limit + 1}"
 
 
 def _searchable(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return search.searchable(g.entities, recursion.ownership(g.entities), g.files)
+    paths = g.entities.where("kind = 'project'").select(F.col("id").alias("project_id"), F.concat("name", F.lit("/"), "name", F.lit(".csproj")).alias("project_path"))
+    return search.searchable(g.entities, recursion.ownership(g.entities), g.files, paths)
 
 
 @query(_search_sql("NATION_1"))
@@ -301,8 +302,9 @@ def route_waypoint(spark, sf_dir):
 
 
 def _surface(spark, sf_dir, **given):
-    r = Graph(spark, sf_dir).relations
-    return traverse.surface_frame(r, traverse.change_surface(r, **given))
+    g = Graph(spark, sf_dir)
+    r = g.relations
+    return traverse.surface_frame(r, traverse.change_surface(r, entities=g.entities, **given))
 
 
 @query(surface_sql(PART, 3, 200, ["code", "framework", "database"]))
@@ -383,11 +385,8 @@ def source_marker(spark, sf_dir):
     return extract.source_marker(d, "icense")
 
 
-_OBJECT = r"""(?i)\b(?:from|join|update|into|delete\s+from|truncate\s+table)\s+([A-Za-z_\[\]"`.][A-Za-z0-9_\[\]"`.]*)"""
-
-
-@query(f"""SELECT doc_id AS id, unnest(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, $p${_OBJECT}$p$, 1), lambda x: lower(regexp_replace(x, '[\\[\\]"`]', '', 'g'))), lambda x: x <> '')))) AS object,
-CASE WHEN w IN ('SELECT', 'WITH') THEN 'reads' WHEN w = 'INSERT' THEN 'inserts' WHEN w IN ('UPDATE', 'MERGE') THEN 'writes' WHEN w IN ('DELETE', 'TRUNCATE') THEN 'deletes' ELSE 'executes' END AS effect FROM (SELECT *, upper(regexp_extract(text, '^\\s*([A-Za-z]+)', 1)) AS w FROM documents)""")
+@query(f"""SELECT doc_id AS id, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(text, $p${rules.SQL_OBJECT}$p$, 1), lambda x: lower(replace(x, '"', '')))))) AS object,
+CASE WHEN regexp_matches(w, '^(SELECT|WITH)') THEN 'reads' WHEN w LIKE 'INSERT%' THEN 'inserts' WHEN w LIKE 'UPDATE%' THEN 'writes' WHEN w LIKE 'DELETE%' THEN 'deletes' ELSE 'executes' END AS effect FROM (SELECT *, upper(ltrim(text)) AS w FROM documents)""")
 def sql_objects(spark, sf_dir):
     return extract.sql_facts(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -568,14 +567,14 @@ def change_map(spark, sf_dir):
 
 
 _RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {r}" for k, r in changes.KIND_RANK.items()) + " ELSE 10 END"
-_TOP = f"""located AS (SELECT containing_id AS file_id, id AS entity_id, kind, name FROM entities WHERE containing_id >= 10000000 UNION ALL SELECT id, id, kind, name FROM entities WHERE kind = 'file'),
+_TOP = f"""located AS (SELECT containing_id AS file_id, id AS entity_id, kind, qualified_name AS name FROM entities WHERE containing_id >= 10000000 UNION ALL SELECT id, id, kind, qualified_name FROM entities WHERE kind = 'file'),
 top AS (SELECT * FROM (SELECT file_id, entity_id, kind, name, {_RANK} AS rank, row_number() OVER (PARTITION BY file_id ORDER BY {_RANK}, name, entity_id) AS place FROM located) WHERE place <= 25)"""
 
 
 def _located(spark, sf_dir):
     e = Graph(spark, sf_dir).entities
-    own = e.where("containing_id >= 10000000").select(F.col("containing_id").alias("file_id"), F.col("id").alias("entity_id"), "kind", "name")
-    return own.unionByName(e.where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("id").alias("entity_id"), "kind", "name"))
+    own = e.where("containing_id >= 10000000").select(F.col("containing_id").alias("file_id"), F.col("id").alias("entity_id"), "kind", F.col("qualified_name").alias("name"))
+    return own.unionByName(e.where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("id").alias("entity_id"), "kind", F.col("qualified_name").alias("name")))
 
 
 @query(f"{PRELUDE}, {_TOP} SELECT * FROM top")
@@ -613,7 +612,7 @@ def assessment_risk(spark, sf_dir):
 
 @query()
 def change_impacts(spark, sf_dir):
-    return changes.change_impacts(Graph(spark, sf_dir).relations.where("domain = 'code'"), [PART, PART + 1, ORDER])
+    return changes.change_impacts(Graph(spark, sf_dir).relations.where("domain = 'code'"), [PART, PART + 1, ORDER], entities=Graph(spark, sf_dir).entities)
 
 
 # Ledger
@@ -627,10 +626,10 @@ def claim_status(spark, sf_dir):
     return x.select(F.col("doc_id").alias("claim_id"), ledger.granted_status(asked, kinds, (F.col("doc_id") % 10) / 10).alias("status"))
 
 
-_UPDATES = """SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'set_risk' WHEN 1 THEN 'set_risk' WHEN 2 THEN 'add_tag' WHEN 3 THEN 'set_purpose' ELSE 'unheard_of' END AS update_kind, CASE doc_id % 5 WHEN 0 THEN '{"kind":"set_risk","level":"high"}' WHEN 1 THEN '{"kind":"set_risk","level":"huge"}' WHEN 2 THEN '{"kind":"add_tag"}' WHEN 3 THEN '{"kind":"set_purpose","summary":"x","more":1}' ELSE '{}' END AS update FROM labels"""
+_UPDATES = """SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'mark_landmark' WHEN 1 THEN 'mark_landmark' WHEN 2 THEN 'add_alias' WHEN 3 THEN 'record_effect' ELSE 'unheard_of' END AS update_kind, CASE doc_id % 5 WHEN 0 THEN '{"kind":"mark_landmark","landmarkKind":"bridge","importance":1}' WHEN 1 THEN '{"kind":"mark_landmark","landmarkKind":"huge","importance":1}' WHEN 2 THEN '{"kind":"add_alias","alias":"x"}' WHEN 3 THEN '{"kind":"record_effect","effectKind":"other","more":1}' ELSE '{}' END AS update FROM labels"""
 
 
-@query("SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'risk' WHEN 1 THEN 'risk' WHEN 2 THEN 'tag' WHEN 3 THEN 'purpose' END AS dimension, CASE doc_id % 5 WHEN 1 THEN 'level isn''t one of its values: huge' WHEN 2 THEN 'missing tag' WHEN 3 THEN 'unexpected more' WHEN 4 THEN 'unknown update kind' END AS error FROM labels")
+@query("SELECT doc_id AS claim_id, CASE doc_id % 5 WHEN 0 THEN 'landmarks' WHEN 1 THEN 'landmarks' WHEN 2 THEN 'aliases' WHEN 3 THEN 'effects' END AS dimension, CASE doc_id % 5 WHEN 1 THEN 'landmarkKind isn''t one of its values: huge' WHEN 2 THEN 'missing aliasKind' WHEN 3 THEN 'unexpected more' WHEN 4 THEN 'unknown update kind' END AS error FROM labels")
 def claim_validation(spark, sf_dir):
     return ledger.validated(_labels(spark, sf_dir, _UPDATES)).select("claim_id", "dimension", "error")
 
@@ -706,7 +705,7 @@ def token_estimates(spark, sf_dir):
 _STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AS m FROM conversations WHERE role = 'user')),
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]{{2,}}') AS m FROM conversations WHERE role = 'user')),
 l AS (SELECT *, {_LOW('w')} AS l FROM w), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, l ORDER BY i) AS k FROM l WHERE l NOT IN ({_STOPS})) WHERE k = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(w) DESC, i) AS place FROM f)
 SELECT c.conv_id, c.turn, coalesce(string_agg(r.w, ',' ORDER BY r.place) FILTER (WHERE r.place <= 8), '') AS terms FROM conversations c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
@@ -715,16 +714,14 @@ def task_term_extraction(spark, sf_dir):
     return c.select("conv_id", "turn", F.concat_ws(",", task_terms("text")).alias("terms"))
 
 
-def _focus_sql(terms: list[str]) -> str:
-    parts = []
-    for t in terms:
-        parts.append("CASE " + " ".join(f"WHEN {_HAS(c, t)} THEN {p}" for c, p in (("name", 40), ("qualified_name", 28), ("signature", 22), ("relative_path", 20), ("project_name", 18))) + " ELSE 0 END")
-    return f"least({' + '.join(parts)}, 120)"
+_FOCUS = {"widget": "widgets", "order": "orders", "class": "class"}
+_FOCUS_SQL = " + ".join(f"CASE WHEN {_LOW('name')} IN ('{t}', '{raw}') THEN 40 WHEN {_HAS('name', t)} THEN 28 WHEN {_HAS('kind', t)} THEN 22 WHEN {_HAS('qualified_name', t)} THEN 20 WHEN {_HAS('signature', t)} OR {_HAS('relative_path', t)} THEN 18 ELSE 0 END" for t, raw in _FOCUS.items())
 
 
-@query(f"{_ROWS} SELECT id, {_focus_sql(['widget', 'order', 'nation_1'])} AS score FROM rows")
+@query(f"{_ROWS} SELECT id, least({_FOCUS_SQL}, 120) AS score FROM rows")
 def focus_score(spark, sf_dir):
-    return _searchable(spark, sf_dir).select("id", packing.focus_score(["Widgets", "orders", "NATION_1"]).alias("score"))
+    x = _searchable(spark, sf_dir).withColumns({"via_kind": F.lit("calls"), "evidence_path": F.col("relative_path")})
+    return x.select("id", packing.focus_score(["Widgets", "orders", "NATION_1", " class", "CLASS", "ab"], "nation_1").alias("score"))
 
 
 @query(f"""{_CLASSIFIED}, c AS (SELECT entity_id, depth, qualified_name, CASE WHEN related_test THEN 95 WHEN direct THEN 90 ELSE greatest(40, 75 - 5 * depth) END AS score FROM cl) SELECT entity_id, score, row_number() OVER (ORDER BY score DESC, depth, qualified_name, entity_id) AS place FROM c""")
@@ -735,15 +732,18 @@ def candidate_rank(spark, sf_dir):
     return packing.ranked_candidates(c).select("entity_id", "score", "place")
 
 
-_HITS = " UNION ALL ".join(f"SELECT '{t}' AS term, id AS entity_id, kind, CASE WHEN {_LOW('name')} = '{t}' THEN 0 WHEN starts_with({_LOW('name')}, '{t}') THEN 1 WHEN {_HAS('name', t)} THEN 2 ELSE 3 END AS match FROM entities WHERE {_HAS('name', t)} OR {_HAS('qualified_name', t)}" for t in ("widget", "nation_1", "order_12"))
-_BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in packing.KIND_BONUS.items()) + " ELSE 0 END"
+_TERMS = ("widget", "nation_1", "order_12")
+_HITS = " UNION ALL ".join(f"SELECT '{t}' AS term, id AS entity_id, kind, qualified_name, project_name, CASE WHEN {_LOW('name')} = '{t}' OR {_LOW('qualified_name')} = '{t}' THEN 0 WHEN instr({_LOW('name')}, '{t}') = 1 THEN 1 WHEN {_HAS('name', t)} THEN 2 ELSE 3 END AS match FROM searched WHERE {_HAS('name', t)} OR {_HAS('qualified_name', t)}" for t in _TERMS)
+_BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in packing.KIND_BONUS.items()) + " ELSE 5 END"
+_OWN = " + ".join(f"CASE WHEN lower(project_name) = '{t}' THEN 90 ELSE 0 END" for t in _TERMS)
 
 
-@query(f"""{PRELUDE}, hits AS ({_HITS}), s AS (SELECT entity_id, sum(CASE match WHEN 0 THEN 120 WHEN 1 THEN 70 WHEN 2 THEN 50 ELSE 30 END + {_BONUS})::BIGINT AS score, min(match) AS best, count(DISTINCT term) AS terms FROM hits GROUP BY entity_id) SELECT *, row_number() OVER (ORDER BY score DESC, best, entity_id) AS place FROM s""")
+@query(f"""{_ROWS}, searched AS (SELECT * FROM rows), hits AS ({_HITS}), s AS (SELECT entity_id, qualified_name, project_name, (sum(CASE match WHEN 0 THEN 120 WHEN 1 THEN 70 WHEN 2 THEN 50 ELSE 30 END + {_BONUS}) + any_value(coalesce({_OWN}, 0)))::BIGINT AS score, min(match) = 0 AS exact,
+array_to_string(list_sort(list_distinct(list_concat(list(term), CASE WHEN lower(project_name) IN {_TERMS} THEN [lower(project_name)] ELSE [] END))), ',') AS terms FROM hits GROUP BY entity_id, qualified_name, project_name)
+SELECT entity_id, project_name, score, exact, terms, row_number() OVER (ORDER BY score DESC, exact DESC, qualified_name, entity_id) AS place FROM s""")
 def seed_candidates(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    hits = g._sql(_HITS.replace("starts_with", "startswith"), entities=g.entities)
-    return packing.seed_candidates(hits)
+    _searchable(spark, sf_dir).createOrReplaceTempView("searched")
+    return packing.seed_candidates(spark.sql(_HITS), list(_TERMS))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cairn.operators.traverse import PRIORITY
 from cairn.sources.projection import PRELUDE
 
-PRIO = "CASE kind " + " ".join(f"WHEN '{k}' THEN {p}" for k, p in PRIORITY) + " ELSE 10 END"
+PRIO = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {p}" for k, p in PRIORITY.items()) + " WHEN domain = 'framework' THEN 90 WHEN to_id IN (SELECT id FROM entities WHERE kind IN ('service_registration', 'test_case')) THEN 80 WHEN kind = 'contains' THEN 20 ELSE 50 END"
 
 
 def _levels(depth: int, room: str, by_priority: bool, stop: int | None) -> str:
@@ -26,8 +26,8 @@ def surface_levels(seed: int, depth: int, cap: int, domains: list[str]) -> str:
     """Common table expressions that end with items (entity_id, depth, place, direction, relation_id, kind, from_id)."""
     given = ", ".join(f"'{d}'" for d in domains)
     items = " UNION ALL ".join(f"SELECT to_id AS entity_id, {d} AS depth, place, direction, id AS relation_id, kind, from_id FROM a{d}" for d in range(1, depth + 1))
-    return f"""{PRELUDE}, own AS (SELECT *, {PRIO} AS prio, domain = 'code' AND kind IN ('reads', 'writes', 'uses_type') AS fan FROM relations WHERE domain IN ({given}) AND kind <> 'contains' ORDER BY id LIMIT {max(5000, 100 * cap)}),
-adj AS (SELECT id, source_id AS from_id, target_id AS to_id, 'dependency' AS direction, kind, prio, fan FROM own UNION ALL SELECT id, target_id, source_id, 'dependent', kind, prio, fan FROM own),
+    return f"""{PRELUDE}, own AS (SELECT *, domain = 'code' AND kind IN ('reads', 'writes', 'uses_type') AS fan FROM relations WHERE domain IN ({given}) AND kind <> 'contains' ORDER BY id LIMIT {max(5000, 100 * cap)}),
+adj AS (SELECT *, {PRIO} AS prio FROM (SELECT id, source_id AS from_id, target_id AS to_id, 'dependency' AS direction, domain, kind, fan FROM own UNION ALL SELECT id, target_id, source_id, 'dependent', domain, kind, fan FROM own)),
 s0 AS (SELECT CAST({seed} AS BIGINT) AS entity_id), f0 AS (SELECT CAST({seed} AS BIGINT) AS entity_id, 0 AS ord),
 {_levels(depth, str(cap + 1), True, None)},
 items AS ({items})"""
