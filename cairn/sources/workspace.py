@@ -226,3 +226,25 @@ def git_deltas(spark: SparkSession, roots: list[str], base: str | None = None, t
     df = spark.createDataFrame(numbered, "ord bigint, repository string, code string, path string, old_path string")
     return df.withColumn("status", rules.git_status(F.col("code"))), len(rows) > most
 
+
+
+def package_projects(files: DataFrame) -> DataFrame:
+    """(relative_path, name, language, project_kind, package_manager) of package.json files.
+
+    Language and manager follow from the files beside it: a tsconfig, a lock file.
+    """
+    folder = F.regexp_replace("relative_path", "/?[^/]*$", "")
+    name = F.lower(rules.file_name(F.col("relative_path")))
+    beside = files.withColumns({"folder": folder, "n": name}).groupBy("folder").agg(F.max(F.col("n").rlike("^tsconfig.*\\.json$")).alias("ts"), F.max(F.col("n") == "pnpm-lock.yaml").alias("pnpm"), F.max(F.col("n") == "yarn.lock").alias("yarn"))
+    x = files.where(name == "package.json").select("relative_path", folder.alias("folder"), F.decode("content", "UTF-8").alias("j"))
+    groups = [F.coalesce(F.json_object_keys(F.get_json_object("j", f"$.{g}")), F.array().cast("array<string>")) for g in ("dependencies", "devDependencies", "peerDependencies")]
+    x = x.withColumn("d", F.transform(F.concat(*groups), lambda v: F.lower(v))).join(beside, "folder")
+    frontend = F.arrays_overlap("d", F.array(*[F.lit(v) for v in ("react", "react-dom", "vite", "next")]))
+    own = F.nullif(F.trim(F.get_json_object("j", "$.name")), F.lit(""))
+    return x.select(
+        "relative_path",
+        F.coalesce(own, F.regexp_extract("folder", "([^/]*)$", 1)).alias("name"),
+        F.when(F.array_contains("d", "typescript") | F.col("ts"), "typescript").otherwise("javascript").alias("language"),
+        F.when(frontend, "frontend").otherwise("library").alias("project_kind"),
+        F.when(F.col("pnpm"), "pnpm").when(F.col("yarn"), "yarn").otherwise("npm").alias("package_manager"),
+    )
