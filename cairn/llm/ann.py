@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, cut_lineage, list_array, ready
+from cairn.llm.common import Columns, cut_lineage, lean, list_array, ready
 
 K, TABLES, PROJECTIONS, TARGET, SAMPLE, PART_ROWS, MOST_BUCKETS, SEED = 10, 2, 6, 0.95, 4096, 16384, 65536, 5
 
@@ -116,6 +116,7 @@ def squares(x: np.ndarray) -> np.ndarray:
 
 
 def _codes(hasher: Hasher):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -130,6 +131,7 @@ def _route(hasher: Hasher, codes: np.ndarray, counts: np.ndarray, splits: np.nda
     """Vectors to (part, kind, id, units, vec): kind 0 the vector in its unit, 1 the query with the units to visit."""
     table_of = codes >> (10 * PROJECTIONS)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "kind", "id", "units", "vec"]
         for whole in batches:
@@ -167,6 +169,7 @@ def _route(hasher: Hasher, codes: np.ndarray, counts: np.ndarray, splits: np.nda
 def _search(k: int, table_of: np.ndarray):
     """A part's vectors, then its queries, to (id, near): each query's k best as (distance, neighbour)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[tuple] = []
         units: dict[int, tuple[np.ndarray, np.ndarray]] | None = None

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, cut_lineage, ready, slices
+from cairn.llm.common import Columns, cut_lineage, lean, ready, slices
 
 MIN_SHARE, CLASSES, ROUNDS, PRIOR = 4e-6, 64, 8, 50.0
 WORDS = re.compile(r"\w+")
@@ -49,6 +49,7 @@ def rare_kind(word: str) -> int:
     return 2 if n <= 3 else 3 if n <= 5 else 4 if n <= 7 else 5 if n <= 9 else 6 if n <= 11 else 7 if n <= 14 else 8
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(c: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string()), pa.array(list(c.values()), type=pa.int64())], ["word", "n"])
@@ -66,6 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(counts)
 
 
+@lean
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kinds = np.array([rare_kind(w) for w in b.column(0).to_pylist()], dtype=np.int32)
@@ -97,6 +99,7 @@ def to_ids(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np
 
 
 def _pairs(vocabulary):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = vocabulary.value
         held: list[np.ndarray] = []
@@ -144,6 +147,7 @@ def contexts(b: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray
 def _matrix(state):
     """Partial class bigram counts of the rows' words."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, k = state.value
         m = np.zeros((k, k))
@@ -191,6 +195,7 @@ def best_moves(classes: np.ndarray, m: np.ndarray, words: np.ndarray, own: np.nd
 
 
 def _moves(state, free: int, turn: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, m = state.value
         for b in batches:
@@ -313,6 +318,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):

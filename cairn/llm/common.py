@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -11,11 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Values that nobody chose.
+DEFAULT_BYTES = ("67108864b", "67108864", "64MB")
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver did."""
+    """Let Python workers import this package from where the driver did, and get texts in small batches."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, *DEFAULT_BYTES):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -74,7 +81,22 @@ class Columns:
         return df.select(*kept, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in added.items()])
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def lean(run: Callable) -> Callable:
+    """A task function that gives its memory back at its end: workers live on and would keep it."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each (a longer text is a part of its own)."""
     col = batch.column(text)
     n = batch.num_rows

@@ -34,14 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import Columns, list_array, ready, slices
+from cairn.llm.common import Columns, lean, list_array, ready, slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 WORDS = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 #: A task forgets its words beyond so many, which bounds its memory and changes no result.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -113,6 +113,7 @@ class Encoder:
         self.model = model
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER) and p}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
+        none: dict[str, int] = {}  # shared by all leaves
         self.goto: list[dict[str, int]] = [{}]
         ends: list[int] = [-1]
         for piece, i in self.ids.items():
@@ -120,8 +121,10 @@ class Encoder:
             for ch in piece:
                 nxt = self.goto[node].get(ch)
                 if nxt is None:
+                    if self.goto[node] is none:
+                        self.goto[node] = {}
                     nxt = self.goto[node][ch] = len(self.goto)
-                    self.goto.append({})
+                    self.goto.append(none)
                     ends.append(-1)
                 node = nxt
             ends[node] = i
@@ -331,6 +334,7 @@ def decoder(path: str) -> Decoder:
 
 
 def _encode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = encoder(path), decoder(path)
         known: dict[str, bytes] = {}
@@ -356,6 +360,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
 
 
 def _decode(path: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = decoder(path)
         for batch in batches:

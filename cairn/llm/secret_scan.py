@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import automaton
-from cairn.llm.common import Columns, ready, slices
+from cairn.llm.common import Columns, lean, ready, slices
 
 RULES: list[tuple[str, str]] = [
     ("aws_access_key", r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
@@ -109,6 +109,7 @@ def scan_texts(col: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int,
             yield int(full[k]), text, found
 
 
+@lean
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "rule", "ordinal", "start", "end", "secret"]
     for batch in batches:
@@ -145,6 +146,7 @@ def redacted(text: bytes, found: list[tuple[int, int, int]]) -> bytes:
 
 
 def _redact(at: int, count_at: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):

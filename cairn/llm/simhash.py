@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cairn.llm.common import Columns, cut_lineage, ready, slices
+from cairn.llm.common import Columns, cut_lineage, lean, ready, slices
 
 RADIUS, PRINTS, MIN_CHARS, FEW = 6, 2, 4, 6
 #: So many ids (16 bytes each) are broadcast to drop documents; more of them are joined by shuffle.
@@ -110,20 +110,22 @@ def fingerprints(texts: list[str | None], prints: int = PRINTS) -> tuple[np.ndar
         weight = np.floor(np.sqrt(np.array(counts, dtype=np.float64)) * 16).astype(np.int32)
         at = np.array(cols, dtype=np.int32)
         ends = np.cumsum(sizes)
-        begin = 0
         sums = np.empty((len(rows), 64 * prints), dtype=np.int32)
-        for part in range(0, len(rows), 512):
-            last = min(part + 512, len(rows))
+        part = 0
+        while part < len(rows):  # about 16,000 features at a time, 8 MB
+            begin = int(ends[part - 1]) if part else 0
+            last = max(part + 1, int(np.searchsorted(ends, begin + 16_000, side="right")))
             end = int(ends[last - 1])
             starts = np.concatenate([[0], ends[part : last - 1] - begin])
             sums[part:last] = np.add.reduceat(signs[at[begin:end]] * weight[begin:end, None], starts, axis=0)
-            begin = end
+            part = last
         packed = np.packbits(sums > 0, axis=1)
         out[rows] = packed.view(">u8").astype(np.uint64).reshape(-1, prints)
     return valid, out
 
 
 def _prints(prints: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
@@ -153,6 +155,7 @@ def links_in_run(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _links(kept: np.ndarray, radius: int):
     """Rows (t, p) of whole buckets to pairs (a, b) of fingerprints, a < b as signed numbers."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ts, ps = [], []
         for b in batches:

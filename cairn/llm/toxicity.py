@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, list_array, ready, slices
+from cairn.llm.common import Columns, lean, list_array, ready, slices
 
 TRAIN_ROWS, MINE_ROWS, DIMS, THRESHOLD = 20_000, 20_000, 1 << 16, 0.5
 #: A word is mined if so many toxic documents have it, and they are so large a share of all that have it.
@@ -169,6 +169,7 @@ class LabelModel:
 
 
 def _votes(own: dict[str, int]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
@@ -179,6 +180,7 @@ def _votes(own: dict[str, int]):
     return run
 
 
+@lean
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, clean): numbers of labelled documents."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -254,6 +256,7 @@ class Linear:
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear, own = model.value
         known: dict[str, int] = {}
@@ -289,6 +292,7 @@ def label_model(docs: DataFrame, own: dict[str, int], text_col: str = "text") ->
 def _sampled(own: dict[str, int]):
     """(h, features, vote pattern) of sampled documents: the driver gets no texts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, ready
+from cairn.llm.common import Columns, lean, ready
 
 SEGMENT_BYTES, CHUNK_BYTES = 16384, 4096
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -110,6 +110,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, (_, t) in zip(zip(*out), kinds)], [n for n, _ in kinds])
 
 
+@lean
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rows, out, held = None, [], [], 0
     for batch in batches:
@@ -148,6 +149,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def _segments(segment: int, chunk: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "origin_id", "segment_number", "total_length", "target_uri", "payload"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -203,6 +205,7 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
         i = end + 4 + size
 
 
+@lean
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("record_id", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int64()), ("total_length", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())]
     for batch in batches:
