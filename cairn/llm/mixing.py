@@ -98,7 +98,7 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, tota
     c = Columns(docs)
     keyed = _keyed(c, id_col, text_col, source_col, seed)
     x = _draws(cut_lineage(keyed), WEIGHTS if weights is None else weights, total_tokens)
-    most = x.groupBy("source").agg(F.max("epochs").alias("m"), F.max(F.struct("epochs", "mix_key", "doc_id", "n_tokens")).alias("last"), F.min("epochs").alias("least"), F.max("budget").alias("budget"), F.max("own").alias("own"))
+    most = x.groupBy("source").agg(F.max("epochs").alias("m"), F.max(F.struct("epochs", "mix_key", "doc_id", "n_tokens")).alias("last"))
     plan = most.select(
         F.col("source").alias("p_source"),
         F.col("m").alias("p_epochs"),
