@@ -15,8 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: A match starts at the text's start or after a byte that is none of these, so that no rule starts within
-#: another one's run; TOKEN_SET is the same for regular expressions.
+#: The bytes of tokens; TOKEN_SET is the same for regular expressions.
 TOKEN_SET = r"0-9A-Za-z_.~+/-"
 TOKEN_BYTES = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz.~+/-")
 WORD_BYTES = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
@@ -133,26 +132,28 @@ def mirrored(items: list) -> list:
     return out
 
 
-def relaxed(items: list, fold: bool) -> list:
-    """A superset that doesn't count beyond 3 over sets with other than token bytes.
+def counted(op, arg) -> bool:
+    """Whether an item holds a repeat beyond 4, or without bound."""
+    if op in (sc.MAX_REPEAT, sc.MIN_REPEAT):
+        return arg[1] is sc.MAXREPEAT or arg[1] > 4 or any(counted(*x) for x in arg[2])
+    if op is sc.SUBPATTERN:
+        return any(counted(*x) for x in arg[3])
+    return op is sc.BRANCH and any(counted(*x) for b in arg[1] for x in b)
 
-    Such a run can hold further starts of rules, each with a count of its own, and the subsets of
-    counts would be exponentially many. What the scan reports is held against the exact rule.
+
+def head(items: list) -> list:
+    """The items before the first long repeat that isn't the first item: what every match begins with.
+
+    Long runs can hold further starts of rules, each with a count of its own, and the subsets of counts would be
+    exponentially many. So the scan looks for heads, and the exact rule goes on from the starts of these.
     """
     out = []
-    for op, arg in items:
-        if op is sc.SUBPATTERN:
-            arg = (*arg[:3], relaxed(list(arg[3]), fold))
-        elif op is sc.BRANCH:
-            arg = (arg[0], [relaxed(list(b), fold) for b in arg[1]])
-        elif op in (sc.MAX_REPEAT, sc.MIN_REPEAT):
-            least, most, inner = arg
-            inner = relaxed(list(inner), fold)
-            single = len(inner) == 1 and inner[0][0] in (sc.LITERAL, sc.NOT_LITERAL, sc.IN, sc.ANY)
-            if (most is sc.MAXREPEAT or most > 3) and (not single or byte_set(*inner[0], fold) - TOKEN_BYTES):
-                least, most = min(least, 1), sc.MAXREPEAT
-            arg = (least, most, inner)
+    for k, (op, arg) in enumerate(items):
+        if k and counted(op, arg):
+            break
         out.append((op, arg))
+    while out and out[-1][0] in (sc.MAX_REPEAT, sc.MIN_REPEAT) and not out[-1][1][0]:
+        out.pop()
     return out
 
 
@@ -167,11 +168,11 @@ class Dfa:
 
 
 def determinise(nfa: Nfa, starts: frozenset[int], accepting: dict[int, int], search: bool) -> Dfa:
-    """Subset construction. search: matches may start after any byte that is no token byte."""
+    """Subset construction. search: matches may start anywhere."""
     order = list({s for out in nfa.edges for s, _ in out})
     groups: dict[tuple, list[int]] = {}
     for b in range(256):
-        groups.setdefault((b in TOKEN_BYTES, *[b in s for s in order]), []).append(b)
+        groups.setdefault(tuple(b in s for s in order), []).append(b)
     classes = np.zeros(256, dtype=np.uint8)
     members = list(groups.values())
     for k, bytes_ in enumerate(members):
@@ -185,7 +186,7 @@ def determinise(nfa: Nfa, starts: frozenset[int], accepting: dict[int, int], sea
         for bytes_ in members:
             b = bytes_[0]
             to = nfa.closure([t for on, t in edges if b in on])
-            if search and b not in TOKEN_BYTES:
+            if search:
                 to |= first
             if to not in ids:
                 ids[to] = len(ids)
@@ -217,30 +218,44 @@ def minimised(classes: np.ndarray, table: np.ndarray, accepts: np.ndarray) -> Df
 
 
 def combined(patterns: list[str]) -> Dfa:
-    """All rules, relaxed, in one automaton that finds the ends of their matches; rule i has bit 1 << i."""
+    """The heads of all rules in one automaton that finds their ends, wherever they start; rule i has bit 1 << i."""
     nfa, starts, accepting = Nfa(), set(), {}
     for i, p in enumerate(patterns):
         items, fold, _ = parsed(p)
+        items = head(items)
+        if items and items[0][0] in (sc.MAX_REPEAT, sc.MIN_REPEAT):
+            # As heads start anywhere, the least count has the same ends.
+            items[0] = (items[0][0], (items[0][1][0], items[0][1][0], items[0][1][2]))
         start = nfa.new()
-        end = nfa.build(relaxed(items, fold), start, fold)
+        end = nfa.build(items, start, fold)
         if end in nfa.closure([start]):
-            raise ValueError(f"{p!r} matches the empty text")
+            raise ValueError(f"{p!r} has a head that matches the empty text")
         starts.add(start)
         accepting[end] = 1 << i
     return determinise(nfa, frozenset(starts), accepting, search=True)
 
 
-def backwards(pattern: str) -> Dfa:
-    """The automaton of the reversed rule, anchored: run from a match's end, it accepts at every start."""
-    items, fold, _ = parsed(pattern)
+def anchored(items: list, fold: bool) -> Dfa:
     nfa = Nfa()
     start = nfa.new()
-    end = nfa.build(mirrored(items), start, fold)
+    end = nfa.build(items, start, fold)
     return determinise(nfa, frozenset([start]), {end: 1}, search=False)
 
 
+def forwards(pattern: str) -> Dfa:
+    """The automaton of the rule, anchored: run from a match's start, it accepts at every end."""
+    items, fold, _ = parsed(pattern)
+    return anchored(items, fold)
+
+
+def backwards(pattern: str) -> Dfa:
+    """The automaton of the rule's reversed head, anchored: run from a head's end, it accepts at every start."""
+    items, fold, _ = parsed(pattern)
+    return anchored(mirrored(head(items)), fold)
+
+
 def scan(dfa: Dfa, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position after the match, rule bits) for every match end within the texts buf[start:end].
+    """(position after the head, rule bits) for every end of a head within the texts buf[start:end].
 
     Texts are cut at bytes that reset the automaton, which changes nothing, and all pieces advance one
     byte at a time together; the longest come first, so that those still running are a prefix.
@@ -284,7 +299,7 @@ def scan(dfa: Dfa, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 
 def match_starts(dfa: Dfa, text: bytes, end: int) -> list[int]:
-    """Starts of the matches that end at `end`, by a reversed automaton; nearest first."""
+    """Starts of what ends at `end`, by a reversed automaton; nearest first."""
     state, out = dfa.start, []
     for i in range(end - 1, -1, -1):
         state = int(dfa.table[state, dfa.classes[text[i]]])
@@ -293,3 +308,15 @@ def match_starts(dfa: Dfa, text: bytes, end: int) -> list[int]:
         if dfa.accepts[state]:
             out.append(i)
     return out
+
+
+def match_ends(dfa: Dfa, text: bytes, start: int) -> list[int]:
+    """Ends of the matches that start at `start`; nearest first."""
+    state, out = dfa.start, []
+    for i in range(start, len(text)):
+        state = int(dfa.table[state, dfa.classes[text[i]]])
+        if state == dfa.dead:
+            break
+        if dfa.accepts[state]:
+            out.append(i + 1)
+    return out

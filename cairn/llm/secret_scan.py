@@ -1,12 +1,14 @@
 """Secret scans with a combined deterministic automaton.
 
-All rules are compiled once into the arrays of one minimal automaton (`automaton.combined`), which
-every task gets (some tens of kB, fixed by the rules). A scan is one pass over the bytes of the text,
-whatever the number of rules; only where it reports a match end does the exact reversed automaton of that
-rule find the starts. No shuffle.
+The heads of all rules (what comes before their first long run) are compiled once into the arrays of one
+minimal automaton (`automaton.combined`), which every task gets (some kB, fixed by the rules). A scan is one
+pass over the bytes of the text, whatever the number of rules; only where it reports a head does a reversed
+automaton find its starts and the exact automaton of that rule the ends. No shuffle.
 
-A finding is a leftmost-longest match of a rule that starts the text or follows a byte that isn't one of
-`automaton.TOKEN_SET`; findings of one rule don't overlap. A word edge at a rule's end is judged on ASCII.
+A finding is a leftmost-longest match of a rule; findings of one rule don't overlap. Rules start anywhere,
+within names (DB_PASSWORD=) and paths too, but for those in `APART`, which follow no letter or digit. A word
+edge at a rule's end is judged on ASCII. OP2_SQL only knows matches that start the text or follow a byte that
+isn't one of `automaton.TOKEN_SET`; `scan_texts` gives these unless it is told to give the `whole`.
 
 Defined results:
 * null and empty texts have no findings; texts are scanned whole, however long;
@@ -46,6 +48,9 @@ RULES: list[tuple[str, str]] = [
     ("url_password", r"[a-z]{2,10}://[0-9A-Za-z._-]{1,40}:[0-9A-Za-z_.~+-]{3,60}@"),
     ("assigned_secret", r"""(?i)(?:password|passwd|pwd|secret|token|auth|api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret)["']?[ \t]{0,4}[:=][ \t]{0,4}["']?[0-9a-z+/=_.~-]{12,}"""),
 ]
+#: Rules whose head also ends ordinary words (task-, risk-).
+APART = frozenset(["openai_key"])
+LETTERS = automaton.TOKEN_BYTES - frozenset(b"_.~+/-")
 
 
 @cache
@@ -54,8 +59,10 @@ def compiled() -> automaton.Dfa:
 
 
 @cache
-def reversed_rule(i: int) -> tuple[automaton.Dfa, bool]:
-    return automaton.backwards(RULES[i][1]), automaton.parsed(RULES[i][1])[2]
+def exact_rule(i: int) -> tuple[automaton.Dfa, automaton.Dfa, bool]:
+    """(reversed head, rule, word edge after)."""
+    p = RULES[i][1]
+    return automaton.backwards(p), automaton.forwards(p), automaton.parsed(p)[2]
 
 
 def _edge(text: bytes, i: int) -> bool:
@@ -64,29 +71,29 @@ def _edge(text: bytes, i: int) -> bool:
     return left != right
 
 
-def spans(text: bytes, ends: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
-    """(rule, start, end) of the findings in one text, from the ends that the scan reported."""
+def spans(text: bytes, ends: np.ndarray, bits: np.ndarray, whole: bool) -> list[tuple[int, int, int]]:
+    """(rule, start, end) of the findings in one text, from the ends of heads that the scan reported."""
     out = []
-    for i in range(len(RULES)):
+    for i, (name, _) in enumerate(RULES):
         own = ends[(bits >> i) & 1 == 1]
         if not len(own):
             continue
-        dfa, after = reversed_rule(i)
-        found = []
-        for e in own.tolist():
-            if after and not _edge(text, e):
-                continue
-            found += [(s, -e) for s in automaton.match_starts(dfa, text, e) if not s or text[s - 1] not in automaton.TOKEN_BYTES]
+        heads, rule, after = exact_rule(i)
+        barred = (LETTERS if name in APART else frozenset()) if whole else automaton.TOKEN_BYTES
         free = 0
-        for s, e in sorted(found):
-            if s >= free:
-                out.append((i, s, -e))
-                free = -e
+        for s in sorted({s for e in own.tolist() for s in automaton.match_starts(heads, text, e)}):
+            if s < free or s and text[s - 1] in barred:
+                continue
+            for e in reversed(automaton.match_ends(rule, text, s)):
+                if not after or _edge(text, e):
+                    out.append((i, s, e))
+                    free = e
+                    break
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
 
-def scan_texts(col: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
-    """(row, text, findings) for the texts of a column that have any."""
+def scan_texts(col: pa.Array, whole: bool = False) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    """(row, text, findings) for the texts of a column that have any; without `whole`, those that OP2_SQL knows."""
     buf = np.frombuffer(col.buffers()[2], dtype=np.uint8) if col.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     if not len(buf):
         return
@@ -104,7 +111,7 @@ def scan_texts(col: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int,
     for k in np.unique(owner):
         own = owner == k
         text = buf[starts[k] : stops[k]].tobytes()
-        found = spans(text, ends[own] - starts[k], bits[own])
+        found = spans(text, ends[own] - starts[k], bits[own], whole)
         if found:
             yield int(full[k]), text, found
 
@@ -116,7 +123,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 1):
             rows: list[tuple] = []
             ids = part.column(0)
-            for row, text, found in scan_texts(part.column(1)):
+            for row, text, found in scan_texts(part.column(1), whole=True):
                 count: dict[int, int] = {}
                 for i, s, e in found:
                     count[i] = count.get(i, 0) + 1
@@ -150,7 +157,7 @@ def _redact(at: int, count_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
-                new = {row: redacted(text, found).decode() for row, text, found in scan_texts(part.column(at))}
+                new = {row: redacted(text, found).decode() for row, text, found in scan_texts(part.column(at), whole=True)}
                 if new:
                     cols = part.columns
                     texts = cols[at].to_pylist()
