@@ -7,8 +7,9 @@ automaton find its starts and the exact automaton of that rule the ends. No shuf
 
 A finding is a leftmost-longest match of a rule; findings of one rule don't overlap. Rules start anywhere,
 within names (DB_PASSWORD=) and paths too, but for those in `APART`, which follow no letter or digit. A word
-edge at a rule's end is judged on ASCII. OP2_SQL only knows matches that start the text or follow a byte that
-isn't one of `automaton.TOKEN_SET`; `scan_texts` gives these unless it is told to give the `whole`.
+edge at a rule's end is judged on ASCII. A private key reaches from its BEGIN through its END line; where there
+is none before another BEGIN, to the end of its headers and base64 lines (`BODY`). OP2_SQL only knows matches that start the text or follow a byte that
+isn't one of `automaton.TOKEN_SET`, and of private keys the first line; `scan_texts` gives these unless it is told to give the `whole`.
 
 Defined results:
 * null and empty texts have no findings; texts are scanned whole, however long;
@@ -21,6 +22,7 @@ Defined results:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -51,6 +53,10 @@ RULES: list[tuple[str, str]] = [
 #: Rules whose head also ends ordinary words (task-, risk-).
 APART = frozenset(["openai_key"])
 LETTERS = automaton.TOKEN_BYTES - frozenset(b"_.~+/-")
+BEGIN, END = b"-----BEGIN ", re.compile(rb"-----END (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----")
+_BREAK = rb"""(?:[ \t\r\n"'+,;>#*|]|\\[rnt])*+"""
+#: Headers and lines of base64, quoted or escaped ones too, then a shorter last line.
+BODY = re.compile(rb"(?:(?:" + _BREAK + rb"(?:(?:Proc-Type|DEK-Info): ?[0-9A-Za-z,-]++|[0-9A-Za-z+/=]{16,}+))++" + rb"""(?:(?:[ \t\r\n"'+]|\\[rnt])*+[0-9A-Za-z+/=]{1,15}+(?=[ \t]*(?:[\r\n"'\\]|\Z)))?)?""")
 
 
 @cache
@@ -71,6 +77,13 @@ def _edge(text: bytes, i: int) -> bool:
     return left != right
 
 
+def key_end(text: bytes, at: int) -> int:
+    """Where the private key ends whose first line ends at `at`."""
+    other = text.find(BEGIN, at)
+    end = END.search(text, at, other if other >= 0 else len(text)) or BODY.match(text, at)
+    return end.end()
+
+
 def spans(text: bytes, ends: np.ndarray, bits: np.ndarray, whole: bool) -> list[tuple[int, int, int]]:
     """(rule, start, end) of the findings in one text, from the ends of heads that the scan reported."""
     out = []
@@ -86,6 +99,7 @@ def spans(text: bytes, ends: np.ndarray, bits: np.ndarray, whole: bool) -> list[
                 continue
             for e in reversed(automaton.match_ends(rule, text, s)):
                 if not after or _edge(text, e):
+                    e = key_end(text, e) if whole and name == "private_key" else e
                     out.append((i, s, e))
                     free = e
                     break
