@@ -7,19 +7,23 @@ cliques with a joint table, so that they don't count as independent. A linear cl
 posterior labels and scores every document.
 
 Lexicons of public insults can't know every language. Where a table of labels is given, three more lexicons are
-mined from a bounded sample of it: words that occur in toxic documents and hardly in others. They are
+mined from all of it: words that occur in toxic documents and hardly in others. They are
 voters like the rest; how far to trust them is the label model's to find out.
 
-The texts are read three times (votes, sample, scores) and never shuffled. The label model sees only counts of
+The texts are read three times (votes, sample, scores), and a fourth time for the lexicons, for which they are shuffled
+by id where the labels are too many to broadcast. The label model sees only counts of
 vote patterns over all documents, of which there are some hundreds in practice. The classifier is fitted on a
-bounded sample: the `TRAIN_ROWS` documents with the smallest hash of their id and text; the lexicons on the
-`MINE_ROWS` labelled documents with the smallest hash of their id.
+bounded sample: the `TRAIN_ROWS` documents with the smallest hash of their id and text. The lexicons come from counts
+of words over all labelled documents: labels and texts are joined by id, each task counts words in portions of
+`COUNT_WORDS` distinct ones, and the counts are shuffled by word. A word is mined if at least `SUPPORT` toxic documents
+have it, they are `PRECISION` of all that have it, and so many wouldn't be by chance (see `mined`).
 
 Defined results:
 * a null or empty text has no words: the voters for clean text vote, and it is scored like others;
 * repeated rows are scored each and alike; null doc_ids are carried; an empty table gives an empty table;
 * texts are read whole; scores don't depend on the order of rows; extra columns are ignored;
 * labels: rows with a null id or label are ignored, an id labelled both ways counts as toxic;
+  labels that are all toxic or all clean give no lexicons;
 * if no voter votes toxic anywhere, every document has score 0.
 """
 
@@ -37,7 +41,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import Columns, lean, list_array, ready, slices
 
-TRAIN_ROWS, MINE_ROWS, DIMS, THRESHOLD = 20_000, 20_000, 1 << 16, 0.5
+TRAIN_ROWS, DIMS, THRESHOLD = 20_000, 1 << 16, 0.5
+COUNT_WORDS = 200_000
 #: A word is mined if so many toxic documents have it, and they are so large a share of all that have it.
 SUPPORT, PRECISION = 6, 0.9
 GROUPS = 3
@@ -183,25 +188,50 @@ def _votes(own: dict[str, int]):
 @lean
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, clean): numbers of labelled documents."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        words = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array([toxic[x] for x in words], type=pa.int64()), pa.array([clean[x] for x in words], type=pa.int64())], ["word", "toxic", "clean"])
+
+    toxic, clean = Counter(), Counter()
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[0 if toxic else 1].update(set(WORDS.findall(text.lower())) if text else ())
-    toxic, clean = counts
-    words = list(toxic.keys() | clean.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array([toxic[x] for x in words], type=pa.int64()), pa.array([clean[x] for x in words], type=pa.int64())], ["word", "toxic", "clean"])
+        for part in slices(batch, 0):
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                (toxic if label else clean).update(set(WORDS.findall(text.lower())) if text else ())
+            if len(toxic) + len(clean) > COUNT_WORDS:
+                yield flush()
+                toxic, clean = Counter(), Counter()
+    yield flush()
+
 
+def mined(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
+    """Words of toxic documents, from all labelled ones, and a group for each.
 
-def mined(docs: DataFrame, labels: DataFrame, rows: int = MINE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
-    """Words of toxic documents from at most `rows` labelled ones, and a group for each."""
+    Chance: were n documents with the word toxic at the share q of all labelled ones, t or more would be with a
+    probability of at most exp(-n KL(t/n, q)) (Chernoff), which has to be below 1/20 over all words together.
+    """
     d, l = Columns(docs), Columns(labels)  # noqa: E741
     marks = l.df.select(l[id_col].cast("bigint").alias("l_id"), l["toxic"].cast("int").alias("toxic")).where("l_id is not null and toxic is not null")
-    marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
+    marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
+    n, q = marks.agg(F.count(F.lit(1)), F.avg((F.col("toxic") != 0).cast("double"))).first()
+    if not n or not 0 < q < 1:
+        return {}
     texts = d.df.select(d[id_col].cast("bigint").alias("id"), d[text_col].cast("string").alias("text"))
-    x = texts.join(F.broadcast(marks), F.col("id") == F.col("l_id")).select("text", "toxic")
+    x = texts.join(marks, F.col("id") == F.col("l_id")).select("text", "toxic")
     x = x.mapInArrow(_labelled, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    found = x.where((F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c")))).select("word").collect()
-    return {r.word: xxhash.xxh3_64_intdigest(r.word) % GROUPS for r in sorted(found) if r.word not in EVERY}
+    # One row, without a word, counts all words that aren't likely.
+    likely = (F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c")))
+    found = x.groupBy(F.when(likely, F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("words"), F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    least = np.log(20 * max(1, sum(r.words for r in found)))
+    return {r.word: xxhash.xxh3_64_intdigest(r.word) % GROUPS for r in sorted((r for r in found if r.word is not None), key=lambda r: r.word) if r.word not in EVERY and surprise(r.t, r.c, q) >= least}
+
+
+def surprise(t: int, c: int, q: float) -> float:
+    """n KL(t/n, q), 0 where t/n isn't above q."""
+    n = t + c
+    if t <= q * n:
+        return 0.0
+    return float(t * np.log(t / n / q) + (c * np.log(c / n / (1 - q)) if c else 0.0))
 
 
 def features(words: list[str], vote: list[int], known: dict[str, int]) -> np.ndarray:

@@ -424,3 +424,17 @@ def test_private_keys_are_found_whole():
     text = f"a\n{begin}\n{body}\n{end}\nb".encode()
     ((_, _, found),) = secret_scan.scan_texts(pa.array([text.decode()]), whole=True)
     assert secret_scan.redacted(text, found) == b"a\n[REDACTED:private_key]\nb"
+
+
+# Mined lexicons
+
+
+def test_lexicons_come_from_all_labels(spark):
+    # The word is only in the twelve documents whose ids have the largest hashes, which no sample of 20,000 has.
+    ids = spark.range(24_000).selectExpr("id AS doc_id", "row_number() OVER (ORDER BY xxhash64(id) DESC, id DESC) <= 12 AS last")
+    docs = ids.selectExpr("doc_id", "concat('word', doc_id % 50, CASE WHEN last THEN ' quux' ELSE '' END) AS text")
+    assert set(toxicity.mined(docs, ids.selectExpr("doc_id", "int(last OR doc_id % 300 = 7) AS toxic"))) == {"quux"}
+    # By chance: two of three documents are toxic, so that six of a word's six are no evidence.
+    labels = spark.range(24_000).selectExpr("id AS doc_id", "int(id % 3 > 0) AS toxic")
+    odd = spark.range(24_000).selectExpr("id AS doc_id", "concat('w', id % 11, CASE WHEN id % 3 > 0 AND id < 9 THEN ' chance' ELSE '' END) AS text")
+    assert toxicity.mined(odd, labels) == {}
