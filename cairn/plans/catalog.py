@@ -590,7 +590,7 @@ def file_entity_counts(spark, sf_dir):
 @query(f"""{PRELUDE}, {_MAPPED}, {_TOP}, few AS (SELECT * FROM mapped WHERE ord < 40 AND file_id IS NOT NULL), n AS (SELECT f.ord, f.file_id, c.n, coalesce(sum(c.n) OVER (ORDER BY f.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM few f JOIN (SELECT file_id, count(*) AS n FROM top GROUP BY file_id) c USING (file_id))
 SELECT n.ord, t.file_id, t.entity_id, t.kind, t.name, t.place FROM n JOIN top t USING (file_id) WHERE n.ahead < 100 AND t.place <= 100 - n.ahead""")
 def changed_entities(spark, sf_dir):
-    return changes.within_budget(_mapped(spark, sf_dir).where("ord < 40"), changes.file_entities(_located(spark, sf_dir)))
+    return changes.within_budget(_mapped(spark, sf_dir), changes.file_entities(_located(spark, sf_dir)))
 
 
 _CLAIMS = "SELECT doc_id AS claim_id, CAST(30000000 + doc_id % 200 AS BIGINT) AS entity_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN quality = 1 THEN 'proposed' ELSE 'rejected' END AS status, CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, doc_id % 97 AS updated FROM labels"
