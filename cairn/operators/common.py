@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cairn.session import pinned
+
 
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Adds 1, 2, ... in a total order, without bringing the rows to one task.
 
-    Rows are range-partitioned and sorted; each partition's count, summed over those before it, is its
-    offset (one small row a partition).
+    Rows are range-partitioned and written with their partition's number; each partition's count in these files, summed
+    over those before it, is its offset. Range bounds are sampled and partitions may be coalesced, so another execution could
+    cut elsewhere: numbers and offsets both come from the files.
     """
-    parts = df.repartitionByRange(*order).withColumn("n_p", F.spark_partition_id())
+    parts = pinned(df.repartitionByRange(*order).withColumn("n_p", F.spark_partition_id()))
     rn = F.row_number().over(W.partitionBy("n_p").orderBy(*order))
     sizes = parts.groupBy("n_p").agg(F.count(F.lit(1)).alias("n_c"))
     ahead = sizes.select("n_p", F.coalesce(F.sum("n_c").over(W.orderBy("n_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n_a"))
