@@ -11,7 +11,7 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import digest_of_group
@@ -21,10 +21,14 @@ from cairn.operators.recursion import reverse_closure
 EDGE_KEY = ["source_id", "target_id", "domain", "kind"]
 
 
+def last_dispatch() -> Column:
+    """The dispatch of the greatest position."""
+    return F.max(F.struct("start_line", "start_column", F.coalesce("dispatch_kind", F.lit("")).alias("d")))["d"]
+
+
 def upsert_relations(edges: DataFrame) -> DataFrame:
     """One relation for each (source, target, domain, kind): the dispatch of the greatest position wins."""
-    last = F.max(F.struct("start_line", "start_column", F.coalesce("dispatch_kind", F.lit("")).alias("d")))
-    return edges.groupBy(*EDGE_KEY).agg(last["d"].alias("dispatch_kind"))
+    return edges.groupBy(*EDGE_KEY).agg(last_dispatch().alias("dispatch_kind"))
 
 
 def relations_from(edges: DataFrame) -> DataFrame:
@@ -63,9 +67,9 @@ def admit_relations(edges: DataFrame, entities: DataFrame, files: DataFrame) ->
     return x.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
 
 
-def resolve_containers(entities: DataFrame) -> DataFrame:
-    """A container that isn't an entity becomes null."""
-    known = entities.select(F.col("id").alias("containing_id"), F.lit(True).alias("k")).distinct()
+def resolve_containers(entities: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """A container that isn't an entity (of `among`, if given) becomes null."""
+    known = (entities if among is None else among).select(F.col("id").alias("containing_id"), F.lit(True).alias("k")).distinct()
     x = entities.join(known, "containing_id", "left")
     return x.withColumn("containing_id", F.when(F.col("k"), F.col("containing_id"))).drop("k").select(*entities.columns)
 

@@ -38,11 +38,11 @@ def degrees(relations: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
-def entity_detail(entities: DataFrame, relations: DataFrame, entity_id: int) -> DataFrame:
-    """The entity with its degrees; the filters reach the scans of both tables."""
-    ends = relations.where((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id))
-    n = ends.agg(F.coalesce(F.sum((F.col("target_id") == entity_id).cast("bigint")), F.lit(0)).alias("in_degree"), F.coalesce(F.sum((F.col("source_id") == entity_id).cast("bigint")), F.lit(0)).alias("out_degree"))
-    return entities.where(F.col("id") == entity_id).crossJoin(n)
+def entity_detail(entities: DataFrame, relations: DataFrame, entity_id: int, incoming: DataFrame | None = None) -> DataFrame:
+    """The entity with its degrees; the filters reach the scans. `incoming`: the relations sorted by target."""
+    count = lambda df, end, name: df.where(F.col(end) == entity_id).agg(F.count(F.lit(1)).alias(name))
+    into, out = count(relations if incoming is None else incoming, "target_id", "in_degree"), count(relations, "source_id", "out_degree")
+    return entities.where(F.col("id") == entity_id).crossJoin(into).crossJoin(out)
 
 
 def index_state(runs: DataFrame, capability: str) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from cairn.functions import rules
 from cairn.functions.text import STOP_WORDS, fold, search_terms, task_terms, token_estimate
 from cairn.operators import changes, edges, extract, generations, ledger, packing, reads, recursion, search, traverse
-from cairn.plans.oracles import route_sql, surface_levels, surface_sql
+from cairn.plans.oracles import route_sql, surface_levels, surface_sql, waypoint_sql
 from cairn.session import read
 from cairn.sources.projection import PRELUDE, Graph
 
-PART, ORDER, PROJECT, USED_PROJECT = 30_000_001, 40_000_001, 1003, 1015
+PART, ORDER, PROJECT, USED_PROJECT, FILE = 30_000_001, 40_000_001, 1003, 1015, 10_000_001
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -54,7 +54,7 @@ ORDER BY r.domain, r.kind, s.qualified_name, t.qualified_name, b.start_line, r.i
 
 def _relations(spark, sf_dir, **given):
     g = Graph(spark, sf_dir)
-    return edges.relations_of(g.entities, g.relations, g.evidence, **given)
+    return edges.relations_of(g.served("entities"), g.served("relations"), None, incoming=g.served("incoming"), **given)
 
 
 @query(_relations_sql(f"r.source_id = {PART}"))
@@ -83,16 +83,19 @@ FROM relations r {_ENDS} JOIN ev e ON e.relation_id = r.id JOIN files f ON f.id
 ORDER BY f.is_generated, r.kind, s.qualified_name, f.relative_path, e.start_line, e.start_column LIMIT 101"""
 
 
+def _usages(spark, sf_dir, kinds=None):
+    g = Graph(spark, sf_dir)
+    return edges.code_usages(g.served("entities"), g.served("relations"), g.served("evidence"), g.served("files"), PART, kinds, 100, g.served("incoming"))
+
+
 @query(_usages_sql())
 def code_usages(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    return edges.code_usages(g.entities, g.relations, g.evidence, g.files, PART, limit=100)
+    return _usages(spark, sf_dir)
 
 
 @query(_usages_sql("AND r.kind IN ('reads', 'uses_type')"))
 def usages_kind_filter(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    return edges.code_usages(g.entities, g.relations, g.evidence, g.files, PART, ["reads", "uses_type"], 100)
+    return _usages(spark, sf_dir, ["reads", "uses_type"])
 
 
 @query(f"{PRELUDE} SELECT relation_id, file_id, start_line, start_column, end_column FROM best")
@@ -106,19 +109,19 @@ def representative_evidence(spark, sf_dir):
 @query(f"{PRELUDE} SELECT 'entities' AS name, count(*) AS n FROM entities UNION ALL SELECT 'files', count(*) FROM files UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'evidence', count(*) FROM ev")
 def graph_counts(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return reads.graph_counts(entities=g.entities, files=g.files, relations=g.relations, evidence=g.evidence)
+    return reads.graph_counts(**{n: g.served(n) for n in ("entities", "files", "relations", "evidence")})
 
 
 @query(f"{PRELUDE} SELECT kind, count(*) AS n FROM entities GROUP BY kind")
 def kind_counts(spark, sf_dir):
-    return reads.kind_counts(Graph(spark, sf_dir).entities)
+    return reads.kind_counts(Graph(spark, sf_dir).served("entities"))
 
 
-_REFERENCES = "SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS source_id, CAST(1000 + s_nationkey AS BIGINT) AS target_id FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE o_orderkey % 50 = 0 AND c_nationkey <> s_nationkey"
+_REFERENCES = "SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS source_id, CAST(1000 + s_nationkey AS BIGINT) AS target_id FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE c_nationkey < s_nationkey"
 
 
 def _references(spark, sf_dir) -> DataFrame:
-    return Graph(spark, sf_dir)._sql(_REFERENCES)
+    return Graph(spark, sf_dir).sql(_REFERENCES)
 
 
 @query(f"""{PRELUDE}, refs AS ({_REFERENCES}) SELECT p.id, p.name, coalesce(f.n, 0) AS n_files, coalesce(f.g, 0)::BIGINT AS n_generated, coalesce(d.n, 0) AS n_dependencies FROM entities p
@@ -131,19 +134,19 @@ def project_summary(spark, sf_dir):
 @query(f"{PRELUDE} SELECT e.*, (SELECT count(*) FROM relations WHERE target_id = {PART}) AS in_degree, (SELECT count(*) FROM relations WHERE source_id = {PART}) AS out_degree FROM entities e WHERE e.id = {PART}")
 def entity_detail(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    return reads.entity_detail(g.entities, g.relations, PART)
+    return reads.entity_detail(g.served("entities"), g.served("relations"), PART, g.served("incoming"))
 
 
 @query(f"{PRELUDE} SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT target_id AS id, 1 AS i, 0 AS o FROM relations UNION ALL SELECT source_id, 0, 1 FROM relations) GROUP BY id")
 def degrees(spark, sf_dir):
-    return reads.degrees(Graph(spark, sf_dir).relations)
+    return reads.degrees(Graph(spark, sf_dir).served("relations"))
 
 
 _LOCATIONS = "SELECT CAST(30000000 + l_partkey AS BIGINT) AS entity_id, CAST(10000000 + o_custkey AS BIGINT) AS file_id, CASE WHEN l_linenumber = 1 THEN 'definition' ELSE 'mention' END AS location_kind, CAST(l_linenumber AS INT) AS start_line, CAST(1 + l_suppkey % 80 AS INT) AS start_column, CAST(1 + l_suppkey % 80 + l_quantity AS INT) AS end_column FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
 def _locations(spark, sf_dir) -> DataFrame:
-    return generations.upsert_locations(Graph(spark, sf_dir)._sql(_LOCATIONS))
+    return generations.upsert_locations(Graph(spark, sf_dir).sql(_LOCATIONS))
 
 
 _LOC_SQL = f"SELECT entity_id, file_id, location_kind, start_line, start_column, max(end_column) AS end_column FROM ({_LOCATIONS}) GROUP BY entity_id, file_id, location_kind, start_line, start_column"
@@ -163,8 +166,7 @@ _RUNS = "SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' E
 
 
 def _runs(spark, sf_dir) -> DataFrame:
-    read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(_RUNS)
+    return Graph(spark, sf_dir).sql(_RUNS)
 
 
 @query(f"SELECT coalesce(arg_max(status, run_id), 'missing') AS status, count(*) AS n_runs FROM ({_RUNS}) WHERE capability = 'csharp.relations'")
@@ -177,7 +179,7 @@ _RULES = "SELECT CAST(1000 + c_nationkey AS BIGINT) AS project_id, c_name AS pat
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY precedence DESC, path, line) AS place FROM ({_RULES}) WHERE (SELECT arg_max(status, run_id) FROM ({_RUNS}) WHERE capability = 'workspace.orientation') = 'succeeded'")
 def orientation_rules(spark, sf_dir):
-    return reads.orientation_gate(_runs(spark, sf_dir), reads.ordered_rules(Graph(spark, sf_dir)._sql(_RULES)))
+    return reads.orientation_gate(_runs(spark, sf_dir), reads.ordered_rules(Graph(spark, sf_dir).sql(_RULES)))
 
 
 @query(f"""{PRELUDE}, cur AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM files WHERE id % 13 <> 0)
@@ -199,13 +201,13 @@ _KINDS = "'class', 'method'"
 @query(f"""{PRELUDE} SELECT id, kind, name, qualified_name, CASE WHEN {_LOW('name')} = 'widget' OR {_LOW('qualified_name')} = 'widget' THEN 0 WHEN starts_with({_LOW('name')}, 'widget') OR starts_with({_LOW('qualified_name')}, 'widget') THEN 1 ELSE 2 END AS rank
 FROM entities WHERE kind IN ({_KINDS}) AND ({_HAS('name', 'widget')} OR {_HAS('qualified_name', 'widget')}) ORDER BY rank, length(qualified_name), qualified_name, kind, id LIMIT 51""")
 def symbol_search(spark, sf_dir):
-    return search.search_symbols(Graph(spark, sf_dir).entities, " WIDGET ", 50)
+    return search.search_symbols(Graph(spark, sf_dir).served("entities"), " WIDGET ", 50)
 
 
 @query(f"""{PRELUDE} SELECT id, kind, name, qualified_name, CASE WHEN starts_with(qualified_name, 'customer_1') THEN 1 ELSE 2 END AS rank
 FROM entities WHERE kind IN ({_KINDS}) AND {_HAS('qualified_name', 'customer_1')} ORDER BY rank, length(qualified_name), qualified_name, kind, id LIMIT 101""")
 def symbol_search_prefix(spark, sf_dir):
-    return search.search_symbols(Graph(spark, sf_dir).entities, "Customer_1", 100)
+    return search.search_symbols(Graph(spark, sf_dir).served("entities"), "Customer_1", 100)
 
 
 def _score_sql(t: str) -> str:
@@ -229,9 +231,7 @@ def _search_sql(query_: str, kinds: str = "", limit: int = 50) -> str:
 
 
 def _searchable(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    paths = g.entities.where("kind = 'project'").select(F.col("id").alias("project_id"), F.concat("name", F.lit("/"), "name", F.lit(".csproj")).alias("project_path"))
-    return search.searchable(g.entities, recursion.ownership(g.entities), g.files, paths)
+    return Graph(spark, sf_dir).served("searchable")
 
 
 @query(_search_sql("NATION_1"))
@@ -281,30 +281,30 @@ def _steps(spark, route: traverse.Route) -> DataFrame:
 
 @query(route_sql(ORDER, PROJECT, 6, 20_000))
 def route_shortest(spark, sf_dir):
-    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, ORDER, PROJECT, max_depth=6, max_visited=20_000))
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).served("relations"), ORDER, PROJECT, max_depth=6, max_visited=20_000))
 
 
 @query(route_sql(PROJECT, ORDER, 4, 5000))
 def route_not_found(spark, sf_dir):
-    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, PROJECT, ORDER, max_depth=4))
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).served("relations"), PROJECT, ORDER, max_depth=4))
 
 
 @query(route_sql(1, ORDER, 4, 20_000, ["contains"]))
 def route_containment(spark, sf_dir):
-    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).relations, 1, ORDER, kinds=["contains"], max_depth=4, max_visited=20_000))
+    return _steps(spark, traverse.trace_route(Graph(spark, sf_dir).served("relations"), 1, ORDER, kinds=["contains"], max_depth=4, max_visited=20_000))
 
 
-@query()
+@query(waypoint_sql(ORDER, f"SELECT max(target_id) AS v FROM relations WHERE source_id = {ORDER} AND domain = 'code'", PROJECT, 8, 20_000))
 def route_waypoint(spark, sf_dir):
-    r = Graph(spark, sf_dir).relations
+    r = Graph(spark, sf_dir).served("relations")
     via = r.where((F.col("source_id") == ORDER) & (F.col("domain") == "code")).agg(F.max("target_id")).first()[0]
     return _steps(spark, traverse.trace_route(r, ORDER, PROJECT, [via], max_depth=8, max_visited=20_000))
 
 
 def _surface(spark, sf_dir, **given):
     g = Graph(spark, sf_dir)
-    r = g.relations
-    return traverse.surface_frame(r, traverse.change_surface(r, entities=g.entities, **given))
+    r = g.served("relations")
+    return traverse.surface_frame(r, traverse.change_surface(r, entities=g.served("entities"), **given))
 
 
 @query(surface_sql(PART, 3, 200, ["code", "framework", "database"]))
@@ -312,20 +312,25 @@ def change_surface(spark, sf_dir):
     return _surface(spark, sf_dir, seed=PART)
 
 
+@query(surface_sql(FILE, 3, 200, ["code", "framework", "database"]))
+def change_surface_containment(spark, sf_dir):
+    return _surface(spark, sf_dir, seed=FILE)
+
+
 @query(surface_sql(ORDER, 2, 1000, ["code"]))
 def change_surface_code(spark, sf_dir):
     return _surface(spark, sf_dir, seed=ORDER, domains=["code"], max_depth=2, max_entities=1000)
 
 
-_CLASSIFIED = f"""{surface_levels(PART, 2, 500, ["code"])}, {_OWNERS}, x AS (SELECT i.*, e.qualified_name, e.kind AS entity_kind, o.project_id, o.project_name, coalesce((o.project_id - 1000) % 5 = 0, false) AS in_test FROM items i JOIN entities e ON e.id = i.entity_id LEFT JOIN owners o ON o.id = i.entity_id),
+_CLASSIFIED = f"""{surface_levels(PART, 2, 500, ["code", "framework", "database"])}, {_OWNERS}, x AS (SELECT i.*, e.qualified_name, e.kind AS entity_kind, o.project_id, o.project_name, coalesce((o.project_id - 1000) % 5 = 0, false) AS in_test FROM items i JOIN entities e ON e.id = i.entity_id LEFT JOIN owners o ON o.id = i.entity_id),
 cl AS (SELECT entity_id, qualified_name, entity_kind, depth, place, direction, relation_id, kind, project_id, project_name, depth = 1 AS direct, depth > 1 AND NOT in_test AS transitive, entity_kind = 'test_case' OR (entity_kind = 'method' AND in_test AND direction = 'dependent') AS related_test FROM x)"""
 
 
 def _classified(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    items = _surface(spark, sf_dir, seed=PART, domains=["code"], max_depth=2, max_entities=500)
-    tests = g.entities.where("kind = 'project' AND (id - 1000) % 5 = 0").select(F.col("id").alias("project_id"))
-    return traverse.classified(items, g.entities, recursion.ownership(g.entities), tests)
+    items = _surface(spark, sf_dir, seed=PART, max_depth=2, max_entities=500)
+    tests = g.served("entities").where("kind = 'project' AND (id - 1000) % 5 = 0").select(F.col("id").alias("project_id"))
+    return traverse.classified(items, g.served("entities"), g.served("owners"), tests)
 
 
 @query(f"{_CLASSIFIED} SELECT * FROM cl")
@@ -348,7 +353,7 @@ _COMMANDS = "SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, 'build_com
 
 @query(f"{_CLASSIFIED} SELECT project_id, kind, command, CASE WHEN kind = 'test_command' THEN 0 ELSE 1 END AS rank FROM ({_COMMANDS}) WHERE kind <> 'run_command' AND project_id IN (SELECT project_id FROM cl)")
 def verification_commands(spark, sf_dir):
-    return traverse.verification_commands(traverse.affected_projects(_classified(spark, sf_dir)), Graph(spark, sf_dir)._sql(_COMMANDS))
+    return traverse.verification_commands(traverse.affected_projects(_classified(spark, sf_dir)), Graph(spark, sf_dir).sql(_COMMANDS))
 
 
 # Extraction rules
@@ -356,8 +361,8 @@ def verification_commands(spark, sf_dir):
 
 @query(f"SELECT id AS file_id, concat(n_name, '/', 'deep/', name) AS path, project_id FROM (SELECT CAST(c_custkey AS BIGINT) AS id, n_name, c_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN CAST(1000 + n_nationkey AS BIGINT) END AS project_id FROM customer JOIN nation ON n_nationkey = c_nationkey)")
 def file_ownership(spark, sf_dir):
-    f = Graph(spark, sf_dir)._sql("SELECT CAST(c_custkey AS BIGINT) AS file_id, concat(n_name, '/', 'deep/', c_name) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey")
-    p = spark.sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, n_name AS folder FROM nation WHERE n_nationkey % 2 = 0")
+    f = Graph(spark, sf_dir).sql("SELECT CAST(c_custkey AS BIGINT) AS file_id, concat(n_name, '/', 'deep/', c_name) AS path FROM customer JOIN nation ON n_nationkey = c_nationkey")
+    p = Graph(spark, sf_dir).sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, n_name AS folder FROM nation WHERE n_nationkey % 2 = 0")
     return extract.own_files(f, p).select("file_id", "path", "project_id")
 
 
@@ -414,7 +419,7 @@ _USES = "SELECT CAST(l_orderkey % 100 AS BIGINT) AS source_id, CAST(l_suppkey AS
 
 @query(f"SELECT *, row_number() OVER w AS place, lag(middleware_id) OVER w AS before_id FROM (SELECT DISTINCT * FROM ({_USES})) WINDOW w AS (PARTITION BY source_id, file_id ORDER BY line, col, middleware_id)")
 def middleware_chain(spark, sf_dir):
-    return extract.middleware_chain(Graph(spark, sf_dir)._sql(_USES).distinct())
+    return extract.middleware_chain(Graph(spark, sf_dir).sql(_USES).distinct())
 
 
 @query("""WITH m AS (SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_name END AS table_name FROM part), k AS (SELECT lower(p_type) AS l, min(concat('known:', lower(p_type))) AS known_key FROM part WHERE p_size < 10 GROUP BY 1)
@@ -426,22 +431,23 @@ def table_unification(spark, sf_dir):
     return extract.unify_tables(m, k)
 
 
-@query(f"""{PRELUDE}, old AS (SELECT source_id, target_id, domain, CASE WHEN kind = 'resolves_to' THEN 'matches_endpoint' ELSE kind END AS kind FROM relations WHERE source_id % 2 = 0), m AS (SELECT DISTINCT source_id, target_id FROM relations WHERE kind = 'calls' AND source_id % 3 = 0)
-SELECT source_id, target_id, domain, kind FROM old WHERE kind <> 'matches_endpoint' AND source_id IN (SELECT id FROM entities WHERE id % 4 = 0) UNION SELECT source_id, target_id, 'framework', 'matches_endpoint' FROM m""")
+@query(f"""{PRELUDE}, old AS (SELECT source_id, target_id, domain, CASE WHEN kind = 'resolves_to' THEN 'matches_endpoint' ELSE kind END AS kind FROM relations), m AS (SELECT DISTINCT source_id, target_id FROM relations WHERE kind = 'calls')
+SELECT source_id, target_id, domain, kind FROM old WHERE kind <> 'matches_endpoint' AND source_id IN (SELECT id FROM entities WHERE id % 4 <> 1) UNION SELECT source_id, target_id, 'framework', 'matches_endpoint' FROM m""")
 def global_rebuild(spark, sf_dir):
+    # Sources are gone from the entity table only.
     g = Graph(spark, sf_dir)
-    r = g.relations
-    old = r.where("source_id % 2 = 0").withColumn("kind", F.when(F.col("kind") == "resolves_to", "matches_endpoint").otherwise(F.col("kind")))
-    return extract.rebuild_global(old, g.entities.where("id % 4 = 0"), r.where("kind = 'calls' AND source_id % 3 = 0"))
+    r = g.served("relations")
+    old = r.withColumn("kind", F.when(F.col("kind") == "resolves_to", "matches_endpoint").otherwise(F.col("kind")))
+    return extract.rebuild_global(old, g.entities.where("id % 4 <> 1"), r.where("kind = 'calls'"))
 
 
-@query("""WITH r AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS i FROM lineitem), m AS (SELECT DISTINCT l_partkey AS s, l_orderkey AS m FROM lineitem WHERE l_linenumber = 1), x AS (SELECT DISTINCT l_orderkey AS m, l_suppkey AS i, l_orderkey * 10 + l_linenumber AS t FROM lineitem WHERE l_linenumber < 3)
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS i FROM lineitem), m AS (SELECT DISTINCT l_partkey AS s, l_orderkey AS m FROM lineitem), x AS (SELECT DISTINCT l_orderkey AS m, l_suppkey AS i, l_orderkey * 10 + l_linenumber AS t FROM lineitem)
 SELECT s AS source_id, i AS target_id, 'resolves_to' AS kind FROM r UNION SELECT m.m, x.t, 'dispatches_to' FROM r JOIN m ON m.s = r.s JOIN x ON x.m = m.m AND x.i = r.i""")
 def registration_fanout(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     r = li.select(F.col("l_partkey").alias("service_id"), F.col("l_suppkey").alias("implementation_id"))
-    m = li.where("l_linenumber = 1").select(F.col("l_partkey").alias("service_id"), F.col("l_orderkey").alias("member_id")).distinct()
-    i = li.where("l_linenumber < 3").select(F.col("l_orderkey").alias("member_id"), F.col("l_suppkey").alias("implementation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("method_id")).distinct()
+    m = li.select(F.col("l_partkey").alias("service_id"), F.col("l_orderkey").alias("member_id")).distinct()
+    i = li.select(F.col("l_orderkey").alias("member_id"), F.col("l_suppkey").alias("implementation_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("method_id")).distinct()
     return extract.registration_edges(r, m, i)
 
 
@@ -453,8 +459,8 @@ def signature_append(spark, sf_dir):
 
 @query("SELECT CAST(1000 + c_nationkey AS BIGINT) AS project_id, d.dimension, d.value FROM (SELECT DISTINCT c_nationkey FROM customer) CROSS JOIN (VALUES ('configuration', 'Debug'), ('configuration', 'Release'), ('platform', 'AnyCPU')) AS d(dimension, value) WHERE d.dimension = 'platform' OR c_nationkey % 3 <> 0 UNION ALL SELECT CAST(1000 + n_nationkey AS BIGINT), 'configuration', unnest(['A', 'B']) FROM nation WHERE n_nationkey % 3 = 0")
 def build_dimensions(spark, sf_dir):
-    own = Graph(spark, sf_dir)._sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, 'configuration' AS dimension, ' A ;;B' AS value FROM nation WHERE n_nationkey % 3 = 0")
-    p = spark.sql("SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS project_id FROM customer")
+    own = Graph(spark, sf_dir).sql("SELECT CAST(1000 + n_nationkey AS BIGINT) AS project_id, 'configuration' AS dimension, ' A ;;B' AS value FROM nation WHERE n_nationkey % 3 = 0")
+    p = Graph(spark, sf_dir).sql("SELECT DISTINCT CAST(1000 + c_nationkey AS BIGINT) AS project_id FROM customer")
     return extract.with_defaults(extract.split_values(own, "value"), p, {"configuration": ["Debug", "Release"], "platform": ["AnyCPU"]})
 
 
@@ -476,16 +482,18 @@ def evidence_upsert(spark, sf_dir):
     return generations.upsert_evidence(Graph(spark, sf_dir).edges)
 
 
-@query(f"{PRELUDE} SELECT count(*) AS n FROM edges WHERE source_id % 3 = 0 AND target_id % 2 = 0 AND file_id % 7 <> 0 AND file_id >= 10000000")
+@query(f"""{PRELUDE}, known AS (SELECT id FROM entities WHERE id % 11 <> 0), there AS (SELECT id FROM files WHERE id % 7 <> 0)
+SELECT source_id, target_id, domain, kind, file_id, start_line, start_column, end_column FROM edges WHERE source_id IN (FROM known) AND target_id IN (FROM known) AND file_id IN (FROM there)""")
 def relation_admission(spark, sf_dir):
+    # An entity in eleven and a file in seven are gone; all edges are judged against the rest.
     g = Graph(spark, sf_dir)
-    e = g.edges.where("source_id % 3 = 0")
-    return generations.admit_relations(e, g.entities.where("id % 3 = 0 OR id % 2 = 0").where("id % 2 = 0 OR id % 3 = 0"), g.files.where("id % 7 <> 0")).where("target_id % 2 = 0").agg(F.count(F.lit(1)).alias("n"))
+    return generations.admit_relations(g.edges, g.entities.where("id % 11 <> 0"), g.files.where("id % 7 <> 0")).select("source_id", "target_id", "domain", "kind", "file_id", "start_line", "start_column", "end_column")
 
 
-@query(f"{PRELUDE} SELECT e.id, CASE WHEN c.id IS NOT NULL THEN e.containing_id END AS containing_id FROM entities e LEFT JOIN (SELECT id FROM entities WHERE id % 5 <> 0) c ON c.id = e.containing_id WHERE e.id % 5 <> 0")
+@query(f"{PRELUDE} SELECT e.id, CASE WHEN c.id IS NOT NULL THEN e.containing_id END AS containing_id FROM entities e LEFT JOIN (SELECT id FROM entities WHERE id % 5 <> 0) c ON c.id = e.containing_id")
 def container_repair(spark, sf_dir):
-    return generations.resolve_containers(Graph(spark, sf_dir).entities.where("id % 5 <> 0")).select("id", "containing_id")
+    e = Graph(spark, sf_dir).entities
+    return generations.resolve_containers(e, e.where("id % 5 <> 0")).select("id", "containing_id")
 
 
 @query(f"{PRELUDE} SELECT containing_id AS source_id, id AS target_id, 'code' AS domain, 'contains' AS kind FROM entities WHERE containing_id IS NOT NULL")
@@ -540,8 +548,7 @@ _DELTAS = f"SELECT event_id AS ord, {_CODES} AS code, CASE WHEN event_type = 'cl
 
 
 def _deltas(spark, sf_dir):
-    read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return changes.normalised(Graph(spark, sf_dir)._sql(_DELTAS))
+    return changes.normalised(Graph(spark, sf_dir).sql(_DELTAS))
 
 
 _STATUS = "CASE code WHEN '??' THEN 'untracked' WHEN 'UU' THEN 'conflicted' WHEN 'R ' THEN 'renamed' WHEN 'A ' THEN 'added' ELSE 'modified' END"
@@ -587,7 +594,7 @@ def file_entity_counts(spark, sf_dir):
     return changes.entity_counts(_located(spark, sf_dir))
 
 
-@query(f"""{PRELUDE}, {_MAPPED}, {_TOP}, few AS (SELECT * FROM mapped WHERE ord < 40 AND file_id IS NOT NULL), n AS (SELECT f.ord, f.file_id, c.n, coalesce(sum(c.n) OVER (ORDER BY f.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM few f JOIN (SELECT file_id, count(*) AS n FROM top GROUP BY file_id) c USING (file_id))
+@query(f"""{PRELUDE}, {_MAPPED}, {_TOP}, few AS (SELECT * FROM mapped WHERE file_id IS NOT NULL), n AS (SELECT f.ord, f.file_id, c.n, coalesce(sum(c.n) OVER (ORDER BY f.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM few f JOIN (SELECT file_id, count(*) AS n FROM top GROUP BY file_id) c USING (file_id))
 SELECT n.ord, t.file_id, t.entity_id, t.kind, t.name, t.place FROM n JOIN top t USING (file_id) WHERE n.ahead < 100 AND t.place <= 100 - n.ahead""")
 def changed_entities(spark, sf_dir):
     return changes.within_budget(_mapped(spark, sf_dir), changes.file_entities(_located(spark, sf_dir)))
@@ -598,8 +605,7 @@ _DEPS = "SELECT doc_id AS claim_id, 'file' AS kind, CAST(10000000 + doc_id % 150
 
 
 def _labels(spark, sf_dir, text):
-    read(spark, sf_dir, "labels").createOrReplaceTempView("labels")
-    return spark.sql(text)
+    return Graph(spark, sf_dir).sql(text)
 
 
 @query(f"""{PRELUDE}, ch AS (SELECT id AS file_id FROM files WHERE id % 9 = 0), touched AS (SELECT 'file' AS kind, file_id AS ref_id FROM ch UNION SELECT 'entity', id FROM entities WHERE containing_id IN (SELECT file_id FROM ch) UNION SELECT 'relation', relation_id FROM ev WHERE file_id IN (SELECT file_id FROM ch))
@@ -683,8 +689,7 @@ _REVIEWS = "SELECT event_id AS seq, CAST(user_id AS BIGINT) AS claim_id, CASE ev
 
 @query(f"SELECT c.claim_id, coalesce(CASE r.action WHEN 'revalidate' THEN 'accepted' WHEN 'dispute' THEN 'disputed' WHEN 'reject' THEN 'rejected' WHEN 'supersede' THEN 'superseded' END, c.status) AS status FROM ({_CLAIMS}) c LEFT JOIN (SELECT claim_id, arg_max(action, seq) AS action FROM ({_REVIEWS}) GROUP BY claim_id) r USING (claim_id)")
 def review_transitions(spark, sf_dir):
-    read(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return ledger.reviewed(_labels(spark, sf_dir, _CLAIMS), spark.sql(_REVIEWS)).select("claim_id", "status")
+    return ledger.reviewed(_labels(spark, sf_dir, _CLAIMS), Graph(spark, sf_dir).sql(_REVIEWS)).select("claim_id", "status")
 
 
 @query(f"""{PRELUDE}, {_FRESH}, x AS (SELECT d.claim_id, bool_or(o.value IS DISTINCT FROM c.value) AS is_stale FROM dep d LEFT JOIN old o USING (kind, key) LEFT JOIN cur c USING (kind, key) GROUP BY d.claim_id)
@@ -742,8 +747,7 @@ _OWN = " + ".join(f"CASE WHEN lower(project_name) = '{t}' THEN 90 ELSE 0 END" fo
 array_to_string(list_sort(list_distinct(list_concat(list(term), CASE WHEN lower(project_name) IN {_TERMS} THEN [lower(project_name)] ELSE [] END))), ',') AS terms FROM hits GROUP BY entity_id, qualified_name, project_name)
 SELECT entity_id, project_name, score, exact, terms, row_number() OVER (ORDER BY score DESC, exact DESC, qualified_name, entity_id) AS place FROM s""")
 def seed_candidates(spark, sf_dir):
-    _searchable(spark, sf_dir).createOrReplaceTempView("searched")
-    return packing.seed_candidates(spark.sql(_HITS), list(_TERMS))
+    return packing.seed_candidates(Graph(spark, sf_dir).sql(_HITS, searched=_searchable(spark, sf_dir)), list(_TERMS))
 
 
 @query()

@@ -6,10 +6,18 @@ files. The relations of an engine table are built from raw edges by `operators.g
 
 from __future__ import annotations
 
+import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn.operators import serving
 from cairn.operators.generations import evidence_from, relations_from
-from cairn.session import read
+from cairn.session import read, shared_folder
+
+STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "pages"]
 
 ENTITIES = """
 SELECT CAST(1 AS BIGINT) AS id, 'workspace' AS kind, 'workspace' AS name, 'workspace' AS qualified_name, 'none' AS language, CAST(NULL AS BIGINT) AS containing_id, CAST(NULL AS VARCHAR(100)) AS signature, 'public' AS visibility
@@ -35,30 +43,33 @@ UNION ALL SELECT CAST(20000000 + s_suppkey AS BIGINT), CAST(1000 + s_nationkey A
 """
 
 
+#: Folders of serving tables by (application, data folder): a graph is built once and then read.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 class Graph:
-    """The graph tables of one folder, each built when first asked for."""
+    """The graph of one folder: raw frames of the projection, and the serving tables (`Graph.served`) built from them once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
-        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-            read(self.spark, self.sf_dir, name).createOrReplaceTempView(name)
-        for name, df in frames.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """SQL over the folder's tables. Its names are bound to frames, so the session's own views stay as they are."""
+        named = {n: read(self.spark, self.sf_dir, n) for n in STAR if re.search(rf"\b{n}\b", text)} | frames
+        text = text.replace("{", "{{").replace("}", "}}")
+        return self.spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}} AS {m[2]}" if m[2] in named else m[0], text), **named)
 
     @property
     def entities(self) -> DataFrame:
-        return self._sql(ENTITIES)
+        return self.sql(ENTITIES)
 
     @property
     def files(self) -> DataFrame:
-        return self._sql(FILES)
+        return self.sql(FILES)
 
     @property
     def edges(self) -> DataFrame:
-        return self._sql(EDGES, entities=self.entities)
+        return self.sql(EDGES, entities=self.entities)
 
     @property
     def relations(self) -> DataFrame:
@@ -68,6 +79,21 @@ class Graph:
     def evidence(self) -> DataFrame:
         return evidence_from(self.edges)
 
+    def build(self) -> str:
+        """Writes the serving tables, unless this application has; their folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _BUILT:
+            e = self.entities
+            paths = e.where("kind = 'project'").select(F.col("id").alias("project_id"), F.concat("name", F.lit("/"), "name", F.lit(".csproj")).alias("project_path"))
+            where = f"{shared_folder(self.spark)}/graph-{uuid.uuid4().hex}"
+            with ThreadPoolExecutor(4) as pool:  # the tables' jobs fill each other's gaps
+                list(pool.map(lambda x: x[1].write.parquet(f"{where}/{x[0]}"), serving.tables(e, self.edges, self.files, paths).items()))
+            _BUILT[key] = where
+        return _BUILT[key]
+
+    def served(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.build()}/{name}")
+
 
 _FILES_DUCK = FILES.replace("sha2(c_name, 256)", "sha256(c_name)").replace("sha2(s_name, 256)", "sha256(s_name)")
 #: The same tables for DuckDB, relations and evidence included.
