@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 from pathlib import Path
@@ -12,15 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Values that nobody chose.
+#: What Spark has where nobody chose.
 DEFAULT_BYTES = ("67108864b", "67108864", "64MB")
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver did, and get texts in small batches."""
+    """Let Python workers import this package from where the driver did, and get texts in small batches.
+
+    Both hold for the session; a batch size that somebody set stays.
+    """
     if spark.conf.get(BATCH_BYTES, None) in (None, *DEFAULT_BYTES):
         spark.conf.set(BATCH_BYTES, str(4 << 20))
     env = spark.sparkContext.environment
@@ -33,22 +40,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share.
 
-    A folder of our own is used only where the setting is absent and Spark runs in one process.
+    Where it is unset and Spark is one process (tests): a folder of our own, which goes with the process.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="cairn-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def id_kind(df: DataFrame, name: str) -> str:
+    """The type in which an operator carries an id: bigint for whole numbers, else string (UUIDs, URLs and the like)."""
+    kind = next(f.dataType for f in df.schema.fields if f.name == name)
+    return "bigint" if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string"
+
+
 class Columns:
     """A frame whose columns go by position, so that no input name can clash with one of ours."""
 

@@ -225,22 +225,51 @@ def test_recall(spark, sf):
     v = table(spark, f"/root/testdata/sf{sf}", "embeddings")
     rows = v.toPandas()
     x, ids = np.array(rows.embedding.tolist(), dtype=np.float64), rows.vec_id.to_numpy()
-    d = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
-    np.fill_diagonal(d, np.inf)
+    ask = np.flatnonzero(ids % 50 == 0)
+    d = (x[ask] * x[ask]).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x[ask] @ x.T
+    d[np.arange(len(ask)), ask] = np.inf
     want = ids[np.argsort(d, axis=1)[:, : ann.K]]
-    out = ann.neighbours(v).toPandas()
+    out = registry.op3_nearest_neighbours(spark, f"/root/testdata/sf{sf}").toPandas()
     got = out.groupby("vec_id").neighbour_id.apply(set)
-    assert len(got) == len(ids) and (out.groupby("vec_id").size() == ann.K).all()
-    assert np.mean([len(set(w) & got[i]) / ann.K for w, i in zip(want, ids)]) >= 0.9
+    assert set(got.index) == set(ids[ask]) and (out.groupby("vec_id").size() == ann.K).all()
+    assert np.mean([len(set(w) & got[i]) / ann.K for w, i in zip(want, ids[ask])]) >= 0.9
     at = {i: k for k, i in enumerate(ids)}
     for r in out.head(200).itertuples():
         assert r.distance == pytest.approx(np.linalg.norm(x[at[r.vec_id]] - x[at[r.neighbour_id]]), abs=1e-12)
 
 
 def test_many_equal_vectors(spark):
-    rows = [(i, [1.0, 2.0, 3.0]) for i in range(12_000)] + [(20_000, [9.0, 9.0, 9.0])]
-    out = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=2)
-    assert out.where("vec_id < 12000").agg(F.max("distance")).first()[0] == 0.0 and out.count() >= 24_000
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40_000)] + [(50_000, [9.0, 9.0, 9.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    out = ann.neighbours(v, v.where("vec_id % 1000 = 7"), k=3).toPandas()
+    # More than two parts' worth in one bucket, all at distance 0: ties go by id over all of them.
+    assert out.groupby("vec_id").neighbour_id.apply(list).to_dict() == {i: [n for n in range(4) if n != i][:3] for i in range(7, 40_000, 1000)}
+    assert (out.distance == 0).all()
+
+
+def test_another_dimension_drops_only_itself(spark):
+    rows = [(f"id-{i}", [float(i % 7), float(i), 1.0]) for i in range(60)] + [("longer", [1.0] * 9), ("none", None), (None, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    out = ann.neighbours(v, k=2).toPandas()
+    assert len(out) > 90 and "longer" not in set(out.vec_id) | set(out.neighbour_id)
+    assert {(r.vec_id, r.reason) for r in ann.rejected(v).collect()} == {("longer", "other_dimension"), ("none", "no_vector"), (None, "no_id")}
+
+
+def test_perturbations_come_in_order_of_their_chance():
+    rng = np.random.default_rng(3)
+    h = ann.Hasher(8, 1.3)
+    h.share = 0.8
+    x = rng.normal(size=(5, 8)) * 3
+    for q, codes in zip(x, h.visits(x, 1)):
+        f = h.project(q[None], 1)[0]
+
+        def chance(code):
+            slots = ((code >> (10 * np.arange(ann.PROJECTIONS))) & 1023) - 512
+            return np.prod(ann.normal_cdf((slots + 1 - f) * 2) - ann.normal_cdf((slots - f) * 2))
+
+        seen = np.array([chance(c) for c in codes])
+        assert codes[0] == h.codes(q[None], 1)[0] or seen[0] >= chance(h.codes(q[None], 1)[0])
+        assert (np.diff(seen) <= 1e-12).all() and 0.78 < seen.sum() and seen[:-1].sum() < 0.81
 
 
 # Class-based language model
