@@ -1,52 +1,49 @@
 """Language-model scoring with a Brown class-based bigram model.
 
-p(w | v) = p(class(w) | class(v)) p(w | class(w)). Classes come from exchange clustering: from a round-robin
-start by frequency, words move to the class that raises the likelihood of the class bigrams most. The search is
-distributed as in Uszkoreit and Brants (2008): each round, all tasks judge their words against the same class
-counts, and half of the words may move; the assignment with the best likelihood is kept.
-
-The corpus is read three times: word counts, bigram counts, scores. Counts cover all documents and are
-aggregated by shuffle. A word has its own entry if it is at least `MIN_SHARE` of all tokens; so there are at most
-1 / MIN_SHARE of them whatever the corpus, and what is broadcast has that bound. Rarer words belong
-to fixed classes by their length and kind, where the emission is uniform over the rare words seen. For
-clustering, a word's neighbours are one row, so no task needs more than some words at a time.
+p(w | v) = p(class(w) | class(v)) p(w | class(w)), where every word of the corpus has a class and a count of its own, so
+the model grows with the corpus. Classes come from exchange clustering. The `HEAD` most frequent words are clustered first: from a
+round-robin start by frequency, words move to the class that raises the likelihood of the class bigrams most. The
+search is distributed as in Uszkoreit and Brants (2008): each round, all tasks judge their words against the same
+class counts, and half of the words may move; the assignment with the best likelihood is kept, and it ends when two
+rounds together gain less than `LEAST_GAIN` of it, or after `ROUNDS`. Every other word then makes one exchange step: it goes to the class
+that gives its neighbours among the head the best likelihood, with the class counts held (beside which its own are
+nothing). HEAD says which words are looked up in a broadcast table, of that bounded size, and which in a shuffled one; it drops none.
+
+The texts are read twice: to count words, and to write them as numbers (four bytes a token, in the shared folder). From
+these: bigrams of head words, by shuffle; for the other words one row of neighbours' classes a token, by shuffle on the
+word; and these tokens again, with the class of their word by a join, brought together by document. The driver holds the
+head's words and classes and the class bigram table. Other words are known by 63 bits of a hash.
 
 Smoothing: class transitions are Dirichlet-smoothed with the class frequencies (`PRIOR`), emissions by 1/2 a count.
 
 Defined results:
 * words are runs of letters, digits and _, in lower case; a document begins and ends with a boundary;
 * a null or empty text has no words: n_tokens is 0, log_prob that of ending at once, perplexity null;
-* texts are read whole; repeated rows count and are scored as often as they occur; null doc_ids are carried;
-* an empty table gives an empty table; ties in frequency go by the word; extra columns are ignored.
+* texts are read whole; repeated rows count and are scored as often as they occur; null ids are carried;
+* ids are whole numbers or, if of another type, strings; an empty table gives an empty table;
+* ties in frequency go by the word, ties between classes to the first; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, cut_lineage, lean, ready, slices
+from cairn.llm.common import Columns, id_kind, lean, ready, slices, written
 
-MIN_SHARE, CLASSES, ROUNDS, PRIOR = 4e-6, 64, 8, 50.0
+HEAD, CLASSES, ROUNDS, LEAST_GAIN, PRIOR = 1 << 16, 64, 8, 2e-4, 50.0
 WORDS = re.compile(r"\w+")
-RARE = 8
-#: Ids: 0 is the boundary, 1..RARE the rare kinds, then the words by frequency.
-FIRST = 1 + RARE
-
-
-def rare_kind(word: str) -> int:
-    """1..RARE: with digits, or by length."""
-    if not word.isalpha():
-        return 1
-    n = len(word)
-    return 2 if n <= 3 else 3 if n <= 5 else 4 if n <= 7 else 5 if n <= 9 else 6 if n <= 11 else 7 if n <= 14 else 8
+#: A task forgets its hashes beyond so many, which bounds its memory and changes no result.
+KEPT_WORDS = 400_000
+#: Log-probabilities are summed as whole numbers of this many parts, so that the order doesn't matter.
+PARTS = 10**9
 
 
 @lean
@@ -60,67 +57,176 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in part.column(0).to_pylist():
                 if t:
                     counts.update(WORDS.findall(t.lower()))
-            if len(counts) > 400_000:
+            if len(counts) > KEPT_WORDS:
                 yield flush(counts)
                 counts = Counter()
     if counts:
         yield flush(counts)
 
 
+def _encode(vocabulary):
+    """(key, id, text) to (key, id, n_tokens, head, tail): head as int32, -1 for a word that isn't of it; those as int64 in tail."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary.value.get
+        known: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch, 2):
+                head, tail, sizes = [], [], []
+                if len(known) > KEPT_WORDS:
+                    known.clear()
+                for t in part.column(2).to_pylist():
+                    words = WORDS.findall(t.lower()) if t else []
+                    own = list(map(get, words))
+                    rest: list[int] = []
+                    if None in own:
+                        for k, i in enumerate(own):
+                            if i is None:
+                                own[k] = -1
+                                w = words[k]
+                                h = known.get(w)
+                                if h is None:
+                                    h = known[w] = xxhash.xxh3_64_intdigest(w) >> 1
+                                rest.append(h)
+                    head.append(np.array(own, dtype=np.int32).tobytes())
+                    tail.append(np.array(rest, dtype=np.int64).tobytes())
+                    sizes.append(len(words))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, type=pa.int64()), pa.array(head, type=pa.binary()), pa.array(tail, type=pa.binary())], ["key", "id", "n_tokens", "head", "tail"])
+
+    return run
+
+
+def sequences(head: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with a boundary, 0, around each document; the place of each document's first boundary)."""
+    parts = head.to_pylist()
+    sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+    starts = np.cumsum(sizes + 2) - sizes - 2
+    seq = np.zeros(int((sizes + 2).sum()), dtype=np.int64)
+    inside = np.ones(len(seq), dtype=bool)
+    inside[starts] = False
+    inside[starts + sizes + 1] = False
+    seq[inside] = np.frombuffer(b"".join(parts), dtype=np.int32)
+    return seq, starts
+
+
 @lean
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        kinds = np.array([rare_kind(w) for w in b.column(0).to_pylist()], dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), b.column(1)], ["kind", "n"])
-
-
-def to_ids(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, boundaries around each; number of words of each)."""
-    out: list[int] = []
-    sizes = []
-    rare: dict[str, int] = {}
-    get = ids.get
-    for t in texts:
-        words = WORDS.findall(t.lower()) if t else []
-        sizes.append(len(words))
-        own = list(map(get, words))
-        if None in own:
-            for k, i in enumerate(own):
-                if i is None:
-                    w = words[k]
-                    i = rare.get(w)
-                    if i is None:
-                        i = rare[w] = rare_kind(w)
-                    own[k] = i
-        out.append(0)
-        out += own
-        out.append(0)
-    return np.array(out, dtype=np.int64), np.array(sizes, dtype=np.int64)
-
-
-def _pairs(vocabulary):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n): neighbours that are both of the head or boundaries."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def flush() -> pa.RecordBatch:
+        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], ["pair", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seq, starts = sequences(batch.column(0))
+        a, b = seq[:-1], seq[1:]
+        both = (a >= 0) & (b >= 0)
+        both[starts[1:] - 1] = False
+        held.append((a[both] << 32) | b[both])
+        n += len(held[-1])
+        if n > 4_000_000:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def around(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token that isn't of the head: (row, place in the row, word, class before, class after), -1 for another such token."""
+    names = batch.schema.names
+    seq, starts = sequences(batch.column(names.index("head")))
+    at = np.flatnonzero(seq < 0)
+    row = np.searchsorted(starts, at, side="right") - 1
+    word = np.frombuffer(b"".join(batch.column(names.index("tail")).to_pylist()), dtype=np.int64)
+    before, after = seq[at - 1], seq[at + 1]
+    return row, at - starts[row], word, np.where(before < 0, -1, classes[before]), np.where(after < 0, -1, classes[after])
+
+
+def _contexts(state):
+    """(word, cell) of each token: cell is the class before times k + 1 and the class after, k where it is unknown."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = vocabulary.value
-        held: list[np.ndarray] = []
-        n = 0
+        classes, k = state.value
+        for batch in batches:
+            if batch.num_rows:
+                _, _, word, before, after = around(batch, classes)
+                cell = np.where(before < 0, k, before) * (k + 1) + np.where(after < 0, k, after)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cell.astype(np.int32))], ["word", "cell"])
+
+    return run
+
+
+def step_class(right: np.ndarray, left: np.ndarray, n: np.ndarray, transition: np.ndarray, size: np.ndarray, free: int) -> np.ndarray:
+    """The class for words with these neighbours by class, of the first `free` ones: the likelihood with all counts held."""
+    value = right @ transition[:free].T + left @ transition[:, :free] - n[:, None] * np.log(size[:free])[None, :]
+    return value.argmax(axis=1)
+
+
+def _assign(state):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, size, free = state.value
+        k = len(transition)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                b = whole.slice(at, 8192)
+                row = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+                cell, m = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(np.float64)
+                before, after = cell // (k + 1), cell % (k + 1)
+                table = lambda c: np.bincount(row[c < k] * k + c[c < k], weights=m[c < k], minlength=b.num_rows * k).reshape(-1, k)  # noqa: B023, E731
+                n = np.bincount(row, weights=m, minlength=b.num_rows)
+                c = step_class(table(after), table(before), n, transition, size, free)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(c.astype(np.int32))], ["word", "n", "c"])
+
+    return run
+
 
-        def flush() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], ["pair", "n"])
+def _tokens(state):
+    """(key, pos, word, before, after) of each token that isn't of the head."""
 
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = state.value
         for batch in batches:
-            for part in slices(batch, 0):
-                seq, sizes = to_ids(part.column(0).to_pylist(), ids)
-                inside = np.ones(len(seq) - 1, dtype=bool)
-                inside[np.cumsum(sizes + 2)[:-1] - 1] = False
-                held.append(((seq[:-1] << 32) | seq[1:])[inside])
-                n += len(held[-1])
-                if n > 4_000_000:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
+            if batch.num_rows:
+                row, pos, word, before, after = around(batch, classes)
+                key = batch.column(0).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([key, pa.array(pos.astype(np.int32)), pa.array(word), pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16))], ["key", "pos", "word", "before", "after"])
+
+    return run
+
+
+def steps(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of rows (key, tokens by place): (row, class before, class, count, class after or -1), the class of a neighbour of the same kind filled in."""
+    lists = batch.column(1)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    _, c, n, before, after = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+    before = before.astype(np.int64)
+    unknown = np.flatnonzero(before < 0)
+    before[unknown] = c[unknown - 1]
+    return row, before, c.astype(np.int64), n, after.astype(np.int64)
+
+
+def _cells(k: int):
+    """Class bigrams in which a token that isn't of the head takes part."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                _, before, c, _, after = steps(b)
+                m += np.bincount(before * k + c, minlength=k * k)
+                known = after >= 0
+                m += np.bincount(c[known] * k + after[known], minlength=k * k)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at].astype(np.float64))], ["cell", "n"])
 
     return run
 
@@ -202,7 +308,7 @@ def _moves(state, free: int, turn: int):
             words = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             # Half of the words each round; another half each time.
             turn_of = ((words * 2654435761 + turn * 40503) >> 7) & 1
-            pick = (words >= FIRST) & (turn_of == turn % 2)
+            pick = (words > 0) & (turn_of == turn % 2)
             if not pick.any():
                 continue
             words, own, right, left = contexts(b.filter(pa.array(pick)), classes, len(m))
@@ -219,123 +325,164 @@ def likelihood(m: np.ndarray) -> float:
 
 
 class Model:
-    """Vocabulary, classes and log-probabilities; small enough to broadcast."""
-
-    def __init__(self, vocabulary: list[str], counts: np.ndarray, rare_counts: np.ndarray, rare_types: np.ndarray, boundaries: int):
-        self.ids = {w: FIRST + i for i, w in enumerate(vocabulary)}
-        self.counts = np.concatenate([[boundaries], rare_counts, counts]).astype(np.float64)
-        self.types = np.concatenate([[1], np.maximum(rare_types, 1)])
-        self.free = max(1, min(CLASSES, len(vocabulary)))
-        self.k = self.free + FIRST
-        # Classes 0..free-1 are clustered; then the boundary's and the rare kinds'.
-        self.classes = np.concatenate([self.free + np.arange(FIRST), np.arange(len(vocabulary)) % self.free]).astype(np.int64)
+    """The head's words, their classes, and log-probabilities; of bounded size. `tail`: (word, n, c) of all others, a table."""
+
+    def __init__(self, vocabulary: list[str], counts: np.ndarray, boundaries: int, classes: int = CLASSES):
+        self.ids = {w: 1 + i for i, w in enumerate(vocabulary)}
+        self.counts = np.concatenate([[boundaries], counts]).astype(np.float64)
+        self.free = max(1, min(classes, len(vocabulary)))
+        self.k = self.free + 1
+        # Classes 0..free-1 are clustered; the last is the boundary's.
+        self.classes = np.concatenate([[self.free], np.arange(len(vocabulary)) % self.free]).astype(np.int64)
         self.bigrams = np.zeros((self.k, self.k))
         self.history: list[float] = []
+        self.tail: DataFrame | None = None
+        self.encoded: DataFrame | None = None
+        self.placed: DataFrame | None = None
 
-    def finish(self) -> None:
+    def smoothed(self) -> np.ndarray:
         m = self.bigrams
         share = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * self.k)
-        self.transition = np.log((m + PRIOR * share[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR))
+        return np.log((m + PRIOR * share[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR))
+
+    def sizes(self) -> np.ndarray:
+        return self.bigrams.sum(axis=1) + 0.5
+
+    def finish(self, tail_mass: np.ndarray) -> None:
+        """tail_mass: for each class the counts of its words outside of the head, each and 1/2."""
+        self.transition = self.smoothed()
         n = self.counts + 0.5
-        n[:FIRST] = 1.0  # these classes hold one entry
-        size = np.bincount(self.classes, weights=n, minlength=self.k)
-        self.emission = np.log(n / size[self.classes])
-        self.emission[:FIRST] = -np.log(self.types)
-
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(words, log-probability) of each text."""
-        seq, sizes = to_ids(texts, self.ids)
-        c = self.classes[seq]
-        step = np.concatenate([[0.0], self.transition[c[:-1], c[1:]] + self.emission[seq[1:]]])
-        starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
-        step[starts] = 0.0
-        return sizes, np.add.reduceat(step, starts) if len(starts) else np.zeros(0)
-
-
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> Model | None:
-    """The model of all documents, None if there are none."""
-    spark = ready(docs.sparkSession)
-    sc = spark.sparkContext
-    c = Columns(docs)
-    texts = c.df.select(c[text_col].cast("string").alias("text"))
-    words = cut_lineage(texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    rows = texts.count()
-    if not rows:
-        return None
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, min_share * total)
-    own = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toArrow()
-    rare = words.where(F.col("n") < least).mapInArrow(_kinds, "kind int, n bigint").groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
-    rare_n, rare_t = np.zeros(RARE), np.zeros(RARE)
-    for r in rare:
-        rare_n[r.kind - 1], rare_t[r.kind - 1] = r.n, r.types
-    model = Model(own.column("word").to_pylist(), own.column("n").to_numpy(), rare_n, rare_t, rows)
-    vocabulary = sc.broadcast(model.ids)
-    pairs = texts.mapInArrow(_pairs(vocabulary), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n")
-    near = neighbours(pairs)
+        mass = np.bincount(self.classes[1:], weights=n[1:], minlength=self.k) + tail_mass
+        self.log_mass = np.log(np.maximum(mass, 0.5))
+        self.emission = np.log(n) - self.log_mass[self.classes]
+        self.emission[0] = 0.0  # the boundary is its class's only member
+
+
+def _matrix_of(near: DataFrame, model: Model) -> np.ndarray:
+    cells = near.mapInArrow(_matrix(near.sparkSession.sparkContext.broadcast((model.classes, model.k))), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(model.k * model.k)
+    m[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return m.reshape(model.k, model.k)
+
+
+def cluster(near: DataFrame, model: Model, rounds: int) -> None:
+    """Exchange rounds over the head's bigrams; leaves the best classes and their bigrams in the model."""
+    sc = near.sparkSession.sparkContext
     best = None
     for turn in range(rounds + 1):
-        cells = near.mapInArrow(_matrix(sc.broadcast((model.classes, model.k))), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        m = np.zeros(model.k * model.k)
-        m[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-        m = m.reshape(model.k, model.k)
+        m = _matrix_of(near, model)
         model.history.append(likelihood(m))
         if best is None or model.history[-1] > best[0]:
             best = (model.history[-1], model.classes, m)
-        if turn == rounds or not len(own):
+        h = model.history
+        done = turn >= 2 and h[-1] - h[-3] < LEAST_GAIN * abs(h[0])
+        if turn == rounds or done or len(model.classes) == 1:
             break
         moves = near.mapInArrow(_moves(sc.broadcast((model.classes, m)), model.free, turn), "w bigint, c bigint").toArrow()
-        if turn and not moves.num_rows:
-            continue
         model.classes = model.classes.copy()
         model.classes[moves.column("w").to_numpy()] = moves.column("c").to_numpy()
     _, model.classes, model.bigrams = best
-    model.finish()
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, head: int = HEAD, classes: int = CLASSES) -> Model | None:
+    """The model of all documents, None if there are none."""
+    spark = ready(docs.sparkSession)
+    sc = spark.sparkContext
+    c = Columns(docs)
+    kind = id_kind(docs, id_col)
+    texts = c.df.select(c[text_col].cast("string").alias("text"))
+    rows = texts.count()
+    if not rows:
+        return None
+    own = texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head).toArrow()
+    model = Model(own.column("word").to_pylist(), own.column("n").to_numpy(), rows, classes)
+    keyed = c.df.select(F.monotonically_increasing_id().alias("key"), c[id_col].cast(kind).alias("id"), c[text_col].cast("string").alias("text"))
+    model.encoded = encoded = written(keyed.mapInArrow(_encode(sc.broadcast(model.ids)), f"key bigint, id {kind}, n_tokens bigint, head binary, tail binary"), "brown-encoded")
+    pairs = encoded.select("head").mapInArrow(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n")
+    cluster(neighbours(pairs), model, rounds)
+    # All other words: one exchange step each.
+    rest = encoded.where(F.octet_length("tail") > 0).select("key", "head", "tail")
+    seen = rest.mapInArrow(_contexts(sc.broadcast((model.classes, model.k))), "word bigint, cell int").repartition("word")
+    seen = seen.groupBy("word", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))
+    step = sc.broadcast((model.smoothed(), model.sizes(), model.free))
+    model.tail = tail = written(seen.mapInArrow(_assign(step), "word bigint, n bigint, c int"), "brown-tail")
+    tokens = rest.mapInArrow(_tokens(sc.broadcast(model.classes)), "key bigint, pos int, word bigint, before smallint, after smallint").join(tail, "word")
+    placed = tokens.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "n", "before", "after"))).alias("tokens"))
+    model.placed = placed = written(placed, "brown-placed")
+    cells = placed.mapInArrow(_cells(model.k), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    m = model.bigrams.ravel().copy()
+    m[cells.column("cell").to_numpy()] += cells.column("n").to_numpy()
+    model.bigrams = m.reshape(model.k, model.k)
+    mass = np.zeros(model.k)
+    for r in tail.groupBy("c").agg((F.sum("n") + F.count(F.lit(1)) / 2).alias("mass")).collect():
+        mass[r.c] = r.mass
+    model.finish(mass)
     return model
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
-    """(w, right, rn, left, ln): each word's neighbours and their counts, written once and read each round."""
+    """(w, right, rn, left, ln): each head word's neighbours of the head and their counts, written once and read each round."""
     spark = pairs.sparkSession
-    pairs = kept(pairs)
+    pairs = written(pairs, "brown-pairs")
     side = lambda key, other, a, b: pairs.groupBy(F.col(key).alias("w")).agg(F.collect_list(other).alias(a), F.collect_list("n").alias(b))
     right, left = side("a", "b", "right", "rn"), side("b", "a", "left", "ln")
     none = lambda n, kind: F.coalesce(n, F.array().cast(kind)).alias(n)
     out = right.join(left, "w", "full").select("w", none("right", "array<int>"), none("rn", "array<bigint>"), none("left", "array<int>"), none("ln", "array<bigint>"))
-    return kept(out.repartition(spark.sparkContext.defaultParallelism * 2, "w"))
+    return written(out.repartition(spark.sparkContext.defaultParallelism * 2, "w"), "brown-near")
+
+
+def _head_scores(state):
+    """(key, log) of what is between words of the head."""
 
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, transition, emission = state.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seq, starts = sequences(b.column(3))
+            known = seq >= 0
+            own = np.where(known, seq, 0)
+            c = classes[own]
+            step = np.where(known, emission[own], 0.0)
+            step[1:] += np.where(known[1:] & known[:-1], transition[c[:-1], c[1:]], 0.0)
+            step[starts] = 0.0
+            log = np.add.reduceat(np.rint(step * PARTS).astype(np.int64), starts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(log)], ["key", "id", "n_tokens", "log"])
+
+    return run
 
-def kept(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        return cut_lineage(df)
-    path = f"{where.rstrip('/')}/brown-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
 
+def _tail_scores(state):
+    """(key, log) of what has a word outside of the head in it."""
 
-def _score(model):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                n, log = model.value.scores(part.column(1).to_pylist())
-                per = [float(np.round(np.exp(-x / (k + 1)), 6)) if k else None for k, x in zip(n, log)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(np.round(log, 6)), pa.array(per, type=pa.float64())], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+        transition, log_mass = state.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, before, c, n, after = steps(b)
+            log = transition[before, c] + np.log(n + 0.5) - log_mass[c] + np.where(after >= 0, transition[c, after], 0.0)
+            whole = np.zeros(b.num_rows, dtype=np.int64)
+            np.add.at(whole, row, np.rint(log * PARTS).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole)], ["key", "log"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, head: int = HEAD, classes: int = CLASSES, model: Model | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every document, under the model of all of them."""
     spark = ready(docs.sparkSession)
-    schema = "doc_id bigint, n_tokens bigint, log_prob double, perplexity double"
-    model = train(docs, text_col) if model is None else model
+    sc = spark.sparkContext
+    model = model or train(docs, id_col, text_col, rounds, head, classes)
+    kind = id_kind(docs, id_col)
     if model is None:
-        return spark.createDataFrame([], schema).withColumnRenamed("doc_id", id_col)
-    c = Columns(docs)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("doc_id"), c[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema).withColumnRenamed("doc_id", id_col)
+        return spark.createDataFrame([], f"{id_col} {kind}, n_tokens bigint, log_prob double, perplexity double")
+    mine = model.encoded.select("key", "id", "n_tokens", "head").mapInArrow(_head_scores(sc.broadcast((model.classes, model.transition, model.emission))), f"key bigint, id {kind}, n_tokens bigint, log bigint")
+    rest = model.placed.mapInArrow(_tail_scores(sc.broadcast((model.transition, model.log_mass))), "key bigint, log bigint").withColumnRenamed("log", "more")
+    log = (F.col("log") + F.coalesce("more", F.lit(0))) / F.lit(float(PARTS))
+    x = mine.join(rest, "key", "left").select("id", "n_tokens", log.alias("log"))
+    per = F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("log") / (F.col("n_tokens") + 1)), 6))
+    return x.select(F.col("id").alias(id_col), "n_tokens", F.round("log", 6).alias("log_prob"), per.alias("perplexity"))

@@ -306,28 +306,74 @@ def test_moves_equal_recounting():
         assert values[b] == pytest.approx(max(values)) and g == pytest.approx(values[b] - brown.likelihood(m), abs=1e-6)
 
 
-def test_model_counts_and_scores(spark):
-    rows = [(i, t) for i, t in enumerate(["the cat sat", "the dog sat", "a cat ran fast", "the dog ran", ""] * 20)]
+def brute_scores(texts, classes_of_head, free, prior=brown.PRIOR):
+    """(log-probabilities, class of each word outside of the head) from the texts and the head's classes, by plain counting."""
+    k, words = free + 1, [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    count = {}
+    for ws in words:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+
+    def smoothed(m):
+        share = (m.sum(0) + 0.5) / (m.sum() + 0.5 * k)
+        return np.log((m + prior * share) / (m.sum(1, keepdims=True) + prior))
+
+    def bigrams(of, known):
+        m = np.zeros((k, k))
+        for ws in words:
+            seq = [None, *ws, None]
+            for a, b in zip(seq, seq[1:]):
+                if (a is None or a in known) and (b is None or b in known):
+                    m[free if a is None else of[a], free if b is None else of[b]] += 1
+        return m
+
+    of = dict(classes_of_head)
+    m = bigrams(of, of)
+    t, size = smoothed(m), m.sum(1) + 0.5
+    value = {w: np.zeros(free) for w in count if w not in of}
+    for ws in words:
+        seq = [None, *ws, None]
+        for a, w, b in zip(seq, ws, seq[2:]):
+            if w in value:
+                value[w] -= np.log(size[:free])
+                if a is None or a in of:
+                    value[w] += t[free if a is None else of[a], :free]
+                if b is None or b in of:
+                    value[w] += t[:free, free if b is None else of[b]]
+    rest = {w: int(np.argmax(np.round(v, 9))) for w, v in value.items()}
+    every = {**of, **rest}
+    t = smoothed(bigrams(every, every))
+    mass = np.zeros(k)
+    for w, c in every.items():
+        mass[c] += count[w] + 0.5
+    out = []
+    for ws in words:
+        log, last = 0.0, free
+        for w in ws:
+            log += t[last, every[w]] + np.log((count[w] + 0.5) / mass[every[w]])
+            last = every[w]
+        out.append(log + t[last, free])
+    return out, rest
+
+
+def test_every_word_of_the_corpus_is_in_the_model(spark):
+    rows = table(spark, SMALL, "documents").select("doc_id", "text").collect()
+    rows += [(10_000, None), (10_001, ""), (10_002, rows[0].text)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    model = brown.train(docs, rounds=4)
-    c, n = model.classes, np.zeros((model.k, model.k))
-    for _, t in rows:
-        seq = [0, *(model.ids[w] for w in t.split()), 0]
-        for a, b in zip(seq, seq[1:]):
-            n[c[a], c[b]] += 1
-    assert (n == model.bigrams).all() and max(model.history) >= model.history[0]
-    share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * model.k)
-    for r in brown.score(docs, model).collect():
-        seq = [0, *(model.ids[w] for w in dict(rows)[r.doc_id].split()), 0]
-        log = 0.0
-        for a, b in zip(seq, seq[1:]):
-            log += np.log((n[c[a], c[b]] + brown.PRIOR * share[c[b]]) / (n[c[a]].sum() + brown.PRIOR))
-            if b:
-                own = [w for w in range(brown.FIRST, len(c)) if c[w] == c[b]]
-                log += np.log((model.counts[b] + 0.5) / sum(model.counts[w] + 0.5 for w in own))
-        assert r.log_prob == pytest.approx(log, abs=1e-5)
-    p = np.exp(model.transition).sum(axis=1)
-    assert p == pytest.approx(np.ones(model.k))
+    model = brown.train(docs, head=300, classes=12, rounds=4)
+    assert len(model.ids) == 300 and max(model.history) > model.history[0]
+    want, rest = brute_scores([r[1] for r in rows], {w: int(model.classes[i]) for w, i in model.ids.items()}, model.free)
+    got = {r.word: (r.n, r.c) for r in model.tail.collect()}
+    import xxhash
+
+    near = sum(got[xxhash.xxh3_64_intdigest(w) >> 1][1] == c for w, c in rest.items())
+    assert len(got) == len(rest) > 1000 and near >= 0.999 * len(rest)  # all but ties to the last bit
+    out = {r.doc_id: r for r in brown.score(docs, model=model).collect()}
+    for (i, _), log in zip(rows, want):
+        assert out[i].log_prob == pytest.approx(log, rel=1e-3 if near < len(rest) else 1e-9, abs=1e-5)
+    assert out[10_000].perplexity is None and out[10_000].n_tokens == out[10_001].n_tokens == 0
+    assert out[10_002].log_prob == out[rows[0][0]].log_prob
+    assert np.exp(model.transition).sum(axis=1) == pytest.approx(np.ones(model.k))
 
 
 def test_clustering_raises_likelihood(spark):
@@ -335,6 +381,13 @@ def test_clustering_raises_likelihood(spark):
     assert max(model.history) > model.history[0] + 1000
 
 
+def test_words_seen_twice_are_likelier_than_those_seen_once(spark):
+    base = ["the cat sat on the mat and the dog ran off again today"] * 40
+    rows = [(i, t) for i, t in enumerate([*base, "the qzxa sat on the mat", "the qzxa sat on the mat", "the wvub sat on the mat"])]
+    out = {r.doc_id: r.log_prob for r in brown.score(spark.createDataFrame(rows, "doc_id bigint, text string"), head=10).collect()}
+    assert out[40] == out[41] > out[42]
+
+
 # Toxicity
 
 
