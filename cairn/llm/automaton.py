@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re._constants as sc
 import re._parser as sp
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -284,6 +284,12 @@ def scan(dfa: Dfa, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     at: list[np.ndarray] = []
     bits: list[np.ndarray] = []
     for j, n in enumerate(running):
+        if n <= FEW_PIECES:  # the rest of some long pieces: byte by byte costs less than array by array
+            for k in range(n):
+                where, what = _rest(dfa, cls[lo[k] + j : lo[k] + size[k]], int(state[k]) // width)
+                at.append(where + lo[k] + j)
+                bits.append(what)
+            break
         s = flat[state[:n] + cls[lo[:n] + j]]
         state[:n] = s
         hit = hot[s]
@@ -298,6 +304,23 @@ def scan(dfa: Dfa, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return where[order], what[order]
 
 
+FEW_PIECES = 16
+
+
+def _rest(dfa: Dfa, classes: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes read, rule bits) at each accepting state of one piece."""
+    rows = dfa.table.tolist()
+    hot = [bool(x) for x in dfa.accepts]
+    row, where, states = rows[state], [], []
+    for i, c in enumerate(classes.tobytes(), 1):
+        state = row[c]
+        row = rows[state]
+        if hot[state]:
+            where.append(i)
+            states.append(state)
+    return np.array(where, dtype=np.int64), dfa.accepts[np.array(states, dtype=np.int64)]
+
+
 def match_starts(dfa: Dfa, text: bytes, end: int) -> list[int]:
     """Starts of what ends at `end`, by a reversed automaton; nearest first."""
     state, out = dfa.start, []
@@ -310,13 +333,42 @@ def match_starts(dfa: Dfa, text: bytes, end: int) -> list[int]:
     return out
 
 
-def match_ends(dfa: Dfa, text: bytes, start: int) -> list[int]:
-    """Ends of the matches that start at `start`; nearest first."""
-    state, out = dfa.start, []
-    for i in range(start, len(text)):
-        state = int(dfa.table[state, dfa.classes[text[i]]])
-        if state == dfa.dead:
+def longest_ends(dfa: Dfa, text: bytes, starts: list[int], good: Callable[[int], bool]) -> dict[int, int]:
+    """The last good end of the matches from each of the sorted starts that has one.
+
+    One pass: starts whose runs are in the same state have the same future, which is followed once, for the leftmost. So the
+    cost is the text's length times the few states that are alive together, however many starts there are.
+    """
+    classes, rows, accepts, dead = dfa.classes.tolist(), dfa.table.tolist(), dfa.accepts.tolist(), dfa.dead
+    ends: dict[int, int] = {}
+    joined: list[tuple[int, int, int]] = []  # (start, the one that goes on for it, from where)
+    live: dict[int, int] = {}  # state: start
+    k, i, n = 0, 0, len(text)
+    while k < len(starts) or live:
+        if not live:
+            i = starts[k]
+        while k < len(starts) and starts[k] == i:
+            if (other := live.setdefault(dfa.start, i)) != i:
+                joined.append((i, other, i))
+            k += 1
+        if i >= n:
             break
-        if dfa.accepts[state]:
-            out.append(i + 1)
-    return out
+        c = classes[text[i]]
+        i += 1
+        # In order of their starts, as each new one is later than all.
+        after: dict[int, int] = {}
+        for state, start in live.items():
+            state = rows[state][c]
+            if state == dead:
+                continue
+            if state not in after:
+                after[state] = start
+                if accepts[state] and good(i):
+                    ends[start] = i
+            else:
+                joined.append((start, after[state], i))
+        live = after
+    for start, other, at in reversed(joined):
+        if ends.get(other, -1) >= at:
+            ends[start] = ends[other]
+    return ends

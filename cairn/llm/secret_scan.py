@@ -13,7 +13,8 @@ isn't one of `automaton.TOKEN_SET`, and of private keys the first line; `scan_te
 
 Defined results:
 * null and empty texts have no findings; texts are scanned whole, however long;
-* repeated rows are scanned each; a null doc_id is carried as null; an empty table has no findings;
+* the cost grows with a text's length, whatever the length of a secret or the number of starts in it;
+* ids are whole numbers or, if of another type, strings; repeated rows are scanned each; a null doc_id is carried as null; an empty table has no findings;
 * extra columns are ignored by `findings` and kept by `redact`, which replaces each secret by
   [REDACTED:rule], sets n_chars (if there is such a column) and leaves other rows as they are;
 * where findings of several rules overlap, `redact` replaces their union, named by the leftmost one
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import automaton
-from cairn.llm.common import Columns, lean, ready, slices
+from cairn.llm.common import Columns, id_kind, lean, ready, slices
 
 RULES: list[tuple[str, str]] = [
     ("aws_access_key", r"(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
@@ -93,16 +94,15 @@ def spans(text: bytes, ends: np.ndarray, bits: np.ndarray, whole: bool) -> list[
             continue
         heads, rule, after = exact_rule(i)
         barred = (LETTERS if name in APART else frozenset()) if whole else automaton.TOKEN_BYTES
+        starts = sorted({s for e in own.tolist() for s in automaton.match_starts(heads, text, e)})
+        starts = [s for s in starts if not s or text[s - 1] not in barred]
+        found = automaton.longest_ends(rule, text, starts, (lambda e: _edge(text, e)) if after else lambda e: True)
         free = 0
-        for s in sorted({s for e in own.tolist() for s in automaton.match_starts(heads, text, e)}):
-            if s < free or s and text[s - 1] in barred:
-                continue
-            for e in reversed(automaton.match_ends(rule, text, s)):
-                if not after or _edge(text, e):
-                    e = key_end(text, e) if whole and name == "private_key" else e
-                    out.append((i, s, e))
-                    free = e
-                    break
+        for s in starts:
+            if s >= free and s in found:
+                e = key_end(text, found[s]) if whole and name == "private_key" else found[s]
+                out.append((i, s, e))
+                free = e
     return sorted(out, key=lambda x: (x[1], -x[2], x[0]))
 
 
@@ -123,7 +123,7 @@ def scan_texts(col: pa.Array, whole: bool = False) -> Iterator[tuple[int, bytes,
         return
     owner = np.searchsorted(starts, ends - 1, side="right") - 1
     for k in np.unique(owner):
-        own = owner == k
+        own = slice(*np.searchsorted(owner, [k, k + 1]))
         text = buf[starts[k] : stops[k]].tobytes()
         found = spans(text, ends[own] - starts[k], bits[own], whole)
         if found:
@@ -139,21 +139,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = part.column(0)
             for row, text, found in scan_texts(part.column(1), whole=True):
                 count: dict[int, int] = {}
-                for i, s, e in found:
+                before = done = 0
+                for i, s, e in found:  # in order of their starts
                     count[i] = count.get(i, 0) + 1
-                    before = len(text[:s].decode())
+                    before, done = before + len(text[done:s].decode()), s
                     secret = text[s:e].decode()
                     rows.append((ids[row].as_py(), RULES[i][0], count[i], before, before + len(secret), secret))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), (ids.type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names)
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, ordinal, start, end, secret): start and end count characters from 0."""
     ready(docs.sparkSession)
     c = Columns(docs)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("id"), c[text_col].cast("string").alias("text")).where("text is not null")
-    out = narrow.mapInArrow(_find, "id bigint, rule string, ordinal bigint, start bigint, end bigint, secret string")
+    kind = id_kind(docs, id_col)
+    narrow = c.df.select(c[id_col].cast(kind).alias("id"), c[text_col].cast("string").alias("text")).where("text is not null")
+    out = narrow.mapInArrow(_find, f"id {kind}, rule string, ordinal bigint, start bigint, end bigint, secret string")
     return out.withColumnRenamed("id", id_col)
 
 
