@@ -11,30 +11,33 @@ over the reversed-suffix relation of the vocabulary gives, at each node, the pie
   forward state is the last piece of the prefix's encoding, and a piece may follow another if that pair is stable.
   The result is what the library gives, id for id.
 
-A model is a file of the public format; it is read here without the library (its path is a parameter). The
-tables made from it (fixed by the vocabulary) go to every task. No shuffle; a word is encoded once for each task.
+A model is a file of the public format; it is read here without the library. Its path, on the driver, is a parameter; its
+bytes (half a MB) go to every worker, which makes its tables once. No shuffle; a word is encoded once for each task.
 
 Defined results:
 * null text gives null ids; an empty text gives no ids; texts are encoded whole, however long;
 * characters out of the vocabulary become byte pieces if the model has them, else the unknown id;
 * decoding gives back the text, except that U+2581 comes back as a space, and unknown ids as U+2047 between spaces;
-* repeated rows are encoded each; an empty table gives an empty table; extra columns are ignored by `encode`.
+* ids of documents are whole numbers or, if of another type, strings; repeated rows are encoded each; an empty table gives an empty table; extra columns are ignored by `encode`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import Columns, lean, list_array, ready, slices
+from cairn.llm.common import Columns, id_kind, lean, list_array, ready, slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,6 +145,9 @@ class Encoder:
                 self.fail[nxt] = self.goto[f].get(ch, 0) if node else 0
                 queue.append((nxt, depth + 1))
         if model.bpe:
+            scores = sorted({model.scores[i] for i in self.ids.values()}, reverse=True)
+            place = {x: k for k, x in enumerate(scores)}
+            self.level = {p: place[model.scores[i]] for p, i in self.ids.items()}
             self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (len(p) > 1, -model.scores[self.ids[p]])))}
             self.halves: dict[str, tuple[str, str] | None] = {}
             self.whole = {i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
@@ -155,18 +161,31 @@ class Encoder:
         return self.goto[node].get(ch, 0)
 
     def merged(self, word: str) -> list[str]:
-        """Plain merging: again and again the pair with the best score, the leftmost at a tie."""
+        """Plain merging: again and again the pair with the best score, the leftmost at a tie. By a heap: n log n."""
         parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.model.scores[i] > best):
-                    best, at = self.model.scores[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        n, level = len(parts), self.level
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = {word[k : k + 2] for k in range(n - 1)}
+        first = {p: level[p] * n for p in pairs if p in level}
+        # Level of the score, then place, in one number. An entry holds while the pair at its place still makes its level.
+        heap = [first[p] + k for k in range(n - 1) if (p := word[k : k + 2]) in first]
+        heapify(heap)
+        get = level.get
+        while heap:
+            now, k = divmod(heappop(heap), n)
+            o = after[k]
+            left = parts[k]
+            if o >= n or not left or get(whole := left + parts[o]) != now:
+                continue
+            parts[k], parts[o] = whole, ""
+            o = after[k] = after[o]
+            if o < n:
+                before[o] = k
+                if (i := get(whole + parts[o])) is not None:
+                    heappush(heap, i * n + k)
+            if (b := before[k]) >= 0 and (i := get(parts[b] + whole)) is not None:
+                heappush(heap, i * n + b)
+        return [p for p in parts if p]
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two parts of which merging makes the piece, None for a character."""
@@ -323,20 +342,28 @@ def model(path: str) -> Model:
         return Model.parse(f.read())
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(model(path))
+#: Of the models of a worker's tasks, by their bytes.
+_ENCODERS: dict[bytes, tuple[Encoder, Decoder]] = {}
 
 
-@cache
-def decoder(path: str) -> Decoder:
-    return Decoder(model(path))
+def coders(data: bytes) -> tuple[Encoder, Decoder]:
+    key = hashlib.sha256(data).digest()
+    if key not in _ENCODERS:
+        m = Model.parse(data)
+        _ENCODERS[key] = Encoder(m), Decoder(m)
+    return _ENCODERS[key]
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The model's file, read by the driver; executors get its bytes."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
-def _encode(path: str):
+def _encode(data: Broadcast):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = encoder(path), decoder(path)
+        enc, dec = coders(data.value)
         known: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, 1):
@@ -353,16 +380,17 @@ def _encode(path: str):
 
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_ids, round_trip): round_trip says that decoding the ids gave the text back."""
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
+    kind = id_kind(docs, id_col)
     c = Columns(docs)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("doc_id"), c[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(_encode(path), "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean").withColumnRenamed("doc_id", id_col)
+    narrow = c.df.select(c[id_col].cast(kind).alias("doc_id"), c[text_col].cast("string").alias("text"))
+    return narrow.mapInArrow(_encode(shipped(spark, path)), f"doc_id {kind}, ids array<int>, n_ids bigint, round_trip boolean").withColumnRenamed("doc_id", id_col)
 
 
-def _decode(path: str):
+def _decode(data: Broadcast):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dec = decoder(path)
+        dec = coders(data.value)[1]
         for batch in batches:
             texts = [None if x is None else dec.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], ["doc_id", "text"])
@@ -372,7 +400,8 @@ def _decode(path: str):
 
 def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of encoded documents."""
-    ready(encoded.sparkSession)
+    spark = ready(encoded.sparkSession)
+    kind = id_kind(encoded, id_col)
     c = Columns(encoded)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("doc_id"), c[ids_col].cast("array<int>").alias("ids"))
-    return narrow.mapInArrow(_decode(path), "doc_id bigint, text string").withColumnRenamed("doc_id", id_col)
+    narrow = c.df.select(c[id_col].cast(kind).alias("doc_id"), c[ids_col].cast("array<int>").alias("ids"))
+    return narrow.mapInArrow(_decode(shipped(spark, path)), f"doc_id {kind}, text string").withColumnRenamed("doc_id", id_col)
