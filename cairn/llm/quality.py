@@ -9,8 +9,9 @@ Everything is built-in expressions in one projection over one scan: no shuffle a
 
 Defined results:
 * null text counts as empty: it has no words and fails `no_words` only;
-* empty texts fail `no_words`; short texts are judged by the same ratios as long ones;
-* a null doc_id is kept; repeated rows each get their own ledger row; an empty table gives an empty ledger;
+* empty texts fail `no_words`; texts of any length are judged by the same formulas: ratios whose chance in a short text is
+  large have a constant added to what they divide by (`EASED`), so that a few words don't make a text junk;
+* ids are carried as they are, null ones too; repeated rows each get their own ledger row; an empty table gives an empty ledger;
 * other columns of the input are ignored by `ledger` and kept by `filter_documents`.
 """
 
@@ -36,8 +37,8 @@ RULES: list[tuple[str, str, float]] = [
     ("digits", "digit_ratio", 0.5),
     ("long_words", "mean_word_chars", 25.0),
 ]
-#: Rules that need some text to mean anything judge only documents of so many words or more.
-LEAST_WORDS = {"upper_case": 8, "word_runs": 8, "repeated_words": 40, "repeated_lines": 8, "list_marks": 8, "digits": 8}
+#: Added to the divisor of a ratio: what it counts has to stand out against so much more text.
+EASED = {"upper_ratio": 20, "run_ratio": 5, "words_per_distinct": 1, "dup_line_ratio": 4, "mark_ratio": 12, "digit_ratio": 20}
 BIT = {name: 1 << i for i, (name, _, _) in enumerate(RULES)}
 POLICIES: dict[str, list[str]] = {
     "v1": ["no_words", "symbol_heavy", "shouting", "word_runs"],
@@ -50,8 +51,8 @@ def mask(policy: str, without: str | None = None) -> int:
     return sum(BIT[r] for r in POLICIES[policy] if r != without)
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return a.cast("double") / F.greatest(b.cast("double"), F.lit(1.0))
+def _ratio(a: Column, b: Column, name: str = "") -> Column:
+    return a.cast("double") / F.greatest(b.cast("double") + F.lit(float(EASED.get(name, 0))), F.lit(1.0))
 
 
 def _measured(df: DataFrame, text: Column) -> DataFrame:
@@ -67,12 +68,12 @@ def _measured(df: DataFrame, text: Column) -> DataFrame:
             "empty": F.when(n == 0, 1.0).otherwise(0.0),
             "symbol_ratio": _ratio(count("[^#$%&*|<>{}~^=+\\\\]"), F.col("q_n")),
             "bang_per_word": _ratio(count("[^!?]"), n),
-            "upper_ratio": _ratio(count("[^A-Z]"), F.col("q_letters")),
-            "run_ratio": _ratio(runs, n),
-            "words_per_distinct": _ratio(n, F.size(F.array_distinct("q_w"))),
-            "dup_line_ratio": _ratio(F.size("q_l") - F.size(F.array_distinct("q_l")), F.size("q_l")),
-            "mark_ratio": _ratio(F.size(F.filter("q_w", lambda w: w.isin("|", "-", "*", "•", "·"))), n),
-            "digit_ratio": _ratio(count("[^0-9]"), F.col("q_n")),
+            "upper_ratio": _ratio(count("[^A-Z]"), F.col("q_letters"), "upper_ratio"),
+            "run_ratio": _ratio(runs, n, "run_ratio"),
+            "words_per_distinct": _ratio(n, F.size(F.array_distinct("q_w")), "words_per_distinct"),
+            "dup_line_ratio": _ratio(F.size("q_l") - F.size(F.array_distinct("q_l")), F.size("q_l"), "dup_line_ratio"),
+            "mark_ratio": _ratio(F.size(F.filter("q_w", lambda w: w.isin("|", "-", "*", "•", "·"))), n, "mark_ratio"),
+            "digit_ratio": _ratio(count("[^0-9]"), F.col("q_n"), "digit_ratio"),
             "mean_word_chars": _ratio(count("[ \\n\\t\\r]"), n),
         }
     )
@@ -81,8 +82,7 @@ def _measured(df: DataFrame, text: Column) -> DataFrame:
 def _bits() -> Column:
     out = F.lit(0).cast("bigint")
     for name, measure, limit in RULES:
-        failed = (F.col(measure) > limit) & (F.col("n_words") >= LEAST_WORDS.get(name, 0))
-        out = out + F.when(failed, F.lit(BIT[name])).otherwise(F.lit(0)).cast("bigint")
+        out = out + F.when(F.col(measure) > limit, F.lit(BIT[name])).otherwise(F.lit(0)).cast("bigint")
     return out
 
 
@@ -101,30 +101,40 @@ def apply_policy(rows: DataFrame, policy: str = "v2") -> DataFrame:
 def ablations(rows: DataFrame) -> DataFrame:
     """For each policy and rule: documents that fail the rule, that only it rejects, and that stay without it.
 
-    One aggregation over the ledger's integers; a handful of rows come back whatever the input.
+    One aggregation of the ledger's integers to one row (of zeros for an empty ledger), which is then laid out.
     """
     bits = F.col("fail_bits")
-    per = rows.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
-    items = F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(mask(p)).cast("bigint").alias("whole"), F.lit(mask(p, r)).cast("bigint").alias("rest"), F.lit(BIT[r]).cast("bigint").alias("bit")) for p in sorted(POLICIES) for r in POLICIES[p]])
-    x = per.select("fail_bits", "n", F.explode(items).alias("i")).select("fail_bits", "n", "i.*")
-    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("bigint")
-    return x.groupBy("policy", "rule").agg(
-        total(bits.bitwiseAND(F.col("bit")) != 0).alias("failed"),
-        total((bits.bitwiseAND(F.col("bit")) != 0) & (bits.bitwiseAND(F.col("rest")) == 0)).alias("only_this"),
-        total(bits.bitwiseAND(F.col("whole")) == 0).alias("kept"),
-        total(bits.bitwiseAND(F.col("rest")) == 0).alias("kept_without"),
-    )
+    has = lambda m: bits.bitwiseAND(F.lit(m)) != 0
+    count = lambda when: F.count(F.when(when, 1))
+    items = [
+        F.struct(
+            F.lit(p).alias("policy"),
+            F.lit(r).alias("rule"),
+            count(has(BIT[r])).alias("failed"),
+            count(has(BIT[r]) & ~has(mask(p, r))).alias("only_this"),
+            count(~has(mask(p))).alias("kept"),
+            count(~has(mask(p, r))).alias("kept_without"),
+        )
+        for p in sorted(POLICIES)
+        for r in POLICIES[p]
+    ]
+    return rows.agg(F.array(*items).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
 def filter_documents(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with all their columns."""
+    """The documents that the policy keeps, with all their columns.
+
+    The ledger's bits are made once for each document, as a column, before the policy looks at them: the one-element array keeps
+    the filter from being taken apart and pushed below, where it would evaluate the rules again for every bit.
+    """
     c = Columns(docs)
-    kept = _measured(c.df, c[text_col]).where(_bits().bitwiseAND(F.lit(mask(policy))) == 0)
-    return c.restore(kept)
+    m = _measured(c.df, c[text_col])
+    x = m.select(*c.df.columns, F.explode(F.array(_bits())).alias("q_bits"))
+    return c.restore(x.where(F.col("q_bits").bitwiseAND(F.lit(mask(policy))) == 0))
 
 
 _COUNT = lambda drop: f"length(regexp_replace(t, '{drop}', '', 'g'))"
-_DIV = lambda a, b: f"({a})::DOUBLE / greatest(({b})::DOUBLE, 1.0)"
+_DIV = lambda a, b, m="": f"({a})::DOUBLE / greatest(({b})::DOUBLE + {EASED.get(m, 0)}.0, 1.0)"
 LEDGER_SQL = f"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, regexp_extract_all(t, '{LINE}') AS l FROM a),
@@ -132,15 +142,15 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
   CASE WHEN len(w) = 0 THEN 1.0 ELSE 0.0 END AS empty,
   {_DIV(_COUNT('[^#$%&*|<>{}~^=+\\\\]'), 'length(t)')} AS symbol_ratio,
   {_DIV(_COUNT('[^!?]'), 'len(w)')} AS bang_per_word,
-  {_DIV(_COUNT('[^A-Z]'), _COUNT('[^A-Za-z]'))} AS upper_ratio,
-  {_DIV('len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))', 'len(w)')} AS run_ratio,
-  {_DIV('len(w)', 'len(list_distinct(w))')} AS words_per_distinct,
-  {_DIV('len(l) - len(list_distinct(l))', 'len(l)')} AS dup_line_ratio,
-  {_DIV("len(list_filter(w, lambda x: x IN ('|', '-', '*', '•', '·')))", 'len(w)')} AS mark_ratio,
-  {_DIV(_COUNT('[^0-9]'), 'length(t)')} AS digit_ratio,
+  {_DIV(_COUNT('[^A-Z]'), _COUNT('[^A-Za-z]'), 'upper_ratio')} AS upper_ratio,
+  {_DIV('len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))', 'len(w)', 'run_ratio')} AS run_ratio,
+  {_DIV('len(w)', 'len(list_distinct(w))', 'words_per_distinct')} AS words_per_distinct,
+  {_DIV('len(l) - len(list_distinct(l))', 'len(l)', 'dup_line_ratio')} AS dup_line_ratio,
+  {_DIV("len(list_filter(w, lambda x: x IN ('|', '-', '*', '•', '·')))", 'len(w)', 'mark_ratio')} AS mark_ratio,
+  {_DIV(_COUNT('[^0-9]'), 'length(t)', 'digit_ratio')} AS digit_ratio,
   {_DIV(_COUNT('[ \\n\\t\\r]'), 'len(w)')} AS mean_word_chars
   FROM b),
-f AS (SELECT *, ({' + '.join(f"CASE WHEN {m} > {x} AND n_words >= {LEAST_WORDS.get(r, 0)} THEN {BIT[r]} ELSE 0 END" for r, m, x in RULES)})::BIGINT AS fail_bits FROM m)
+f AS (SELECT *, ({' + '.join(f"CASE WHEN {m} > {x} THEN {BIT[r]} ELSE 0 END" for r, m, x in RULES)})::BIGINT AS fail_bits FROM m)
 """
 OP10_SQL = LEDGER_SQL + f"""SELECT doc_id, fail_bits, {', '.join(MEASURES)},
   CASE WHEN (fail_bits & {mask('v1')}) = 0 THEN 1 ELSE 0 END AS keep_v1,
