@@ -9,15 +9,15 @@ into ranges of equal size, the hot source as well; sums per range, their prefix
 each source and range) and a running sum within each range add up to the exact position of each document.
 Only ids and numbers move, never texts: `mix_documents` turns the result into one cut key for each source.
 
-The document in which a budget ends is taken; `take_tokens` is the part of it within the budget, so that
-take_tokens of a source sum to its budget exactly.
+The document in which a budget ends is taken in part; `take_tokens` is the part of it within the budget, so that
+take_tokens of a source sum to its budget exactly. `mix_documents` cuts that document's text behind this part.
 
 Defined results:
 * tokens are words between white space; null or empty texts have none and are never drawn;
 * a null source is a source like others; a source without tokens gets nothing, and its share goes unused;
 * rows that repeat a doc_id get the same key; the order is by key, doc_id, tokens, so rows that tie in all
   of these are interchangeable; a null doc_id has the key of the empty string;
-* an empty table gives an empty mixture; extra columns are ignored by `mixture`, kept by `mix_documents`;
+* ids are whole numbers or, if of another type, strings; an empty table gives an empty mixture; extra columns are ignored by `mixture`, kept by `mix_documents`;
 * a weight of 0 drops the source; sources without a given weight have weight 1.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cairn.llm.common import Columns, cut_lineage
+from cairn.llm.common import Columns, cut_lineage, id_kind
 
 SEED = "mix-1"
 #: Production weights: the hot source is asked for less than it has, small ones for more. Others weigh 1.
@@ -46,7 +46,7 @@ def _weight(source: Column, weights: dict[str, float]) -> Column:
 
 
 def _keyed(c: Columns, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    doc_id = c[id_col].cast("bigint")
+    doc_id = c[id_col].cast(id_kind(c.df, c.at(id_col)))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     return c.df.select(doc_id.alias("doc_id"), c[source_col].cast("string").alias("source"), key.alias("mix_key"), _tokens(c[text_col]).alias("n_tokens"))
 
@@ -89,31 +89,60 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, total_toke
     return x.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "epoch", "n_tokens", start.alias("start_token"), F.least("n_tokens", F.col("budget") - start).alias("take_tokens"))
 
 
+def _cut(text: Column, tokens: Column) -> Column:
+    """The text up to the end of its first tokens."""
+    pieces = F.regexp_extract_all(text, F.lit("[ \\n\\t\\r]*[^ \\n\\t\\r]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), tokens.cast("int")), "")
+
+
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, total_tokens: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mixture with all their columns, one row for each time they are drawn.
 
-    Each source's plan is one row: whole epochs and the key of the last document of the last, partial
-    one. It joins to the documents by source, so that texts stay where they are.
+    Each source's plan is one row: whole epochs, the key of the last document of the last, partial one, and how much of
+    it is taken. It joins to the documents by source, so that texts stay where they are. Where several rows tie with that document, a
+    window over these alone says which of them are still within the budget.
     """
     c = Columns(docs)
-    keyed = _keyed(c, id_col, text_col, source_col, seed)
-    x = _draws(cut_lineage(keyed), WEIGHTS if weights is None else weights, total_tokens)
-    most = x.groupBy("source").agg(F.max("epochs").alias("m"), F.max(F.struct("epochs", "mix_key", "doc_id", "n_tokens")).alias("last"))
-    plan = most.select(
+    kind = id_kind(docs, id_col)
+    keyed = cut_lineage(_keyed(c, id_col, text_col, source_col, seed))
+    x = _draws(keyed, WEIGHTS if weights is None else weights, total_tokens)
+    tied = x.groupBy("source", "epochs", "mix_key", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("ties"), F.max("before").alias("before"), F.first("own").alias("own"), F.first("budget").alias("budget"))
+    last = tied.groupBy("source").agg(F.max(F.struct("epochs", "mix_key", "doc_id", "n_tokens", "ties", "before", "own", "budget")).alias("l"))
+    plan = last.select(
         F.col("source").alias("p_source"),
-        F.col("m").alias("p_epochs"),
-        F.struct(F.col("last.mix_key").alias("k"), F.col("last.doc_id").alias("i"), F.col("last.n_tokens").alias("n")).alias("p_last"),
+        F.col("l.epochs").alias("p_epochs"),
+        F.struct(F.col("l.mix_key").alias("k"), F.col("l.doc_id").alias("i"), F.col("l.n_tokens").alias("n")).alias("p_last"),
+        F.col("l.ties").alias("p_ties"),
+        F.least(F.col("l.n_tokens"), F.col("l.budget") - (F.col("l.epochs") - 1) * F.col("l.own") - F.col("l.before")).alias("p_take"),
     )
     plan = cut_lineage(plan)
-    d = c.df.withColumns({"m_source": c[source_col].cast("string"), "m_id": c[id_col].cast("bigint"), "m_n": _tokens(c[text_col])})
+    several = not plan.where("p_ties > 1").isEmpty() or not _ties_beyond(keyed, plan).isEmpty()
+    d = c.df.withColumns({"m_source": c[source_col].cast("string"), "m_id": c[id_col].cast(kind), "m_n": _tokens(c[text_col])})
     d = d.withColumn("m_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("m_id").cast("string"), F.lit(""))))).where("m_n > 0")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     d = d.join(plan, F.col("m_source").eqNullSafe(F.col("p_source")))
     own = F.struct(F.col("m_key").alias("k"), F.col("m_id").alias("i"), F.col("m_n").alias("n"))
-    times = F.col("p_epochs") - F.when(own > F.col("p_last"), 1).otherwise(0)
-    d = d.withColumn("m_times", times.cast("int")).where("m_times > 0")
-    return c.restore(d.withColumn("m_e", F.explode(F.sequence(F.lit(1), F.col("m_times")))))
+    same = own.eqNullSafe(F.col("p_last"))
+    d = d.withColumn("m_last", F.when(same, 0).when(own > F.col("p_last"), 1).otherwise(-1)).withColumn("m_rank", F.lit(1).cast("bigint"))
+    if several:
+        rank = F.row_number().over(W.partitionBy("p_source").orderBy(F.xxhash64(*c.df.columns)))
+        d = d.where("m_last <> 0").unionByName(d.where("m_last = 0").withColumn("m_rank", rank.cast("bigint")))
+    beyond = (F.col("m_last") > 0) | (F.col("m_last") == 0) & (F.col("m_rank") > F.col("p_ties"))
+    d = d.withColumn("m_times", (F.col("p_epochs") - F.when(beyond, 1).otherwise(0)).cast("int")).where("m_times > 0")
+    d = d.withColumn("m_e", F.explode(F.sequence(F.lit(1), F.col("m_times"))))
+    part = (F.col("m_last") == 0) & (F.col("m_rank") == F.col("p_ties")) & (F.col("m_e") == F.col("p_epochs")) & (F.col("p_take") < F.col("m_n"))
+    text = F.when(part, _cut(c[text_col], F.col("p_take"))).otherwise(c[text_col])
+    changed = {c.at(text_col): text}
+    if c.has("n_chars") and dict(docs.dtypes)["n_chars"] in ("bigint", "int"):
+        changed[c.at("n_chars")] = F.when(part, F.length(text)).otherwise(c["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
+    return c.restore(d.withColumns(changed))
+
+
+def _ties_beyond(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Sources of which more rows tie with the last document than are drawn."""
+    same = F.col("source").eqNullSafe(F.col("p_source")) & F.struct(F.col("mix_key").alias("k"), F.col("doc_id").alias("i"), F.col("n_tokens").alias("n")).eqNullSafe(F.col("p_last"))
+    return keyed.join(plan, same).groupBy("p_source").agg(F.count(F.lit(1)).alias("n"), F.first("p_ties").alias("t")).where("n > t")
 
 
 #: So many sources (a row of 100 bytes each) are broadcast; more of them are joined by shuffle.
