@@ -9,21 +9,27 @@ checked against the total length, its HTTP head is split off, and a chunked body
 status of a result: ok; no_id (neither id nor origin); bad_number (a number below 1, or none on a
 continuation); missing_segment (numbers aren't 1..n); conflict (two different segments of one number);
 missing_total (several segments, none with a total); length_mismatch; no_http (no complete head);
-bad_chunk (chunk framing is broken or cut off). The body is null unless status is ok.
+bad_chunk (chunk framing is broken or cut off); bad_record and cut_off (see `read_warc`). The body is null unless status is ok.
 
 Defined results:
 * a repeated segment (same number and bytes) counts once; rows without id and origin each give a row;
 * a null payload counts as empty; a record without number, origin and total is whole by itself;
 * ties: target_uri and total are those of the segment with the lowest number that has one;
+* ids of pages may be of any type and null; a null html is an empty one, a null url differs from an empty one;
 * an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
+import re
+import zlib
 from collections.abc import Iterator
+from typing import IO
+from urllib.parse import unquote
 
 import pyarrow as pa
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +38,7 @@ from cairn.llm.common import Columns, lean, ready
 SEGMENT_BYTES, CHUNK_BYTES = 16384, 4096
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "record_id string, origin_id string, segment_number bigint, total_length bigint, target_uri string, payload binary"
+READ = RECORDS + ", problem string"
 RESULT = "record_id string, target_uri string, n_segments bigint, http_status int, status string, body binary"
 
 
@@ -77,8 +84,10 @@ def http_body(block: bytes) -> tuple[int | None, bytes | None, str]:
 
 
 def joined(key: str | None, rows: list[tuple]) -> tuple:
-    """A result row from the (number, is continuation, total, uri, payload) of one record, by number."""
+    """A result row from the (number, is continuation, total, uri, payload, problem) of one record, by number."""
     uri = next((r[3] for r in rows if r[3] is not None), None)
+    if problem := min((r[5] for r in rows if r[5] is not None), default=None):
+        return key, uri, len(rows), None, problem, None
     total = next((r[2] for r in rows if r[2] is not None), None)
     if key is None:
         return None, uri, 1, None, "no_id", None
@@ -86,7 +95,7 @@ def joined(key: str | None, rows: list[tuple]) -> tuple:
         return key, uri, len(rows), None, "bad_number", None
     parts: list[bytes] = []
     numbers: list[int] = []
-    for number, _, _, _, payload in rows:
+    for number, _, _, _, payload, _ in rows:
         number, payload = 1 if number is None else number, payload or b""
         if numbers and numbers[-1] == number:
             if parts[-1] != payload:
@@ -110,6 +119,29 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, (_, t) in zip(zip(*out), kinds)], [n for n, _ in kinds])
 
 
+#: A task remembers so many segments to drop their repetitions before the shuffle; more come through and are dropped behind it.
+KEPT_SEGMENTS = 200_000
+
+
+@lean
+def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without segments that repeat one of the task's, so that one sent a million times isn't shuffled as often."""
+    seen: set[bytes] = set()
+    for b in batches:
+        keep = []
+        for row in zip(*[c.to_pylist() for c in b.columns]):
+            if row[0] is None:
+                keep.append(True)
+                continue
+            h = xxhash.xxh3_128(repr(row[:5] + row[6:]).encode())
+            h.update(row[5] or b"")
+            keep.append((d := h.digest()) not in seen)
+            seen.add(d)
+        if len(seen) > KEPT_SEGMENTS:
+            seen.clear()
+        yield b if all(keep) else b.filter(pa.array(keep))
+
+
 @lean
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rows, out, held = None, [], [], 0
@@ -123,7 +155,12 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _rows(out)
                     out, held = [], 0
             key = k
-            rows.append(tuple(row))
+            # Of the segments of one number, the first and one that differs tell all there is to tell.
+            same = [r for r in rows[-2:] if r[0] == row[0] and k is not None]
+            if len(same) == 2 and same[0] != same[1]:
+                continue
+            if not same or tuple(row) != same[-1]:
+                rows.append(tuple(row))
     if rows:
         out.append(joined(key, rows))
     if out:
@@ -141,10 +178,14 @@ def reassemble(records: DataFrame) -> DataFrame:
         c["total_length"].cast("bigint").alias("total"),
         c["target_uri"].alias("uri"),
         c["payload"].alias("payload"),
+        (c["problem"] if c.has("problem") else F.lit(None)).cast("string").alias("problem"),
     )
     # A record without number goes before number 2 of its continuations.
     order = F.coalesce("n", F.when(~F.col("more"), F.lit(1)))
-    x = x.withColumn("o", order).repartition("k").sortWithinPartitions("k", "o").drop("o")
+    x = x.mapInArrow(_unique, "k string, n bigint, more boolean, total bigint, uri string, payload binary, problem string")
+    # Records without a key stand each for itself and go anywhere.
+    where = F.coalesce(F.xxhash64("k", F.lit(0)), F.lit(0)) + F.when(F.col("k").isNull(), F.xxhash64("payload", "uri")).otherwise(0)
+    x = x.withColumn("o", order).repartition(where).sortWithinPartitions("k", "o").drop("o")
     return x.mapInArrow(_join, RESULT)
 
 
@@ -172,52 +213,143 @@ def _segments(segment: int, chunk: int):
 
 
 def segment_pages(pages: DataFrame, segment: int = SEGMENT_BYTES, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """Pages as segmented WARC response records with chunked bodies."""
+    """Pages as segmented WARC response records with chunked bodies.
+
+    A record's id is a digest of the page, in which null and text, and one column and the next, can't be taken for each other,
+    and the page's id behind it (after n if that is null).
+    """
     ready(pages.sparkSession)
     c = Columns(pages)
-    part = lambda n: F.coalesce(c[n].cast("string"), F.lit("null"))
-    rid = F.concat(F.lit("urn:page:"), part("page_id"), F.lit(":"), F.md5(F.concat_ws("\n", part("url"), part("html"))))
+    part = lambda x: F.coalesce(F.concat(F.lit("v"), F.length(x), F.lit(":"), x), F.lit("n"))
+    page_id, html = c["page_id"].cast("string"), F.coalesce(c["html"], F.lit(""))
+    digest = F.md5(F.concat(part(page_id), part(c["url"]), part(html)))
+    rid = F.concat(F.lit("urn:page:"), digest, F.coalesce(F.concat(F.lit(":"), page_id), F.lit("n")))
     return c.df.select(rid.alias("rid"), c["url"].alias("url"), c["html"].alias("html")).mapInArrow(_segments(segment, chunk), RECORDS)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc and .warc.gz files, one task for each file or more."""
-    files = ready(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select("content").mapInArrow(_parse, RECORDS)
+    """Records of .warc and .warc.gz files, and `problem`, null for a good one.
 
+    A task streams its files and holds one record at a time. Behind a record whose head can't be read (bad_record), reading
+    goes on at the next line that begins a record; one that the end of the file cuts short, or whose compressed data are
+    broken, is cut_off. Both give a row, with what is known of them and no payload.
+    """
+    files = ready(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    # The content isn't among the columns, so it isn't read here.
+    return files.select("path").mapInArrow(_parse, READ)
+
+
+MARK = re.compile(rb"(?:\A|\n)WARC/\d")
+READ_BYTES, MOST_HEAD = 1 << 20, 1 << 20
+
+
+def unpacked(stream: IO[bytes]) -> Iterator[bytes]:
+    """The bytes of a file in pieces, decompressed (any number of gzip members) if they are; raises EOFError where they break off."""
+    piece = stream.read(READ_BYTES)
+    if piece[:2] != b"\x1f\x8b":
+        while piece:
+            yield piece
+            piece = stream.read(READ_BYTES)
+        return
+    while piece:
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            if not piece:
+                raise EOFError
+            try:
+                out = z.decompress(piece, READ_BYTES)
+            except zlib.error as e:
+                raise EOFError from e
+            piece = z.unconsumed_tail or (b"" if z.eof else stream.read(READ_BYTES))
+            if out:
+                yield out
+        piece = z.unused_data.lstrip(b"\0") or stream.read(READ_BYTES)
+
+
+def parse_warc(stream: IO[bytes]) -> Iterator[tuple]:
+    """(record_id, origin_id, segment_number, total_length, target_uri, payload, problem) of each record."""
+    pieces, held, ended, broken = unpacked(stream), bytearray(), False, False
+
+    def more() -> bool:
+        nonlocal ended, broken
+        if not ended:
+            try:
+                held.extend(next(pieces))
+                return True
+            except StopIteration:
+                ended = True
+            except EOFError:
+                ended = broken = True
+        return False
 
-def parse_warc(data: bytes) -> Iterator[tuple]:
-    """(record_id, origin_id, segment_number, total_length, target_uri, payload) of each record; stops at a broken one."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    i = 0
     while True:
-        i = data.find(b"WARC/", i)
-        end = data.find(b"\r\n\r\n", i)
-        if i < 0 or end < 0:
+        while not (at := MARK.search(held)) and more():
+            pass
+        if not at:
+            if broken or held.strip():
+                yield None, None, None, None, None, None, "cut_off" if broken else "bad_record"
             return
-        fields = {k.strip().lower(): v.strip().decode(errors="replace") for k, _, v in (x.partition(b":") for x in data[i:end].split(b"\r\n")[1:])}
-        if not fields.get(b"content-length", "").isdigit():
+        start = at.end() - len(b"WARC/0")
+        if held[:start].strip():
+            yield None, None, None, None, None, None, "bad_record"
+        del held[:start]
+        while (end := held.find(b"\r\n\r\n")) < 0 and len(held) < MOST_HEAD and more():
+            pass
+        head = bytes(held[: end if end >= 0 else 0])
+        fields = {k.strip().lower(): v.strip().decode(errors="replace") for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+        number = lambda n: int(fields[n]) if fields.get(n, "").isdecimal() and len(fields[n]) < 19 else None  # noqa: B023, E731
+        size = number(b"content-length")
+        known = (fields.get(b"warc-record-id"), fields.get(b"warc-segment-origin-id"), number(b"warc-segment-number"), number(b"warc-segment-total-length"), fields.get(b"warc-target-uri"))
+        if end < 0 or size is None:
+            yield *known, None, "cut_off" if end < 0 and ended else "bad_record"
+            del held[: len(b"WARC/")]
+            if (at := MARK.search(held)) is None:
+                while (at := MARK.search(held)) is None and more():
+                    pass
+            del held[: at.start() if at else len(held)]
+            continue
+        while len(held) < end + 4 + size and more():
+            pass
+        if len(held) < end + 4 + size:
+            yield *known, None, "cut_off"
             return
-        size = int(fields[b"content-length"])
-        number = lambda n: int(fields[n]) if fields.get(n, "").isdigit() else None
-        yield fields.get(b"warc-record-id"), fields.get(b"warc-segment-origin-id"), number(b"warc-segment-number"), number(b"warc-segment-total-length"), fields.get(b"warc-target-uri"), data[end + 4 : end + 4 + size]
-        i = end + 4 + size
+        yield *known, bytes(held[end + 4 : end + 4 + size]), None
+        del held[: end + 4 + size]
+        # Two line ends follow a record; they stay to tell that the next one begins a line.
 
 
 @lean
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [("record_id", pa.string()), ("origin_id", pa.string()), ("segment_number", pa.int64()), ("total_length", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+    names = ["record_id", "origin_id", "segment_number", "total_length", "target_uri", "payload", "problem"]
     for batch in batches:
-        for content in batch.column(0):
-            for row in parse_warc(content.as_py()):
-                yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, (_, t) in zip(row, kinds)], [n for n, _ in kinds])
+        for path in batch.column(0).to_pylist():
+            files, name = filesystem(path)
+            with files.open_input_stream(name, compression=None) as stream:
+                rows, size = [], 0
+                for row in parse_warc(stream):
+                    rows.append(row)
+                    size += len(row[5] or b"") + 200
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), kinds)], names)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI as Spark writes it, and the path there."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", path))
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def reassembled_pages(pages: DataFrame) -> DataFrame:
     """Pages through segmentation and back: page_id, url, n_segments, http_status, status, html."""
     out = reassemble(segment_pages(pages))
-    page_id = F.expr("try_cast(split_part(record_id, ':', 3) AS bigint)")
+    # urn:page:, a digest of 32 characters, then : and the id, or n.
+    tail = F.expr(f"substring(record_id, {len('urn:page:') + 33})")
+    page_id = F.when(F.substring(tail, 1, 1) == ":", F.expr(f"substring(record_id, {len('urn:page:') + 34})")).cast(pages.schema["page_id"].dataType)
     return out.select(page_id.alias("page_id"), F.col("target_uri").alias("url"), "n_segments", "http_status", "status", F.col("body").cast("string").alias("html"))
 
 
