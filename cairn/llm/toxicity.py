@@ -11,9 +11,9 @@ mined from all of it: words that occur in toxic documents and hardly in others.
 voters like the rest; how far to trust them is the label model's to find out.
 
 The texts are read three times (votes, sample, scores), and a fourth time for the lexicons, for which they are shuffled
-by id where the labels are too many to broadcast. The label model sees only counts of
+by id where there are more than `BROADCAST_LABELS` labels. The label model sees only counts of
 vote patterns over all documents, of which there are some hundreds in practice. The classifier is fitted on a
-bounded sample: the `TRAIN_ROWS` documents with the smallest hash of their id and text. The lexicons come from counts
+bounded sample: the `TRAIN_ROWS` different documents with the smallest hash of their id and text. The lexicons come from counts
 of words over all labelled documents: labels and texts are joined by id, each task counts words in portions of
 `COUNT_WORDS` distinct ones, and the counts are shuffled by word. A word is mined if at least `SUPPORT` toxic documents
 have it, they are `PRECISION` of all that have it, and so many wouldn't be by chance (see `mined`).
@@ -21,7 +21,7 @@ have it, they are `PRECISION` of all that have it, and so many wouldn't be by ch
 Defined results:
 * a null or empty text has no words: the voters for clean text vote, and it is scored like others;
 * repeated rows are scored each and alike; null doc_ids are carried; an empty table gives an empty table;
-* texts are read whole; scores don't depend on the order of rows; extra columns are ignored;
+* ids are whole numbers or, if of another type, strings; texts are read whole; scores don't depend on the order of rows; extra columns are ignored;
 * labels: rows with a null id or label are ignored, an id labelled both ways counts as toxic;
   labels that are all toxic or all clean give no lexicons;
 * if no voter votes toxic anywhere, every document has score 0.
@@ -39,14 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Columns, lean, list_array, ready, slices
+from cairn.llm.common import Columns, id_kind, lean, list_array, ready, slices
 
 TRAIN_ROWS, DIMS, THRESHOLD = 20_000, 1 << 16, 0.5
 COUNT_WORDS = 200_000
 #: A word is mined if so many toxic documents have it, and they are so large a share of all that have it.
 SUPPORT, PRECISION = 6, 0.9
 GROUPS = 3
-PATTERN_LIMIT = 1_000_000
+#: So many labels (16 bytes each) are broadcast to count words; more of them are joined by shuffle.
+BROADCAST_LABELS = 2_000_000
 
 INSULTS = "idiot idiots moron morons imbecile imbeciles cretin cretins dimwit dimwits nitwit halfwit simpleton dunce blockhead dolt buffoon dumbass dumbasses jackass".split()
 CONTEMPT = "loser losers scum scumbag scumbags trash clown clowns vermin filth parasite parasites creep creeps freak freaks garbage lowlife".split()
@@ -141,7 +142,8 @@ class LabelModel:
         """Voters joined where their votes agree beyond what the class explains, strongest first.
 
         Judged within the classes that the vote shares give: a fit that took the voters for independent
-        would have taken the strongest correlation for the class itself.
+        would have taken the strongest correlation for the class itself. A clique has three voters at most: one that
+        holds most voters leaves nothing to tell the class from their agreement.
         """
         m = len(VOTERS)
         signal = (self.votes == TOXIC).astype(float) - (self.votes == CLEAN)
@@ -210,14 +212,14 @@ def mined(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Chance: were n documents with the word toxic at the share q of all labelled ones, t or more would be with a
     probability of at most exp(-n KL(t/n, q)) (Chernoff), which has to be below 1/20 over all words together.
     """
-    d, l = Columns(docs), Columns(labels)  # noqa: E741
-    marks = l.df.select(l[id_col].cast("bigint").alias("l_id"), l["toxic"].cast("int").alias("toxic")).where("l_id is not null and toxic is not null")
+    d, l, kind = Columns(docs), Columns(labels), id_kind(docs, id_col)  # noqa: E741
+    marks = l.df.select(l[id_col].cast(kind).alias("l_id"), l["toxic"].cast("int").alias("toxic")).where("l_id is not null and toxic is not null")
     marks = marks.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     n, q = marks.agg(F.count(F.lit(1)), F.avg((F.col("toxic") != 0).cast("double"))).first()
     if not n or not 0 < q < 1:
         return {}
-    texts = d.df.select(d[id_col].cast("bigint").alias("id"), d[text_col].cast("string").alias("text"))
-    x = texts.join(marks, F.col("id") == F.col("l_id")).select("text", "toxic")
+    texts = d.df.select(d[id_col].cast(kind).alias("id"), d[text_col].cast("string").alias("text"))
+    x = texts.join(F.broadcast(marks) if n <= BROADCAST_LABELS else marks, F.col("id") == F.col("l_id")).select("text", "toxic")
     x = x.mapInArrow(_labelled, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     # One row, without a word, counts all words that aren't likely.
     likely = (F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c")))
@@ -309,9 +311,8 @@ def label_model(docs: DataFrame, own: dict[str, int], text_col: str = "text") ->
     ready(docs.sparkSession)
     c = Columns(docs)
     seen = c.df.select(c[text_col].cast("string").alias("text")).mapInArrow(_votes(own), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
-    table = seen.orderBy("pattern").limit(PATTERN_LIMIT + 1).toArrow()
-    if table.num_rows > PATTERN_LIMIT:
-        raise ValueError("too many vote patterns for the driver; use fewer voters")
+    # All voters but one have two votes, and that one three: there are 3 * 2^13 = 24,576 patterns at most.
+    table = seen.orderBy("pattern").toArrow()
     if not table.num_rows:
         return None
     out = LabelModel(table.column("pattern").to_numpy(), table.column("n").to_numpy())
@@ -343,15 +344,17 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
     """(doc_id, score, toxic): toxic is 1 where the classifier's score reaches the threshold."""
     spark = ready(docs.sparkSession)
     c = Columns(docs)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("doc_id"), c[text_col].cast("string").alias("text"))
+    kind = id_kind(docs, id_col)
+    narrow = c.df.select(c[id_col].cast(kind).alias("doc_id"), c[text_col].cast("string").alias("text"))
     own = {} if labels is None else mined(docs, labels, id_col=id_col, text_col=text_col)
     model = label_model(docs, own, text_col)
     linear = None
     if model is not None and model.posterior.max() > 0:
         # The hashes alone tell where the sample ends.
         hashed = narrow.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-        end = hashed.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-        sample = hashed.where(F.col("h") <= end).limit(train_rows).mapInArrow(_sampled(own), "h bigint, cols array<int>, pattern bigint").toArrow()
+        end = hashed.select("h").distinct().orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+        # Rows of equal hash repeat a document: one of them is enough, whichever it is.
+        sample = hashed.where(F.col("h") <= end).dropDuplicates(["h"]).mapInArrow(_sampled(own), "h bigint, cols array<int>, pattern bigint").toArrow()
         by = dict(zip(model.patterns.tolist(), model.posterior.tolist()))
         order = np.argsort(sample.column("h").to_numpy(), kind="stable")
         cols = sample.column("cols").combine_chunks()
@@ -360,4 +363,4 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, train_rows: int =
         target = np.array([by[p] for p in sample.column("pattern").to_pylist()])[order]
         linear = Linear(rows, target)
     scorer = spark.sparkContext.broadcast((linear, own))
-    return narrow.mapInArrow(_score(scorer), "doc_id bigint, score double, toxic int").withColumnRenamed("doc_id", id_col)
+    return narrow.mapInArrow(_score(scorer), f"doc_id {kind}, score double, toxic int").withColumnRenamed("doc_id", id_col)
