@@ -11,14 +11,13 @@ at most `radius` dimensions, so some v is orthogonal to all of them and its mask
 differs: every pair within the radius meets in one of the 2^(radius+1) - 1 tables. There is no
 false negative, whatever the data.
 
-What moves: one row of 12 bytes or so for each table and distinct fingerprint; texts never move, and
-equal fingerprints are one row, so thousands of copies cost as much as one. Within a bucket a search
-from each fingerprint visits only those not reached yet, which keeps connectivity exactly and makes a
-bucket of m copies of one text cost O(m) comparisons rather than O(m^2).
+What moves: for each distinct fingerprint and shuffle partition one row with the fingerprint and the numbers of the tables that
+hash its bucket there; texts never move, and equal fingerprints are one row, so thousands of copies cost as much as one.
+Within a bucket a search from each fingerprint visits only those not reached yet, which keeps connectivity exactly and
+makes a bucket of m copies of one text cost O(m) comparisons rather than O(m^2).
 
-Features are the words of `MIN_CHARS` letters or more, weighted by the root of their count: function
-words, which would make all texts of one language alike, are short. A text with fewer than `FEW` such
-words uses all its words and word pairs.
+Features are the words of a text, weighted by the root of their count and by the square of their length up to four letters:
+function words, which would make all texts of one language alike, are short. So every word counts, in texts of any length.
 
 Defined results:
 * null, empty or white-space-only texts have no fingerprint and match nothing;
@@ -27,6 +26,7 @@ Defined results:
 * repeated rows (same doc_id and text) are one document: they never show up as a pair with themselves,
   and `drop_duplicates` keeps one of them; rows with a null doc_id are left alone;
 * ties: the smallest doc_id of a group is the one that stays; an empty table gives an empty result;
+* ids are whole numbers or, if of another type, strings;
 * extra columns are ignored by `duplicates` and kept by `drop_duplicates`.
 """
 
@@ -43,9 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cairn.llm.common import Columns, cut_lineage, lean, ready, slices
+from cairn.llm.common import Columns, cut_lineage, id_kind, lean, ready, slices
 
-RADIUS, PRINTS, MIN_CHARS, FEW = 6, 2, 4, 6
+RADIUS, PRINTS = 6, 3
+#: So many (table, fingerprint) entries go to a task.
+TASK_ENTRIES = 2_000_000
 #: So many ids (16 bytes each) are broadcast to drop documents; more of them are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 WORDS = re.compile(r"\w+")
@@ -71,16 +73,6 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def features(text: str) -> dict[str, int]:
-    """Words and their counts, as the fingerprint takes them."""
-    words = WORDS.findall(text.lower())
-    out = Counter(w for w in words if len(w) >= MIN_CHARS)
-    if len(out) < FEW:
-        out = Counter(words)
-        out.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-    return out
-
-
 def fingerprints(texts: list[str | None], prints: int = PRINTS) -> tuple[np.ndarray, np.ndarray]:
     """(valid, prints): a uint64 row for each text."""
     n = len(texts)
@@ -94,7 +86,7 @@ def fingerprints(texts: list[str | None], prints: int = PRINTS) -> tuple[np.ndar
         if text is None or not text.strip():
             continue
         valid[i] = True
-        found = features(text)
+        found = Counter(WORDS.findall(text.lower()))
         if not found:
             out[i] = [xxhash.xxh3_64_intdigest(text, seed=99 + p) for p in range(prints)]
             continue
@@ -107,8 +99,9 @@ def fingerprints(texts: list[str | None], prints: int = PRINTS) -> tuple[np.ndar
         bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8).reshape(-1, 8 * prints), axis=1)
         signs = bits.astype(np.int16) * 2 - 1
         # Whole numbers, so that the sum doesn't depend on its order.
-        weight = np.floor(np.sqrt(np.array(counts, dtype=np.float64)) * 16).astype(np.int32)
         at = np.array(cols, dtype=np.int32)
+        length = np.array([min(len(w), 4) ** 2 for w in known], dtype=np.int32)
+        weight = np.floor(np.sqrt(np.array(counts, dtype=np.float64)) * 16).astype(np.int32) * length[at]
         ends = np.cumsum(sizes)
         sums = np.empty((len(rows), 64 * prints), dtype=np.int32)
         part = 0
@@ -152,15 +145,44 @@ def links_in_run(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def _spread(kept: np.ndarray, prints: int, parts: int):
+    """Fingerprints (k, p) to (part, p, tables): a row for each partition that some of its buckets hash to; tables as int16."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(kept)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                of, p = b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().view(np.uint64)
+                table = of[:, None] * n + np.arange(n)
+                h = (p[:, None] & kept[None, :]) ^ (table.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                part = ((h ^ (h >> np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, axis=1, kind="stable")
+                part = np.take_along_axis(part, order, axis=1)
+                table = np.take_along_axis(table, order, axis=1).astype(np.int16).ravel()
+                fresh = np.ones(part.shape, dtype=bool)
+                fresh[:, 1:] = part[:, 1:] != part[:, :-1]
+                starts = np.flatnonzero(fresh.ravel())
+                offsets = np.append(starts, len(table)).astype(np.int32) * 2
+                tables = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(table.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel()[starts]), pa.array(p[starts // n].view(np.int64)), tables], ["part", "p", "tables"])
+
+    return run
+
+
 def _links(kept: np.ndarray, radius: int):
-    """Rows (t, p) of whole buckets to pairs (a, b) of fingerprints, a < b as signed numbers."""
+    """Rows (p, tables) of whole buckets to pairs (a, b) of fingerprints, a < b as signed numbers."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ts, ps = [], []
         for b in batches:
-            ts.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int16))
-            ps.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            if b.num_rows:
+                one = b.column(1).to_pylist()
+                ts.append(np.frombuffer(b"".join(one), dtype=np.int16))
+                ps.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), [len(x) // 2 for x in one]))
         if not ts:
             return
         t, p = np.concatenate(ts), np.concatenate(ps)
@@ -221,20 +243,19 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, radius: int = RADIUS, prints: int = PRINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, duplicate_of): every document of a group but the one that stays, and that one."""
     ready(docs.sparkSession)
+    kind = id_kind(docs, id_col)
     c = Columns(docs)
-    narrow = c.df.select(c[id_col].cast("bigint").alias("id"), c[text_col].cast("string").alias("text")).where("id is not null")
+    narrow = c.df.select(c[id_col].cast(kind).alias("id"), c[text_col].cast("string").alias("text")).where("id is not null")
     names = [f"p{p}" for p in range(prints)]
-    fp = cut_lineage(narrow.mapInArrow(_prints(prints), "id bigint, " + ", ".join(f"{n} bigint" for n in names)))
+    fp = cut_lineage(narrow.mapInArrow(_prints(prints), f"id {kind}, " + ", ".join(f"{n} bigint" for n in names)))
     kept = masks(radius)
-    tables = len(kept)
-    entries = None
-    for k, n in enumerate(names):
-        one = fp.select(F.col(n).alias("p")).distinct().select(F.explode(F.sequence(F.lit(k * tables), F.lit((k + 1) * tables - 1))).alias("t"), "p")
-        entries = one if entries is None else entries.union(one)
-    signed = F.array(*[F.lit(int(m)) for m in kept.view(np.int64)])
-    whole = entries.repartition(F.col("t"), F.col("p").bitwiseAND(F.get(signed, F.col("t") % F.lit(tables))))
+    each = F.posexplode(F.array(*names)).alias("k", "p")
+    single = fp.select(each).distinct()
+    parts = -(-fp.count() * prints * len(kept) // TASK_ENTRIES) or 1
+    spread = single.mapInArrow(_spread(kept, prints, parts), "part int, p bigint, tables binary")
+    whole = spread.repartitionById(parts, "part").select("p", "tables")
     links = whole.mapInArrow(_links(kept, radius), "a bigint, b bigint").distinct()
-    return cut_lineage(_groups(fp, links, names))
+    return cut_lineage(_groups(fp, links, names)).withColumnRenamed("doc_id", id_col)
 
 
 def _groups(fp: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
@@ -254,10 +275,11 @@ def _groups(fp: DataFrame, links: DataFrame, names: list[str]) -> DataFrame:
 def drop_duplicates(docs: DataFrame, radius: int = RADIUS, prints: int = PRINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with one of each group: all columns stay."""
     c = Columns(docs)
-    gone = duplicates(docs, radius, prints, id_col, text_col).select(F.col("doc_id").alias("x_id"))
+    kind = id_kind(docs, id_col)
+    gone = duplicates(docs, radius, prints, id_col, text_col).select(F.col(id_col).alias("x_id"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    rest = c.df.join(gone, c[id_col].cast("bigint") == F.col("x_id"), "left_anti")
+    rest = c.df.join(gone, c[id_col].cast(kind) == F.col("x_id"), "left_anti")
     # Rows that repeat a doc_id with the same text are one document.
     narrow = c.df.select(c[id_col].alias("x_id"), F.xxhash64(c[text_col]).alias("x_h")).where("x_id is not null")
     again = cut_lineage(narrow.groupBy("x_id", "x_h").agg(F.count(F.lit(1)).alias("x_n")).where("x_n > 1").select("x_id").distinct())
