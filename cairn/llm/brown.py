@@ -423,13 +423,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
 def neighbours(pairs: DataFrame) -> DataFrame:
     """(w, right, rn, left, ln): each head word's neighbours of the head and their counts, written once and read each round."""
-    spark = pairs.sparkSession
     pairs = written(pairs, "brown-pairs")
     side = lambda key, other, a, b: pairs.groupBy(F.col(key).alias("w")).agg(F.collect_list(other).alias(a), F.collect_list("n").alias(b))
     right, left = side("a", "b", "right", "rn"), side("b", "a", "left", "ln")
     none = lambda n, kind: F.coalesce(n, F.array().cast(kind)).alias(n)
     out = right.join(left, "w", "full").select("w", none("right", "array<int>"), none("rn", "array<bigint>"), none("left", "array<int>"), none("ln", "array<bigint>"))
-    return written(out.repartition(spark.sparkContext.defaultParallelism * 2, "w"), "brown-near")
+    return written(out.repartition("w"), "brown-near")
 
 
 def _head_scores(state):

@@ -20,13 +20,12 @@ def plain(rows):
         words = r.text.split()
         n, letters = len(words), re.sub("[^A-Za-z]", "", r.text)
         ratio = lambda chars, of: len(re.findall(chars, r.text)) / max(of, 1)
-        runs = sum(a == b for a, b in zip(words, words[1:])) / max(n, 1)
         lines = [x for x in r.text.split("\n") if x]
         bad = n == 0 or ratio(r"[#$%&*|<>{}~^=+\\]", len(r.text)) > 0.03 or ratio("[!?]", n) > 0.3
-        bad |= n >= 8 and (len(re.sub("[^A-Z]", "", letters)) / max(len(letters), 1) > 0.6 or runs > 0.3)
-        bad |= n >= 40 and n / len(set(words)) > 20 or n >= 8 and 1 - len(set(lines)) / max(len(lines), 1) > 0.5
-        bad |= n >= 8 and (sum(w in "|-*•·" for w in words) / n > 0.15 or ratio("[0-9]", len(r.text)) > 0.5)
-        bad |= n > 0 and (len(r.text) - len(re.findall(r"[^ \n\t\r]", r.text)) < 0 or sum(map(len, words)) / n > 25)
+        bad |= len(re.sub("[^A-Z]", "", letters)) / max(len(letters) + 20, 1) > 0.6 or sum(a == b for a, b in zip(words, words[1:])) / (n + 5) > 0.3
+        bad |= n / (len(set(words)) + 1) > 20 or (len(lines) - len(set(lines))) / (len(lines) + 4) > 0.5
+        bad |= sum(w in "|-*•·" for w in words) / (n + 12) > 0.15 or len(re.findall("[0-9]", r.text)) / (len(r.text) + 20) > 0.5
+        bad |= n > 0 and sum(map(len, words)) / n > 25
         if not bad:
             kept.append(r)
     pairs = [(r.doc_id, r.text) for r in kept]
@@ -56,10 +55,11 @@ def plain(rows):
         while used < budget:
             for _, i, n in sorted(x):
                 if used < budget:
-                    drawn.append(i)
+                    drawn.append((i, min(n, budget - used)))
                 used += n
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    return sorted((i, lib.encode(texts[i][0])) for i in drawn)
+    cut = lambda t, n: t if n == len(t.split()) else re.match(r"(?:\s*\S+){%d}" % n, t)[0]
+    return sorted((i, lib.encode(cut(texts[i][0], n))) for i, n in drawn)
 
 
 def test_pipeline_equals_plain_version(spark):
