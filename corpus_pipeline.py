@@ -6,13 +6,12 @@ again as the next one's docs, so that a stage starts from files and a lost execu
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import mixing, pieces, quality, secret_scan, simhash
-from cairn.llm.common import table
+from cairn.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn to the target weights of their sources, again where epochs repeat."""
+    """Documents are drawn to the target weights of their sources, again where epochs repeat; the last of a source is cut at its budget."""
     return mixing.mix_documents(docs)
 
 
@@ -52,18 +51,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for the stages' files, in the one that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="cairn-pipeline-")
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = folder(spark)
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{i}")
