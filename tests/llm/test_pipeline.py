@@ -72,3 +72,35 @@ def test_stages_lose_no_clean_document(spark):
     docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
     good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
     assert quality.filter_documents(good).count() == good.count()
+
+
+def test_run_with_nulls_repeated_rows_and_string_ids(spark, tmp_path):
+    """Every stage by `run`, on rows that are awkward each in their way."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    text = lambda i: " ".join(words[(i * 7 + k * (i % 5 + 1)) % len(words)] + str(i) for k in range(30))
+    rows = [(f"d{i}-x", text(i), "en", f"src{i % 3}", 100) for i in range(40)]
+    rows += [("d1-x", text(1), "en", "src1", 100)] * 3  # repeated rows
+    rows += [("copy", text(2), "en", "src0", 100), (None, text(90), None, None, None), (None, text(91), "en", None, 5)]
+    rows += [("none", None, "en", "src0", None), ("empty", "", "en", "src0", 0), ("key", text(95) + " password=abcdefghijklmnop", "en", "src2", 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    ids = [r.doc_id for r in got]
+    assert {"none", "empty"}.isdisjoint(ids) and len({"copy", "d2-x"} & set(ids)) <= 1 and None in ids
+    assert all(r.round_trip for r in got)
+    kept = corpus_pipeline.redaction(spark, corpus_pipeline.near_dedup(spark, corpus_pipeline.quality_rules(spark, docs, ""), ""), "")
+    assert kept.where("text like '%abcdefghijklmnop%'").count() == 0
+    assert kept.where("doc_id = 'd1-x'").count() == 1 and kept.where("doc_id is null").count() == 2
+
+
+def test_mixed_documents_meet_budgets_exactly(spark):
+    rows = [(i, " ".join(["w"] * (3 + i % 11)), f"src{i % 4}") for i in range(60)] + [(7, " ".join(["w"] * 10), "src3")] * 5 + [(None, "a b  c\nd e", None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for total in (None, 311, 997, 12):
+        drawn = mixing.mix_documents(docs, total_tokens=total).collect()
+        want = mixing.mixture(docs, total_tokens=total).groupBy("source").sum("take_tokens").collect()
+        got = {}
+        for r in drawn:
+            got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        assert got == {r[0]: r[1] for r in want if r[1]}
