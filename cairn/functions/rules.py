@@ -148,3 +148,10 @@ def script_kind(name: Column) -> Column:
 def rule_precedence(base: Column, folder: Column) -> Column:
     """Authority of the kind plus 10 for each slash in the folder."""
     return base + 10 * (F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))))
+
+
+def folded_template(parts: Column) -> Column:
+    """A text of its parts (kind, value): text as it is, a hole as {name} ({value} without a name); null if any is neither."""
+    one = lambda p: F.when(p["kind"] == "text", p["value"]).when(p["kind"] == "hole", F.concat(F.lit("{"), F.coalesce(p["value"], F.lit("value")), F.lit("}")))
+    texts = F.transform(parts, one)
+    return F.when(~F.exists(texts, lambda t: t.isNull()), F.array_join(texts, ""))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from cairn.functions.rules import git_status
 from cairn.operators.common import nearest_folder
-from cairn.operators.traverse import change_surface, surface_frame
+from cairn.operators.traverse import change_surface
 
 KIND_RANK = {"file": 20, **{k: i for i, k in enumerate("http_endpoint class interface record method test_case".split())}}
 PER_FILE = 25
@@ -63,11 +63,28 @@ def endangered_claims(changed: DataFrame, locations: DataFrame, evidence: DataFr
     return x.groupBy("claim_id").agg(F.countDistinct("kind", "ref_id").alias("n_touched"))
 
 
-def change_impacts(relations: DataFrame, seeds: list[int], max_depth: int = 2, max_entities: int = 100, most_seeds: int = 8, entities: DataFrame | None = None) -> DataFrame:
-    """(entity_id, depth, seeds): the surfaces of up to eight changed entities, each entity at its least depth."""
-    out = None
-    for s in seeds[:most_seeds]:
-        one = surface_frame(relations, change_surface(relations, s, max_depth=max_depth, max_entities=max_entities, entities=entities)).select("entity_id", "depth", F.lit(s).alias("seed"))
-        out = one if out is None else out.union(one)
-    x = out.where(~F.col("entity_id").isin(seeds))
-    return x.groupBy("entity_id").agg(F.min("depth").alias("depth"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("seed").cast("string")))).alias("seeds"))
+def change_impacts(relations: DataFrame, seeds: list[int], entities: DataFrame, owners: DataFrame, test_projects: DataFrame, max_depth: int = 2, max_entities: int = 100, most_seeds: int = 8) -> DataFrame:
+    """(entity_id, seed, depth, direction, kind): what the surfaces of up to eight changed entities reach, each at its least depth.
+
+    Changed entities and those of test projects are left out; of equal depths the earlier seed's is kept, and the first
+    max_entities reached make the result. What the driver holds is eight surfaces.
+    """
+    spark = relations.sparkSession
+    schema = "entity_id bigint, seed bigint, depth int, direction string, kind string"
+    found = [(s, x) for s in seeds[: min(most_seeds, max_entities)] for x in change_surface(relations, s, max_depth=max_depth, max_entities=max(10, min(100, max_entities)), entities=entities).items]
+    ids = sorted({x["entity_id"] for _, x in found})
+    inside = owners.where(F.col("id").isin(ids)).join(test_projects, "project_id", "left_semi").select("id").collect() if ids else []
+    out, skip = {}, {*seeds, *(r.id for r in inside)}
+    for s, x in found:
+        i = x["entity_id"]
+        if i in skip or len(out) >= max_entities:
+            continue
+        if i not in out or x["depth"] < out[i][2]:
+            out[i] = (i, s, x["depth"], x["direction"], x["kind"])
+    return spark.createDataFrame(list(out.values()), schema)
+
+
+def repository_projection(deltas: DataFrame) -> DataFrame:
+    """(repository, n_files, files): each repository's changed files in order. deltas: (repository, ord, status, path), 1,000 at most of one."""
+    files = F.array_sort(F.collect_list(F.struct("ord", "status", "path")))
+    return deltas.groupBy("repository").agg(F.count(F.lit(1)).alias("n_files"), files.alias("files"))

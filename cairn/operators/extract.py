@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from cairn.functions import rules
 from cairn.functions.identity import stable_key
 from cairn.operators.common import first_of, nearest_folder
+from cairn.schema import SYMBOL_KINDS
 
 
 def own_files(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -138,3 +139,16 @@ def nearest_symbol(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     x = refs.join(s, "file_id").where("line between first_line and last_line")
     best = first_of(x, ["ref_id"], [F.col("last_line") - F.col("first_line"), "symbol_id"]).select("ref_id", "symbol_id")
     return refs.join(best, "ref_id", "left").withColumn("source_id", F.coalesce("symbol_id", "project_id"))
+
+
+def declarations(symbols: DataFrame, spans: DataFrame) -> DataFrame:
+    """Declared symbols of known kinds with each of their places: the first is the definition, others are parts of it.
+
+    symbols: (stable_key, project_key, kind, name, qualified_name, signature, visibility, container_key), spans: (stable_key, path, start_line).
+    A symbol without a container is the project's.
+    """
+    known = symbols.where(F.col("kind").isin(SYMBOL_KINDS))
+    place = F.row_number().over(W.partitionBy("stable_key").orderBy("path", "start_line"))
+    at = spans.withColumn("location_kind", F.when(place == 1, "definition").otherwise("partial_definition"))
+    x = known.withColumn("container_key", F.coalesce("container_key", "project_key")).join(at, "stable_key")
+    return x.select("stable_key", "kind", "name", "qualified_name", "signature", "visibility", "container_key", "path", "start_line", "location_kind")

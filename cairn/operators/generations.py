@@ -71,7 +71,9 @@ def resolve_containers(entities: DataFrame, among: DataFrame | None = None) -> D
     """A container that isn't an entity (of `among`, if given) becomes null."""
     known = (entities if among is None else among).select(F.col("id").alias("containing_id"), F.lit(True).alias("k")).distinct()
     x = entities.join(known, "containing_id", "left")
-    return x.withColumn("containing_id", F.when(F.col("k"), F.col("containing_id"))).drop("k").select(*entities.columns)
+    # A symbol of a project whose container isn't there hangs from the project.
+    other = F.col("project_id") if "project_id" in entities.columns else F.lit(None).cast("bigint")
+    return x.withColumn("containing_id", F.when(F.col("k"), F.col("containing_id")).otherwise(other)).drop("k").select(*entities.columns)
 
 
 def contains_edges(entities: DataFrame) -> DataFrame:
@@ -85,9 +87,19 @@ def project_references(refs: DataFrame, projects: DataFrame) -> tuple[DataFrame,
     return deps, deps.where("target_id is not null").select("source_id", "target_id", F.lit("code").alias("domain"), F.lit("references").alias("kind"))
 
 
-def input_fingerprints(files: DataFrame, version: str = "1") -> DataFrame:
-    """(project_id, fingerprint) over the project's files."""
-    return files.where("project_id is not null").groupBy("project_id").agg(digest_of_group(F.concat_ws(":", "relative_path", "content_hash"), version).alias("fingerprint"))
+def input_fingerprints(files: DataFrame, version: str = "1", shared: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """(project_id, fingerprint) over the project's files, and what else its analysis reads.
+
+    shared: (relative_path, content_hash) of files that concern all projects, a few; references: (source_id, target_id).
+    """
+    own = files.where("project_id is not null")
+    lines = own.select("project_id", F.concat_ws(":", "relative_path", "content_hash").alias("line"))
+    if references is not None:
+        lines = lines.unionByName(references.select(F.col("source_id").alias("project_id"), F.concat(F.lit("reference:"), F.col("target_id").cast("string")).alias("line")))
+    if shared is not None:
+        every = shared.agg(digest_of_group(F.concat_ws(":", "relative_path", "content_hash")).alias("h")).select(F.concat(F.lit("shared:"), "h").alias("line"))
+        lines = lines.unionByName(own.select("project_id").distinct().crossJoin(F.broadcast(every)))  # one row
+    return lines.groupBy("project_id").agg(digest_of_group(F.col("line"), version).alias("fingerprint"))
 
 
 def workspace_fingerprint(files: DataFrame, version: str = "1") -> DataFrame:
@@ -163,3 +175,21 @@ class Store:
         return {**new, "mode": "full" if n == 1 else "incremental"}
 
 
+@dataclass
+class FactCache:
+    """Facts of analysed projects, by analyzer, version and project: what a build reads instead of analysing again."""
+
+    spark: SparkSession
+    folder: str
+
+    KEYS = ("analyzer", "version", "project_key")
+
+    def write(self, facts: DataFrame) -> None:
+        """Replaces the facts of the projects that are in the frame, and no others'."""
+        facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.KEYS).parquet(self.folder)
+
+    def read(self, analyzer: str, version: str, projects: DataFrame | None = None) -> DataFrame:
+        """Facts of one analyzer and version, of all or the given (project_key) projects; partitions prune the scan."""
+        x = self.spark.read.parquet(self.folder).where((F.col("analyzer") == analyzer) & (F.col("version").cast("string") == version))
+        x = x.withColumn("project_key", F.col("project_key").cast("string"))
+        return x if projects is None else x.join(projects.select("project_key").distinct(), "project_key", "left_semi")

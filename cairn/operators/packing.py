@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from cairn.functions.text import ascii_lower, fold
 from cairn.operators.edges import bounded
+from cairn.operators.search import search_entities
 
 CAPS = {"http_endpoint": 6, "class": 6, "constructor": 4}
 KIND_BONUS = {"service_registration": 12, "interface": 15, "class": 15, "database_object": 18, "database_operation": 18, "method": 20, "http_endpoint": 25}
@@ -92,11 +93,27 @@ def context_pack(items: list[dict], claims: list[dict], commands: list[str], pro
     return out
 
 
+def term_hits(rows: DataFrame, terms: list[str], per_term: int = 20) -> DataFrame:
+    """(term, entity_id, kind, qualified_name, project_name, match) of the best hits of each term.
+
+    rows as in `search.search_entities`, whose order this is. match: 0 exact, 1 prefix, 2 in the name, 3 other.
+    """
+    keep = rows.select("id", "project_name")
+    out = None
+    for t in terms:
+        hit = search_entities(rows, t, limit=per_term).orderBy(F.desc("score"), "is_generated", F.length("qualified_name"), "qualified_name", "kind", "id").limit(per_term)
+        name, full, f = ascii_lower("name"), ascii_lower("qualified_name"), fold(t)
+        match = F.when((name == f) | (full == f), 0).when(name.startswith(f), 1).when(F.instr(name, f) > 0, 2).otherwise(3)
+        # At most per_term rows, by the limit above.
+        one = keep.join(F.broadcast(hit), "id").select(F.lit(t).alias("term"), F.col("id").alias("entity_id"), "kind", "qualified_name", "project_name", match.alias("match"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def seed_candidates(hits: DataFrame, terms: list[str]) -> DataFrame:
     """(entity_id, score, exact, terms, place) over the terms' search hits.
 
-    hits: (term, entity_id, kind, qualified_name, project_name, match), match 0 exact, 1 prefix, 2 in the name, 3 other.
-    A term that is the project's name adds 90 and counts as matched.
+    hits: as of `term_hits`, a few hundred rows at most, which is why one window may order them. A term that is the project's name adds 90 and counts as matched.
     """
     points = F.when(F.col("match") == 0, 120).when(F.col("match") == 1, 70).when(F.col("match") == 2, 50).otherwise(30)
     bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BONUS.items() for x in kv]), F.col("kind")), F.lit(5))
@@ -122,12 +139,52 @@ def seed_decision(top: list[dict]) -> str:
     return "auto" if clear or tie else "needs_seed"
 
 
+#: Larger files, and those of other kinds, aren't shown.
+MOST_SOURCE_BYTES, SOURCE_KINDS = 1 << 20, ["cs", "cshtml", "js", "jsx", "razor", "sql", "ts", "tsx"]
+
+
+def shown_files(files: DataFrame) -> DataFrame:
+    """Files whose source may be shown. files: (file_id, relative_path, text, is_generated)."""
+    kind = F.lower(F.regexp_extract("relative_path", "\\.([^./]*)$", 1))
+    return files.where(~F.col("is_generated") & kind.isin(SOURCE_KINDS) & (F.octet_length("text") <= MOST_SOURCE_BYTES))
+
+
 def source_slices(files: DataFrame, spans: DataFrame, around: int = 3, most_lines: int = 40) -> DataFrame:
-    """(file_id, first_line, last_line, slice): lines around each span, of files that aren't generated."""
+    """(file_id, first_line, last_line, slice): lines around each span, of files that aren't generated or binary.
+
+    Where a file ends below the span, the slice reaches further up instead.
+    """
     bounded(most_lines, 8, 120, "most_lines")
-    x = spans.join(files.where("not is_generated").select("file_id", "text"), "file_id")
+    x = spans.join(files.where("not is_generated and instr(text, chr(0)) = 0 and text <> ''").select("file_id", "text"), "file_id")
     lines = F.split("text", "\n")
-    first = F.greatest(F.lit(1), F.col("start_line") - around)
-    last = F.least(F.size(lines), F.col("start_line") + around, first + most_lines - 1)
-    x = x.withColumns({"first_line": first, "last_line": last}).where("first_line <= last_line")
+    end_line = F.col("end_line") if "end_line" in spans.columns else F.col("start_line")
+    start = F.least(F.greatest(F.lit(1), F.col("start_line")), F.size(lines))
+    end = F.least(F.greatest(start, end_line), F.size(lines))
+    first = F.greatest(F.lit(1), start - around)
+    last = F.least(F.size(lines), end + around, first + most_lines - 1)
+    short = (last - first + 1 < most_lines) & (first > 1)
+    x = x.withColumns({"first_line": F.when(short, F.greatest(F.lit(1), last - most_lines + 1)).otherwise(first), "last_line": last})
     return x.select("file_id", "first_line", "last_line", F.array_join(F.slice(lines, F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n").alias("slice"))
+
+
+def attach_sources(pack: dict, slices: dict[int, dict], budget: int) -> dict:
+    """The pack with slices of its items' source, as long as it stays within the budget; one that overlaps an earlier one goes.
+
+    slices: by item id, (file_id, first_line, last_line, slice).
+    """
+    items, taken = list(pack["items"]), []
+    for i, x in enumerate(items):
+        s = slices.get(x["id"])
+        if s is None or any(s["file_id"] == o["file_id"] and s["first_line"] <= o["last_line"] and o["first_line"] <= s["last_line"] for o in taken):
+            continue
+        more = [*items[:i], {**x, "source": s}, *items[i + 1 :]]
+        if tokens({**pack, "items": more}) > budget:
+            continue
+        items = more
+        taken.append(s)
+    return {**pack, "items": items, "source_slices": len(taken), "omitted_source_slices": sum(x["id"] in slices for x in items) - len(taken)}
+
+
+def core_budget(budget: int, with_source: bool) -> int:
+    """What a pack may take before source is attached."""
+    return max(800, budget * 65 // 100) if with_source else budget

@@ -75,3 +75,20 @@ def health_reasons(files: DataFrame, current: DataFrame, runs: DataFrame, schema
     if schema_version > supported:
         out = out.union(out.sparkSession.createDataFrame([("newer_schema", 1)], "reason string, n bigint"))
     return out.where("n > 0")
+
+
+def foundation_status(generation: int | None, entities: DataFrame, files: DataFrame, relations: DataFrame, requires_rebuild: bool = False) -> DataFrame:
+    """(indexing_state, message), one row."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    x = n(entities.where("kind = 'project'"), "p").crossJoin(n(files, "f")).crossJoin(n(relations, "r"))  # one row each
+    if generation is None:
+        return x.select(F.lit("not_started").alias("indexing_state"), F.lit("no generation has been built").alias("message"))
+    state = F.lit("requires_rebuild") if requires_rebuild else F.when(F.col("r") == 0, "not_started").otherwise("current")
+    text = F.concat(F.lit(f"generation {generation}: "), F.col("p").cast("string"), F.lit(" projects, "), F.col("f").cast("string"), F.lit(" files, "), F.col("r").cast("string"), F.lit(" relations"))
+    return x.select(state.alias("indexing_state"), text.alias("message"))
+
+
+def entity_states(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, state): current, or entity_not_found, so that an unknown entity is told from one without edges."""
+    known = entities.select(F.col("id"), F.lit("current").alias("state")).distinct()
+    return asked.select("id").join(known, "id", "left").select("id", F.coalesce("state", F.lit("entity_not_found")).alias("state"))

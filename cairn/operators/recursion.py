@@ -8,40 +8,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.session import pinned
 
-def ownership(entities: DataFrame, most: int = 12) -> DataFrame:
+
+#: Containment deeper than this is a cycle.
+DEEPEST = 64
+
+
+def ownership(entities: DataFrame) -> DataFrame:
     """(id, project_id, project_name): the nearest container that is a project; the entity itself if it is one.
 
     Climbs by joins, all entities at once: containment is shallow, so this is a handful of joins, each on the
-    rows that haven't arrived yet, which Spark plans as one job.
+    rows that haven't arrived yet; every fourth level is written, which keeps the plan short however deep it goes.
     """
     up = entities.select(F.col("id").alias("u_id"), F.col("kind").alias("u_kind"), F.col("containing_id").alias("u_up"), F.col("name").alias("u_name"))
     at = entities.select("id", F.col("id").alias("at"), F.col("kind").alias("at_kind"), F.col("containing_id").alias("next"), F.col("name").alias("at_name"))
     done = at.where("at_kind = 'project'")
-    depth = 0
     open_ = at.where("at_kind <> 'project' and next is not null")
-    while depth < most:
+    for depth in range(1, DEEPEST + 2):
         step = open_.select("id", "next").join(up, F.col("next") == F.col("u_id")).select("id", F.col("u_id").alias("at"), F.col("u_kind").alias("at_kind"), F.col("u_up").alias("next"), F.col("u_name").alias("at_name"))
+        if depth % 4 == 0:
+            step = pinned(step)
         done = done.unionByName(step.where("at_kind = 'project'"))
         open_ = step.where("at_kind <> 'project' and next is not null")
-        depth += 1
         if depth >= 3 and open_.isEmpty():
             break
+    else:
+        raise ValueError("containment has a cycle")
     return done.select("id", F.col("at").alias("project_id"), F.col("at_name").alias("project_name"))
 
 
 def containment(entities: DataFrame, seed: int, depth: int) -> DataFrame:
-    """(id, depth): what the seed contains, at most `depth` levels down."""
+    """(id, depth): what the seed contains, at most `depth` levels down; nothing at depth 0."""
     down = entities.where("containing_id is not null").select("containing_id", "id")
     level = entities.where(F.col("id") == seed).select("id")
-    out = None
+    out = level.where("false").select("id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         level = down.join(level.select(F.col("id").alias("containing_id")), "containing_id").select("id")
-        one = level.withColumn("depth", F.lit(d))
-        out = one if out is None else out.union(one)
+        out = out.union(level.withColumn("depth", F.lit(d)))
     return out
 
 
+#: Ids that a closure may hold on the driver: projects, not files.
+MOST_PROJECTS = 1_000_000
+
+
 def reverse_closure(seeds: DataFrame, references: DataFrame) -> DataFrame:
     """(id): the seeds and all that refer to them, directly or not. references: (source_id, target_id)."""
     sc = seeds.sparkSession
@@ -53,4 +64,6 @@ def reverse_closure(seeds: DataFrame, references: DataFrame) -> DataFrame:
         found = {r.source_id for r in references.join(F.broadcast(now), "target_id", "left_semi").select("source_id").distinct().collect()}
         frontier = found - seen
         seen |= frontier
+        if len(seen) > MOST_PROJECTS:
+            raise ValueError(f"a closure of more than {MOST_PROJECTS} projects")
     return sc.createDataFrame([(i,) for i in sorted(seen)], "id bigint")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.api import CodeMap
 from cairn.functions import rules
 from cairn.functions.text import STOP_WORDS, fold, search_terms, task_terms, token_estimate
 from cairn.operators import changes, edges, extract, generations, ledger, packing, reads, recursion, search, traverse
@@ -30,10 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cairn.plans import facts  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -616,11 +620,6 @@ def assessment_risk(spark, sf_dir):
     return changes.endangered_claims(g.files.where("id % 9 = 0").select(F.col("id").alias("file_id")), where, g.evidence, _labels(spark, sf_dir, _DEPS), _labels(spark, sf_dir, _CLAIMS))
 
 
-@query()
-def change_impacts(spark, sf_dir):
-    return changes.change_impacts(Graph(spark, sf_dir).relations.where("domain = 'code'"), [PART, PART + 1, ORDER], entities=Graph(spark, sf_dir).entities)
-
-
 # Ledger
 
 
@@ -737,29 +736,35 @@ def candidate_rank(spark, sf_dir):
     return packing.ranked_candidates(c).select("entity_id", "score", "place")
 
 
+_PLURAL = "concat(replace(kind, '_', ' '), 's')"
 _TERMS = ("widget", "nation_1", "order_12")
-_HITS = " UNION ALL ".join(f"SELECT '{t}' AS term, id AS entity_id, kind, qualified_name, project_name, CASE WHEN {_LOW('name')} = '{t}' OR {_LOW('qualified_name')} = '{t}' THEN 0 WHEN instr({_LOW('name')}, '{t}') = 1 THEN 1 WHEN {_HAS('name', t)} THEN 2 ELSE 3 END AS match FROM searched WHERE {_HAS('name', t)} OR {_HAS('qualified_name', t)}" for t in _TERMS)
+_HITS = " UNION ALL ".join(f"SELECT '{t}' AS term, id AS entity_id, kind, qualified_name, project_name, CASE WHEN {_LOW('name')} = '{t}' OR {_LOW('qualified_name')} = '{t}' THEN 0 WHEN instr({_LOW('name')}, '{t}') = 1 THEN 1 WHEN {_HAS('name', t)} THEN 2 ELSE 3 END AS match FROM (SELECT * FROM rows WHERE {' OR '.join([*(_HAS(c, t) for c in ('name', 'qualified_name', 'signature', 'language', 'project_name', 'project_path', 'relative_path')), _HAS(_PLURAL, t)])} ORDER BY {_score_sql(t)} DESC, is_generated, length(qualified_name), qualified_name, kind, id LIMIT 20)" for t in _TERMS)
 _BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {b}" for k, b in packing.KIND_BONUS.items()) + " ELSE 5 END"
 _OWN = " + ".join(f"CASE WHEN lower(project_name) = '{t}' THEN 90 ELSE 0 END" for t in _TERMS)
 
 
-@query(f"""{_ROWS}, searched AS (SELECT * FROM rows), hits AS ({_HITS}), s AS (SELECT entity_id, qualified_name, project_name, (sum(CASE match WHEN 0 THEN 120 WHEN 1 THEN 70 WHEN 2 THEN 50 ELSE 30 END + {_BONUS}) + any_value(coalesce({_OWN}, 0)))::BIGINT AS score, min(match) = 0 AS exact,
+@query(f"""{_ROWS}, hits AS ({_HITS}), s AS (SELECT entity_id, qualified_name, project_name, (sum(CASE match WHEN 0 THEN 120 WHEN 1 THEN 70 WHEN 2 THEN 50 ELSE 30 END + {_BONUS}) + any_value(coalesce({_OWN}, 0)))::BIGINT AS score, min(match) = 0 AS exact,
 array_to_string(list_sort(list_distinct(list_concat(list(term), CASE WHEN lower(project_name) IN {_TERMS} THEN [lower(project_name)] ELSE [] END))), ',') AS terms FROM hits GROUP BY entity_id, qualified_name, project_name)
 SELECT entity_id, project_name, score, exact, terms, row_number() OVER (ORDER BY score DESC, exact DESC, qualified_name, entity_id) AS place FROM s""")
 def seed_candidates(spark, sf_dir):
-    return packing.seed_candidates(Graph(spark, sf_dir).sql(_HITS, searched=_searchable(spark, sf_dir)), list(_TERMS))
+    return packing.seed_candidates(packing.term_hits(_searchable(spark, sf_dir), list(_TERMS)), list(_TERMS))
 
 
 @query()
 def context_pack(spark, sf_dir):
-    rows = candidate_rank(spark, sf_dir).orderBy("place").limit(1000).collect()
-    items = [{"role": "seed" if i == 0 else "item", "kind": "method", "id": r.entity_id, "score": r.score} for i, r in enumerate(rows)]
-    out = packing.context_pack(items, [], ["test"], ["p"], 2000)
-    return spark.createDataFrame([(i, x["id"], x["tokens"]) for i, x in enumerate(out["items"])], "place int, entity_id bigint, tokens int")
+    """A change of PART prepared: seed, scored surface, current claims, commands of the affected projects."""
+    g = Graph(spark, sf_dir)
+    m = CodeMap(*(g.served(t) for t in ("entities", "relations", "evidence", "files")), owners=g.served("owners"))
+    deps, now = _fresh_inputs(spark, sf_dir)
+    tests = [1000 + k for k in range(0, 25, 5)]
+    out = m.prepare_change(PART, 4000, ["widget"], _labels(spark, sf_dir, _CLAIMS), ledger.freshness(deps, now), g.sql(_COMMANDS), test_projects=tests, max_depth=2, max_entities=500)
+    return spark.createDataFrame([(i, x["role"], x["id"], x["score"], x["tokens"]) for i, x in enumerate(out["items"])], "place int, role string, entity_id bigint, score int, tokens int")
 
 
-@query("""WITH s AS (SELECT doc_id AS file_id, 1 + doc_id % 5 AS start_line, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 <> 0), x AS (SELECT file_id, greatest(1, start_line - 3)::INT AS first_line, least(len(l), start_line + 3, greatest(1, start_line - 3) + 39)::INT AS last_line, l FROM s)
-SELECT file_id, first_line, last_line, array_to_string(l[first_line:last_line], chr(10)) AS slice FROM x WHERE first_line <= last_line""")
+@query("""WITH s AS (SELECT doc_id AS file_id, len(l) AS n, l, least(1 + doc_id % 5, len(l)) AS s, least(3 + doc_id % 7, len(l)) AS e0 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id % 10 <> 0 AND text <> '' AND instr(text, chr(0)) = 0)),
+x AS (SELECT *, greatest(1, s - 3) AS a, least(n, greatest(s, e0) + 3, greatest(1, s - 3) + 7) AS b FROM s), y AS (SELECT file_id, l, (CASE WHEN b - a + 1 < 8 AND a > 1 THEN greatest(1, b - 7) ELSE a END)::INT AS first_line, b::INT AS last_line FROM x)
+SELECT file_id, first_line, last_line, array_to_string(l[first_line:last_line], chr(10)) AS slice FROM y""")
 def source_slices(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text", (F.col("doc_id") % 10 == 0).alias("is_generated"))
-    return packing.source_slices(d, d.select("file_id", (1 + F.col("file_id") % 5).cast("int").alias("start_line")))
+    spans = d.select("file_id", (1 + F.col("file_id") % 5).cast("int").alias("start_line"), (3 + F.col("file_id") % 7).cast("int").alias("end_line"))
+    return packing.source_slices(d, spans, most_lines=8)

