@@ -23,6 +23,14 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--limit", type=int, default=20)
     for name in ("entity", "relations", "usages", "surface", "pack"):
         sub.add_parser(name).add_argument("id", type=int)
+    t = sub.add_parser("task")
+    t.add_argument("text")
+    t.add_argument("--query")
+    t.add_argument("--seed", type=int)
+    t.add_argument("--budget", type=int, default=4000)
+    sub.add_parser("impacts").add_argument("ids", type=int, nargs="*")
+    sub.add_parser("status")
+    sub.add_parser("source").add_argument("path")
     r = sub.add_parser("route")
     r.add_argument("source", type=int)
     r.add_argument("target", type=int)
@@ -38,6 +46,14 @@ def run(m: CodeMap, a: argparse.Namespace) -> object:
         return getattr(m, a.command)(a.text, limit=a.limit)
     if a.command == "route":
         return m.route(a.source, a.target, via=a.via, max_depth=a.max_depth)
+    if a.command == "task":
+        return m.prepare_task(a.text, a.query, a.seed, budget=a.budget)
+    if a.command == "impacts":
+        return m.impacts(a.ids)
+    if a.command == "status":
+        return m.status(m.generation)
+    if a.command == "source":
+        return m.source_file(a.path)
     if a.command == "entity":
         return m.entity(entity_id=a.id)
     return {"relations": m.relations_of, "usages": m.usages, "surface": m.surface, "pack": m.prepare_change}[a.command](a.id)

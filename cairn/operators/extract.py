@@ -152,3 +152,21 @@ def declarations(symbols: DataFrame, spans: DataFrame) -> DataFrame:
     at = spans.withColumn("location_kind", F.when(place == 1, "definition").otherwise("partial_definition"))
     x = known.withColumn("container_key", F.coalesce("container_key", "project_key")).join(at, "stable_key")
     return x.select("stable_key", "kind", "name", "qualified_name", "signature", "visibility", "container_key", "path", "start_line", "location_kind")
+
+
+def ef_columns(properties: DataFrame) -> DataFrame:
+    """(entity_id, property, column, nullable, is_key) of an entity's scalar properties: what the fluent calls say, else attributes, else the convention.
+
+    properties: (entity_id, entity_name, property, fluent_column, attribute_column, fluent_required, annotated_nullable, has_key_attribute, fluent_key).
+    By convention a property is the key if it is called Id or by the entity's name and Id, in any case; a key is never null.
+    """
+    conventional = F.lower("property").isin("id") | (F.lower("property") == F.concat(F.lower("entity_name"), F.lit("id")))
+    key = F.coalesce("fluent_key", F.col("has_key_attribute") | conventional)
+    nullable = F.when(key, False).when(F.col("fluent_required").isNotNull(), ~F.col("fluent_required")).otherwise(F.coalesce("annotated_nullable", F.lit(False)))
+    return properties.select("entity_id", "property", F.coalesce("fluent_column", "attribute_column", "property").alias("column"), nullable.alias("nullable"), key.alias("is_key"))
+
+
+def ef_indexes(indexes: DataFrame) -> DataFrame:
+    """(entity_id, name, is_unique, column_names): an index without a name is called by its table and properties. indexes: (entity_id, table_name, given_name, is_unique, column_names)."""
+    name = F.coalesce("given_name", F.concat_ws("_", F.lit("IX"), "table_name", F.array_join("column_names", "_")))
+    return indexes.where(F.size("column_names") > 0).select("entity_id", name.alias("name"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"), "column_names")

@@ -130,6 +130,15 @@ def request_templates(spark, sf_dir):
     return Graph(spark, sf_dir).sql(text).select("id", rules.folded_template(F.col("parts")).alias("template"))
 
 
+_PROPERTIES = "SELECT l_orderkey AS entity_id, concat('E', l_orderkey) AS entity_name, CASE l_linenumber WHEN 1 THEN 'ID' WHEN 2 THEN concat('e', l_orderkey, 'Id') ELSE concat('P', l_linenumber) END AS property, CASE WHEN l_suppkey % 4 = 0 THEN concat('f', l_suppkey) END AS fluent_column, CASE WHEN l_suppkey % 3 = 0 THEN concat('a', l_suppkey) END AS attribute_column, CASE WHEN l_partkey % 5 = 0 THEN true WHEN l_partkey % 5 = 1 THEN false END AS fluent_required, l_partkey % 2 = 0 AS annotated_nullable, l_returnflag = 'A' AS has_key_attribute, CASE WHEN l_partkey % 7 = 0 THEN l_partkey % 2 = 0 END AS fluent_key FROM lineitem"
+
+
+@query(f"""WITH p AS (SELECT *, coalesce(fluent_key, has_key_attribute OR lower(property) = 'id' OR lower(property) = lower(entity_name) || 'id') AS k FROM ({_PROPERTIES}))
+SELECT entity_id, property, coalesce(fluent_column, attribute_column, property) AS "column", CASE WHEN k THEN false WHEN fluent_required IS NOT NULL THEN NOT fluent_required ELSE annotated_nullable END AS nullable, k AS is_key FROM p""")
+def ef_columns(spark, sf_dir):
+    return extract.ef_columns(Graph(spark, sf_dir).sql(_PROPERTIES))
+
+
 # Orientation, states
 
 
