@@ -86,7 +86,10 @@ def registration_edges(registrations: DataFrame, members: DataFrame, implementat
     """
     r = registrations.select("service_id", "implementation_id").distinct()
     direct = r.select(F.col("service_id").alias("source_id"), F.col("implementation_id").alias("target_id"), F.lit("resolves_to").alias("kind"))
-    fan = r.join(members, "service_id").join(implementations, ["member_id", "implementation_id"])
+    # A member is of few services, so implementations meet their services by the member first; a registration then only tells which
+    # of these stay. (By the service, each registration would meet all members.) Both move once, for the distinct rows and for the join.
+    m, i = (x.repartition("member_id").distinct() for x in (members.select("service_id", "member_id"), implementations.select("member_id", "implementation_id", "method_id")))
+    fan = m.join(i, "member_id").join(r, ["service_id", "implementation_id"], "left_semi")
     return direct.unionByName(fan.select(F.col("member_id").alias("source_id"), F.col("method_id").alias("target_id"), F.lit("dispatches_to").alias("kind"))).distinct()
 
 
