@@ -10,7 +10,7 @@ that gives its neighbours among the head the best likelihood, with the class cou
 nothing). HEAD says which words are looked up in a broadcast table, of that bounded size, and which in a shuffled one; it drops none.
 
 The texts are read twice: to count words, and to write them as numbers (four bytes a token, in the shared folder). From
-these: bigrams of head words, by shuffle; for the other words one row of neighbours' classes a token, by shuffle on the
+these: bigrams of head words, summed up by tasks and dealt out in blocks, first by pair and then by word; for the other words one row of neighbours' classes a token, by shuffle on the
 word; and these tokens again, with the class of their word by a join, brought together by document. The driver holds the
 head's words and classes and the class bigram table. Other words are known by 63 bits of a hash.
 
@@ -27,8 +27,8 @@ Defined results:
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -40,28 +40,82 @@ from cairn.llm.common import Columns, id_kind, lean, ready, slices, written
 
 HEAD, CLASSES, ROUNDS, LEAST_GAIN, PRIOR = 1 << 16, 64, 8, 2e-4, 50.0
 WORDS = re.compile(r"\w+")
-#: A task forgets its hashes beyond so many, which bounds its memory and changes no result.
+#: A task gives its counts of words away beyond so many, which bounds its memory and changes no result.
 KEPT_WORDS = 400_000
+#: A task sums up pairs when it holds so many.
+MOST_HELD = 4_000_000
+#: Head tokens and head words for each part in which pairs are dealt out; a part is held by one task.
+PART_TOKENS, PART_WORDS = 2_000_000, 2048
 #: Log-probabilities are summed as whole numbers of this many parts, so that the order doesn't matter.
 PARTS = 10**9
 
 
+def is_word() -> np.ndarray:
+    """Whether a code point is one of WORDS', by code point."""
+    if not _IS_WORD:
+        table = np.zeros(0x110000, dtype=bool)
+        for m in WORDS.finditer("".join(map(chr, range(len(table))))):
+            table[m.start() : m.end()] = True
+        _IS_WORD.append(table)
+    return _IS_WORD[0]
+
+
+_IS_WORD: list[np.ndarray] = []
+
+
+def words_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """(all words, how many each text has): WORDS.findall(text.lower()) of all texts at once. A text without any may be null."""
+    low = [t.lower() if t else "" for t in texts.to_pylist()]
+    # A line's end is of no word, so no word spans two texts.
+    s = "\n".join(low)
+    data = np.frombuffer(s.encode(), dtype=np.uint8)
+    plain = len(data) == len(s)
+    points = data if plain else np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+    inside = is_word()[points]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins, ends = edge[::2], edge[1::2]
+    first = np.cumsum([0, *(len(t) + 1 for t in low)])
+    sizes = np.diff(np.searchsorted(begins, first))
+    offsets = np.zeros(len(begins) + 1, dtype=np.int32)
+    if plain:
+        np.cumsum(ends - begins, out=offsets[1:])
+        kept = data[inside]
+    else:
+        width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        offsets[1:] = np.cumsum(width * inside, dtype=np.int64)[ends - 1]
+        kept = data[np.repeat(inside, width)]
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))), sizes
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.BinaryArray:
+    """The bytes of so many values each."""
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes * values.itemsize, out=offsets[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 @lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.string()), pa.array(list(c.values()), type=pa.int64())], ["word", "n"])
+    def merged() -> pa.RecordBatch:
+        t = pa.concat_tables(held).combine_chunks().group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.RecordBatch.from_arrays([t.column("word").combine_chunks(), t.column("n_sum").combine_chunks()], ["word", "n"])
 
-    counts: Counter = Counter()
+    held: list[pa.Table] = []
+    n = 0
     for batch in batches:
         for part in slices(batch, 0):
-            for t in part.column(0).to_pylist():
-                if t:
-                    counts.update(WORDS.findall(t.lower()))
-            if len(counts) > KEPT_WORDS:
-                yield flush(counts)
-                counts = Counter()
-    if counts:
-        yield flush(counts)
+            d = words_of(part.column(0))[0].dictionary_encode()
+            held.append(pa.table({"word": d.dictionary, "n": np.bincount(d.indices.to_numpy(), minlength=len(d.dictionary)).astype(np.int64)}))
+            n += len(d.dictionary)
+            if n > 2 * KEPT_WORDS:
+                out = merged()
+                held, n = [], 0
+                if len(out) > KEPT_WORDS:
+                    yield out
+                else:
+                    held, n = [pa.Table.from_batches([out])], len(out)
+    if n:
+        yield merged()
 
 
 def _encode(vocabulary):
@@ -70,29 +124,21 @@ def _encode(vocabulary):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary.value.get
-        known: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, 2):
-                head, tail, sizes = [], [], []
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                for t in part.column(2).to_pylist():
-                    words = WORDS.findall(t.lower()) if t else []
-                    own = list(map(get, words))
-                    rest: list[int] = []
-                    if None in own:
-                        for k, i in enumerate(own):
-                            if i is None:
-                                own[k] = -1
-                                w = words[k]
-                                h = known.get(w)
-                                if h is None:
-                                    h = known[w] = xxhash.xxh3_64_intdigest(w) >> 1
-                                rest.append(h)
-                    head.append(np.array(own, dtype=np.int32).tobytes())
-                    tail.append(np.array(rest, dtype=np.int64).tobytes())
-                    sizes.append(len(words))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, type=pa.int64()), pa.array(head, type=pa.binary()), pa.array(tail, type=pa.binary())], ["key", "id", "n_tokens", "head", "tail"])
+                words, sizes = words_of(part.column(2))
+                d = words.dictionary_encode()
+                different = d.dictionary.to_pylist()
+                own = np.array([get(w, -1) for w in different], dtype=np.int32)
+                hashes = np.zeros(len(different), dtype=np.int64)
+                other = own < 0
+                hashes[other] = np.fromiter(map(xxhash.xxh3_64_intdigest, compress(different, other.tolist())), dtype=np.uint64) >> np.uint64(1)
+                at = d.indices.to_numpy()
+                head = own[at]
+                ahead = np.concatenate([[0], np.cumsum(head < 0)])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                tail = binaries(hashes[at[head < 0]], np.diff(ahead[ends]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, type=pa.int64()), binaries(head, sizes), tail], ["key", "id", "n_tokens", "head", "tail"])
 
     return run
 
@@ -110,30 +156,111 @@ def sequences(head: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return seq, starts
 
 
-@lean
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, n): neighbours that are both of the head or boundaries."""
-    held: list[np.ndarray] = []
-    n = 0
+def summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs in order, and the sum of each one's counts."""
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, dtype=np.int64)
+    return pairs[first], np.add.reduceat(counts[order], first) if len(pairs) else counts
 
-    def flush() -> pa.RecordBatch:
-        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], ["pair", "n"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        seq, starts = sequences(batch.column(0))
-        a, b = seq[:-1], seq[1:]
-        both = (a >= 0) & (b >= 0)
-        both[starts[1:] - 1] = False
-        held.append((a[both] << 32) | b[both])
-        n += len(held[-1])
-        if n > 4_000_000:
+def dealt(to: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """(part, columns): one row for each part that has any, with the bytes of its values, which keep their order."""
+    order = np.argsort(to, kind="stable")
+    sizes = np.bincount(to, minlength=parts)
+    some = np.flatnonzero(sizes)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[binaries(c[order], sizes[some]) for c in columns]], ["part", *[f"c{i}" for i in range(len(columns))]])
+
+
+def part_of(pairs: np.ndarray, parts: int) -> np.ndarray:
+    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _pairs(parts: int):
+    """(part, pairs, counts): neighbours that are both of the head or boundaries, dealt out by the pair."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+            return dealt(part_of(pairs, parts), parts, pairs, counts.astype(np.int64))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seq, starts = sequences(batch.column(0))
+            a, b = seq[:-1], seq[1:]
+            both = (a >= 0) & (b >= 0)
+            both[starts[1:] - 1] = False
+            held.append((a[both] << 32) | b[both])
+            n += len(held[-1])
+            if n > MOST_HELD:
+                yield flush()
+                held, n = [], 0
+        if n:
             yield flush()
-            held, n = [], 0
-    if held:
-        yield flush()
+
+    return run
+
+
+def blob(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
+def _sides(parts: int):
+    """Of a part's pairs: (part, words, neighbours, counts, right), each pair once with its first word and once with its second, dealt out by the word."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = least = 0
+        for batch in batches:
+            held.append((blob(batch.column(1), np.int64), blob(batch.column(2), np.int64)))
+            n += len(held[-1][0])
+            if n > max(MOST_HELD, 2 * least):
+                held = [summed(*map(np.concatenate, zip(*held)))]
+                n = least = len(held[0][0])
+        if not n:
+            return
+        pairs, counts = summed(*map(np.concatenate, zip(*held)))
+        held.clear()
+        a, b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        back = np.argsort(b, kind="stable")
+        for right, word, other, m in ((True, a, b, counts), (False, b[back], a[back], counts[back])):
+            out = dealt(word % parts, parts, word, other, m)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(out), right))], ["part", "words", "others", "n", "right"])
+
+    return run
+
+
+@lean
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's words: (w, right, rn, left, ln)."""
+    held: dict[bool, list[tuple[np.ndarray, ...]]] = {True: [], False: []}
+    for batch in batches:
+        of = batch.column(4).to_numpy(zero_copy_only=False)
+        for right in held:
+            x = batch.filter(pa.array(of == right))
+            held[right].append((blob(x.column(1), np.int32), blob(x.column(2), np.int32), blob(x.column(3), np.int64)))
+    if not held[True]:
+        return
+    sides = []
+    for right in (True, False):
+        word, other, n = map(np.concatenate, zip(*held.pop(right)))
+        order = np.argsort(word, kind="stable")
+        sides.append((word[order], other[order], n[order]))
+    words = np.union1d(sides[0][0], sides[1][0])
+    for at in range(0, len(words), 256):
+        w = words[at : at + 256]
+        out = [pa.array(w)]
+        for word, other, n in sides:
+            begin, end = np.searchsorted(word, w, side="left"), np.searchsorted(word, w, side="right")
+            out += [binaries(x[begin[0] : end[-1]], end - begin) for x in (other, n)]
+        yield pa.RecordBatch.from_arrays(out, ["w", "right", "rn", "left", "ln"])
 
 
 def around(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -235,15 +362,19 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def side(words: np.ndarray, ids: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, count) of all neighbours in these columns."""
+    sizes = np.array([len(x) // 4 for x in ids.to_pylist()], dtype=np.int64)
+    return np.repeat(np.arange(len(words)), sizes), blob(ids, np.int32), blob(counts, np.int64).astype(np.float64)
+
+
 def contexts(b: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, pairs with itself, right and left neighbours by class without these) of rows (w, right, rn, left, ln)."""
     words = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     self_pairs = np.zeros(len(words))
     sides = []
     for ids, counts in ((b.column(1), b.column(2)), (b.column(3), b.column(4))):
-        size = np.diff(ids.offsets.to_numpy())
-        row = np.repeat(np.arange(len(words)), size)
-        other, n = ids.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float64)
+        row, other, n = side(words, ids, counts)
         own = other == words[row]
         self_pairs = np.maximum(self_pairs, np.bincount(row[own], weights=n[own], minlength=len(words)))
         sides.append(np.bincount(row[~own] * k + classes[other[~own]], weights=n[~own], minlength=len(words) * k).reshape(-1, k))
@@ -251,18 +382,18 @@ def contexts(b: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def _matrix(state):
-    """Partial class bigram counts of the rows' words."""
+    """Partial class bigram counts of the rows' words: of rows (w, right, rn)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, k = state.value
-        m = np.zeros((k, k))
+        m = np.zeros(k * k)
         for b in batches:
-            words, own, right, _ = contexts(b, classes, k)
-            np.add.at(m, classes[words], right)
-            np.add.at(m, (classes[words], classes[words]), own)
+            words = b.column(0).to_numpy(zero_copy_only=False)
+            row, other, n = side(words, b.column(1), b.column(2))
+            m += np.bincount(classes[words][row] * k + classes[other], weights=n, minlength=k * k)
         at = np.flatnonzero(m)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.ravel()[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], ["cell", "n"])
 
     return run
 
@@ -359,7 +490,7 @@ class Model:
 
 
 def _matrix_of(near: DataFrame, model: Model) -> np.ndarray:
-    cells = near.mapInArrow(_matrix(near.sparkSession.sparkContext.broadcast((model.classes, model.k))), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = near.select("w", "right", "rn").mapInArrow(_matrix(near.sparkSession.sparkContext.broadcast((model.classes, model.k))), "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros(model.k * model.k)
     m[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return m.reshape(model.k, model.k)
@@ -398,9 +529,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     model = Model(own.column("word").to_pylist(), own.column("n").to_numpy(), rows, classes)
     keyed = c.df.select(F.monotonically_increasing_id().alias("key"), c[id_col].cast(kind).alias("id"), c[text_col].cast("string").alias("text"))
     model.encoded = encoded = written(keyed.mapInArrow(_encode(sc.broadcast(model.ids)), f"key bigint, id {kind}, n_tokens bigint, head binary, tail binary"), "brown-encoded")
-    pairs = encoded.select("head").mapInArrow(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "n")
-    cluster(neighbours(pairs), model, rounds)
+    tokens = int(own.column("n").to_numpy().sum()) + rows
+    cluster(neighbours(encoded, max(-(-tokens // PART_TOKENS), -(-len(model.classes) // PART_WORDS))), model, rounds)
     # All other words: one exchange step each.
     rest = encoded.where(F.octet_length("tail") > 0).select("key", "head", "tail")
     seen = rest.mapInArrow(_contexts(sc.broadcast((model.classes, model.k))), "word bigint, cell int").repartition("word")
@@ -421,14 +551,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     return model
 
 
-def neighbours(pairs: DataFrame) -> DataFrame:
-    """(w, right, rn, left, ln): each head word's neighbours of the head and their counts, written once and read each round."""
-    pairs = written(pairs, "brown-pairs")
-    side = lambda key, other, a, b: pairs.groupBy(F.col(key).alias("w")).agg(F.collect_list(other).alias(a), F.collect_list("n").alias(b))
-    right, left = side("a", "b", "right", "rn"), side("b", "a", "left", "ln")
-    none = lambda n, kind: F.coalesce(n, F.array().cast(kind)).alias(n)
-    out = right.join(left, "w", "full").select("w", none("right", "array<int>"), none("rn", "array<bigint>"), none("left", "array<int>"), none("ln", "array<bigint>"))
-    return written(out.repartition("w"), "brown-near")
+def neighbours(encoded: DataFrame, parts: int) -> DataFrame:
+    """(w, right, rn, left, ln): each head word's neighbours of the head (int32) and their counts (int64), written once and read each round.
+
+    parts: in how many pairs, and then words, are dealt out. What tasks exchange is already sorted or summed up, so rows hold many of them.
+    """
+    pairs = encoded.select("head").mapInArrow(_pairs(parts), "part int, pairs binary, n binary").repartitionById(parts, "part")
+    sides = pairs.mapInArrow(_sides(parts), "part int, words binary, others binary, n binary, right boolean").repartitionById(parts, "part")
+    return written(sides.mapInArrow(_near, "w int, right binary, rn binary, left binary, ln binary"), "brown-near")
 
 
 def _head_scores(state):
